@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, mixing, near_dedup, packing, suffix_dedup, url_filter
+from . import additive_ann, exact_dedup, kneser_ney, language, mixing, near_dedup, packing, pii, suffix_dedup, url_filter
 
 QUERIES = {
     f.__name__: f
@@ -11,7 +11,10 @@ QUERIES = {
         mixing.op2_mixing,
         packing.op3_packing,
         suffix_dedup.op4_suffix_dedup,
+        kneser_ney.op5_lm_scoring,
+        pii.op6_pii,
         url_filter.op7_url_filter,
+        additive_ann.op8_ann,
         language.op9_language_id,
         exact_dedup.op10_exact_dedup,
     )
