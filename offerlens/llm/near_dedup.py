@@ -6,9 +6,9 @@ share the LEAD values are a region of the order.
 - First pass: in each region, candidates are neighbours in the sorted order (they have the longest common prefixes), the first
   class of the region, and, where a region is dense, the first class of each longer prefix: 8 values, 12, 16, as the region grows.
 - Candidates whose signatures agree often enough are confirmed on their full shingle sets, and components are found.
-- Second pass: in regions whose classes are still in several components, every pair across components is a candidate, in blocks.
-  Pairs within one component can add nothing. So a group of n near copies costs about n confirmations and not n squared, and
-  every pair that shares a region and could join two components is looked at.
+- Second pass: in regions whose classes are still in several components, every pair across components is looked at, in blocks,
+  and confirmed where it is read. Pairs within one component can add nothing. So a group of n near copies costs about n
+  confirmations and not n squared, no pair is sent on but a link that joins two components, and none that could is left out.
 A pair of similarity s shares a region with probability 1 - (1 - s**LEAD)**TREES: 0.99997 at 0.8. Full sets of the classes that
 have candidates are sorted hash arrays in the shared folder, which the confirming tasks map into memory."""
 
@@ -29,7 +29,7 @@ VALUES = TREES * LEAD
 AGREE = 44
 #: Rows of a region that are sorted in one task, and rows of a block in the second pass.
 REGION_ROWS = 4096
-BLOCK = 512
+BLOCK = 256
 _MULTIPLIERS = (mix64(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _NO_ID = 2**63 - 1
 
@@ -140,41 +140,72 @@ def _first_pass(batches):
         held = region[-1], part[-1], c[-1], order[-1]
 
 
-def _across(c, comp, order, block):
-    """Candidates of different components within a group; of two blocks, only between them."""
-    for lo in range(0, len(c), 64):
-        hi = min(lo + 64, len(c))
-        other = (comp[lo:hi, None] != comp[None, :]) & (c[lo:hi, None] < c[None, :])
-        i, j = np.nonzero(other)
-        if len(i):
-            ok = np.concatenate([(order[lo + i[k : k + 65536]] == order[j[k : k + 65536]]).sum(axis=1) >= AGREE for k in range(0, len(i), 65536)])
-            i, j = i[ok], j[ok]
-            yield c[lo + i], c[j]
-
-
-def _second_pass(batches):
-    """Candidates across components in rows sorted by region and pair of blocks (two blocks of BLOCK rows at most)."""
-    held = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        held = t if held is None else pa.concat_tables([held, t])
-        key = [held.column(k).to_numpy() for k in ("region", "i", "j")]
-        if not held.num_rows:
-            continue
-        cut = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])) + 1
-        if len(cut):
-            yield from _groups(held.slice(0, int(cut[-1])), np.concatenate([[0], cut]))
-            held = held.slice(int(cut[-1]))
-    if held is not None and held.num_rows:
-        yield from _groups(held, np.array([0, held.num_rows]))
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Of two sorted sets: whether 100 * |intersection| >= percent * |union|."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if len(small) * 100 < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+class _Sets:
+    """The stored sets of some classes."""
+
+    def __init__(self, folder: str, shards: int, keys: np.ndarray):
+        self.store = arrays.shards(folder, shards, "key", "start", "size")
+        keys = keys.view(np.uint64)
+        _, self.start, self.size = self.store.lookup(keys, "start", "size")
+        self.shard = arrays.shard_of(keys, shards)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.store.get("names", int(self.shard[k]))[self.start[k] : self.start[k] + self.size[k]]
+
+
+def _second_pass(folder: str, shards: int, percent: int):
+    """Links across components in rows sorted by region and pair of blocks (two blocks of BLOCK rows or so).
+
+    Every pair is looked at in the first region that it shares. Links are followed at once, so that only pairs that could still
+    join two components are confirmed, and only links that join some are sent on."""
+
+    def links(t: pa.Table, cuts: np.ndarray):
+        c, comp, tree, mine, i_, j_ = (t.column(k).to_numpy() for k in ("class", "comp", "tree", "mine", "i", "j"))
+        comp, sets = comp.copy(), _Sets(folder, shards, c)
+        order = _sketches(t.column("order").combine_chunks())
+        regions = t.column("regions").combine_chunks().flatten().to_numpy().reshape(-1, TREES)
+        found = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            for k in range(lo, hi - 1):
+                other = np.flatnonzero(comp[k + 1 : hi] != comp[k]) + k + 1
+                if i_[k] != j_[k]:
+                    other = other[mine[other] != mine[k]]
+                large = np.maximum(sets.size[other], sets.size[k])
+                other = other[100 * np.minimum(sets.size[other], sets.size[k]) >= percent * large]
+                other = other[(order[other] == order[k]).sum(axis=1) >= AGREE]
+                other = other[~(regions[other, : tree[k]] == regions[k, : tree[k]]).any(axis=1)]
+                for m in other.tolist():
+                    if comp[m] != comp[k] and _similar(sets[k], sets[m], percent):
+                        found.append((c[k], c[m]))
+                        comp[lo:hi][comp[lo:hi] == comp[m]] = comp[k]
+        return _pairs(*np.array(found, np.int64).reshape(-1, 2).T)
 
+    def run(batches):
+        held = None
+        for batch in batches:
+            held = pa.concat_tables([*([held] if held is not None else []), pa.Table.from_batches([batch])])
+            if not held.num_rows:
+                continue
+            key = [held.column(k).to_numpy() for k in ("region", "i", "j")]
+            cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in key], axis=0)) + 1
+            if len(cut):
+                yield links(held.slice(0, int(cut[-1])), np.concatenate([[0], cut]))
+                held = held.slice(int(cut[-1]))
+        if held is not None and held.num_rows:
+            yield links(held, np.array([0, held.num_rows]))
 
-def _groups(t: pa.Table, cuts: np.ndarray):
-    c, comp = t.column("class").to_numpy(), t.column("comp").to_numpy()
-    order = _sketches(t.column("order").combine_chunks())
-    found = [x for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) for x in _across(c[lo:hi], comp[lo:hi], order[lo:hi], None)]
-    if found:
-        yield _pairs(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    return run
 
 
 def _store_wanted(folder: str, shards: int):
@@ -219,24 +250,9 @@ def _store_sets(folder: str):
 
 def _confirm(folder: str, shards: int, percent: int):
     def run(batches):
-        store = arrays.shards(folder, shards, "key", "start", "size")
         for batch in batches:
-            sides = []
-            for side in ("a", "b"):
-                keys = batch.column(side).to_numpy().view(np.uint64)
-                _, start, size = store.lookup(keys, "start", "size")
-                sides.append((arrays.shard_of(keys, shards), start, size))
-            keep = np.zeros(batch.num_rows, bool)
-            for k in range(batch.num_rows):
-                x, y = (store.get("names", int(s[k]))[st[k] : st[k] + n[k]] for s, st, n in sides)
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                if len(small) * 100 < percent * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int((large[at] == small).sum())
-                keep[k] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield batch.filter(pa.array(keep))
+            a, b = (_Sets(folder, shards, batch.column(side).to_numpy()) for side in ("a", "b"))
+            yield batch.filter(pa.array([_similar(a[k], b[k], percent) for k in range(batch.num_rows)], pa.bool_()))
 
     return run
 
@@ -277,7 +293,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     light = classes.select("class", F.posexplode("regions").alias("tree", "region"))
     crowded = light.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     order = F.concat(F.expr(f"substring(sketch, tree * {LEAD} + 1, {VALUES})"), F.expr(f"substring(sketch, 1, tree * {LEAD})"))
-    members = light.join(crowded, "region").join(classes.select("class", "sketch"), "class").select("region", "n", "class", order.alias("order"))
+    members = light.join(crowded, "region").join(classes.select("class", "sketch"), "class").select("region", "tree", "n", "class", order.alias("order"))
     members = common.checkpointed(members)
 
     first = members.groupBy("region").agg(F.min(F.struct("order", "class")).alias("p")).select("region", F.col("p.class").alias("pivot"), F.col("p.order").alias("pivot_order"))
@@ -304,9 +320,9 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     mine = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     rest = joined.join(split, "region").withColumn("blocks", blocks).withColumn("mine", mine)
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-    rest = rest.select("region", "i", "j", "class", "comp", "order").repartition(shards, "region", "i", "j").sortWithinPartitions("region", "i", "j", "class")
-    more = rest.mapInArrow(_second_pass, "a long, b long").distinct().repartition(shards, "a").mapInArrow(confirm, "a long, b long")
-    more = common.checkpointed(more)
+    rest = rest.join(classes.select("class", "regions"), "class").select("region", "i", "j", "mine", "tree", "class", "comp", "order", "regions")
+    rest = rest.repartition(shards, "region", "i", "j").sortWithinPartitions("region", "i", "j", "class")
+    more = common.checkpointed(rest.mapInArrow(_second_pass(sets, shards, percent), "a long, b long"))
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     grouped = classes.select("class", "rep").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
