@@ -8,6 +8,7 @@ text. A decoded span is added if the model is sure of it and it touches no span
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -23,6 +24,8 @@ TAGS = 1 + 2 * len(KINDS)  # none; first and further characters of each kind
 WINDOW, STRIDE, REACH = 64, 32, 24
 #: Texts with a digit or @ that the tagger is trained on at most: those of least hash; and windows taken from them.
 FIT_TEXTS, FIT_WINDOWS = 1200, 1600
+#: Windows of each kind taken from one text at most.
+PER_TEXT = 16
 #: Least mean probability of the tags of a span that is added.
 SURE = 0.95
 
@@ -31,6 +34,7 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_WINDOWS = pa.schema([("h", pa.int64()), ("start", pa.int32()), ("kind", pa.int32()), ("chars", pa.string()), ("tags", pa.binary())])
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -242,23 +246,45 @@ def reconcile(n: int, starts: list[int], tags: np.ndarray, sure: np.ndarray) ->
     return [(s, k, e, float(np.mean(p))) for s, k, e, p in out + ([open_] if open_ else [])]
 
 
-def train(docs: DataFrame, fit_texts: int = FIT_TEXTS, fit_windows: int = FIT_WINDOWS) -> Tagger | None:
+def _labelled(per_text: int):
+    """At most per_text windows of each kind from every text, with the tags of its pattern spans."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for h, text in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                spans, lo, room = patterns(text), 0, [per_text] * (len(KINDS) + 1)
+                for s in windows(text):
+                    while lo < len(spans) and spans[lo][2] <= s:
+                        lo += 1
+                    tags = window_tags(spans[lo : bisect.bisect_left(spans, (s + WINDOW,))], s)
+                    kind = int((tags.max() + 1) // 2)
+                    if room[kind]:
+                        room[kind] -= 1
+                        out.append((h, s, kind, text[s : s + WINDOW], tags.astype(np.uint8).tobytes()))
+            yield pa.RecordBatch.from_pylist([dict(zip(("h", "start", "kind", "chars", "tags"), x, strict=True)) for x in out], _WINDOWS)
+
+    return run
+
+
+def train(docs: DataFrame, fit_texts: int = FIT_TEXTS, fit_windows: int = FIT_WINDOWS, per_text: int = PER_TEXT) -> Tagger | None:
     """A tagger from the pattern spans of a bounded sample of docs(text), or None where there are none.
 
+    The sample: the fit_texts distinct texts of least hash among those with a digit or @. Tasks take about twice as many, by a
+    threshold of the hash, and cut windows from them; the driver gets these windows only, however many or long the texts are.
     Spans of each kind are given equal room among the windows, beside windows with digits that are no personal data."""
-    rows = docs.select("text").filter(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("text")).limit(fit_texts)
-    texts = [t for (t,) in rows.collect()]
-    found = []
-    for text in texts:
-        spans = patterns(text)
-        for s in windows(text):
-            tags = window_tags(spans, s)
-            found.append((int((tags.max() + 1) // 2), characters(text, s), tags))
-    if not any(k for k, _, _ in found):
-        return None
+    hot = docs.select("text").filter(F.col("text").rlike("[0-9@]")).withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    distinct = hot.agg(F.approx_count_distinct("h")).first()[0]
+    below = min((1 << 63) - 1, int(2 * fit_texts / max(distinct, 1) * (1 << 63)))
+    texts = hot.filter(F.col("h") <= below).groupBy("h").agg(F.max("text").alias("text"))
+    found = texts.mapInArrow(_labelled(per_text), "h long, start int, kind int, chars string, tags binary").collect()
+    last = sorted({w.h for w in found})[:fit_texts][-1:]
+    found = sorted((w for w in found if w.h <= last[0]), key=lambda w: (w.h, w.start))
     room = fit_windows // (len(KINDS) + 1)
-    kept = [w for kind in range(len(KINDS) + 1) for w in [w for w in found if w[0] == kind][:room]]
-    return Tagger().fit(np.array([c for _, c, _ in kept]), np.array([t for _, _, t in kept]))
+    kept = [w for kind in range(len(KINDS) + 1) for w in [w for w in found if w.kind == kind][:room]]
+    if not any(w.kind for w in kept):
+        return None
+    return Tagger().fit(np.array([characters(w.chars, 0) for w in kept]), np.array([np.frombuffer(w.tags, np.uint8) for w in kept], np.int64))
 
 
 def _joined(spans) -> str:
@@ -276,7 +302,10 @@ def _find(tagger: Tagger | None, sure: float):
         for text, ss, spans in zip(texts, starts, base, strict=True):
             more = reconcile(len(text), ss, tags[at : at + len(ss)], probs[at : at + len(ss)])
             at += len(ss)
-            out.append([(s, k, e) for s, k, e, p in more if p >= sure and _TRIGGER.search(text, s, e) and not any(s < e2 and s2 < e for s2, _, e2 in spans)])
+            covered = bytearray(len(text))
+            for s, _, e in spans:
+                covered[s:e] = b"\1" * (e - s)
+            out.append([(s, k, e) for s, k, e, p in more if p >= sure and _TRIGGER.search(text, s, e) and 1 not in covered[s:e]])
         return out
 
     def run(batches):
