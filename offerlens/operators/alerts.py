@@ -92,3 +92,9 @@ def first_by_kind(alerts: DataFrame, keep: int = 10) -> DataFrame:
 def shape(n: Column, pictured: Column) -> Column:
     """How a message goes out: text, photo, album, or text with an album."""
     return F.when(pictured == 0, "text").when((pictured == n) & (n == 1), "photo").when((pictured == n) & (n <= 10), "album").otherwise("text+album")
+
+
+def pending(updates: DataFrame, cursor: int | None, most: int = 40) -> DataFrame:
+    """The next updates(update_id, ...) after the cursor, at most `most`, and the cursor once each is answered."""
+    later = updates.filter(F.col("update_id") > cursor) if cursor is not None else updates
+    return later.orderBy("update_id").limit(most).withColumn("cursor", F.col("update_id"))

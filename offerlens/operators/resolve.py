@@ -30,9 +30,9 @@ def similarity(a: str, b: str) -> float:
 
 
 def _lead(threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, known: pd.DataFrame | None) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "sig"], ascending=[False, True], kind="stable")
-        leaders, out = [], []
+        leaders, out = [] if known is None else sorted(known["leader"]), []
         for sig in pdf["sig"]:
             best, at = threshold, None
             for lead in leaders:
@@ -45,18 +45,24 @@ def _lead(threshold: float):
                 leaders.append(sig)
                 at = sig
             out.append(at)
-        return pdf.assign(leader=out)[["brand", "pack_size", "numbers", "sig", "leader"]]
+        return pd.DataFrame({c: pdf[c].tolist() for c in ("brand", "pack_size", "numbers", "sig")} | {"leader": out}, dtype=object)
 
     return run
 
 
-def clusters(offers: DataFrame, title: str = "raw_title", pack: text.RulePack = text.RulePack(), threshold: float = 87.0) -> DataFrame:
-    """offers with sig, leader and canonical_key."""
+def clusters(offers: DataFrame, title: str = "raw_title", pack: text.RulePack = text.RulePack(), threshold: float = 87.0, known: DataFrame | None = None) -> DataFrame:
+    """offers with sig, leader and canonical_key.
+
+    known(brand, pack_size, numbers, leader): products of earlier runs, which offers join before they become products of their own."""
     t = F.col(title)
     rows = offers.withColumn("brand", F.coalesce(text.brand(t, pack), F.lit("Other"))).withColumn("pack_size", text.pack_size(t)).withColumn("sig", text.signature(t, pack))
     rows = rows.withColumn("numbers", text.number_words(F.col("sig")))
     key = ["brand", "pack_size", "numbers"]
     distinct = rows.groupBy(*key, "sig").agg(F.max(F.length(t)).alias("n"))
-    led = distinct.groupBy(*key).applyInPandas(_lead(threshold), "brand string, pack_size int, numbers string, sig string, leader string")
+    lead, schema, blocks = _lead(threshold), "brand string, pack_size int, numbers string, sig string, leader string", distinct.groupBy(*key)
+    if known is None:
+        led = blocks.applyInPandas(lambda block: lead(block, None), schema)
+    else:
+        led = blocks.cogroup(known.select(*key, "leader").distinct().groupBy(*key)).applyInPandas(lambda block, old: lead(block, old), schema)
     out = rows.join(led, [*key, "sig"])
     return out.withColumn("canonical_key", F.concat_ws("|", "brand", "leader", F.concat(F.lit("p"), F.col("pack_size").cast("string"))))

@@ -6,10 +6,13 @@ import json
 from collections.abc import Sequence
 from html.parser import HTMLParser
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, Row, StringType, StructType
 
+from ..functions import text
+from . import cards
+
 CATALOG = "struct<id:bigint, title:string, handle:string, vendor:string, variants:array<struct<id:bigint, price:double, compare_at_price:double, available:boolean>>>"
 STORE = "struct<id:bigint, name:string, prices:struct<price:string, regular_price:string, currency_minor_unit:int>, is_in_stock:boolean, attributes:array<struct<name:string, terms:array<struct<name:string>>>>>"
 
@@ -123,3 +126,78 @@ class ScanAnchors:
         p.feed(html or "")
         for k, (href, label) in enumerate(p.found):
             yield Row(title=p.title.strip(), position=k, href=href, label=" ".join(label.split()))
+
+
+# The fields of a search suggestion, and of a product of the paged service.
+SUGGESTED = "struct<id:string, handle:string, title:string, vendor:string, url:string, price:string, compare_at_price_max:string, available:boolean, featured_image:string, image:string>"
+SERVED = "struct<PId:string, PNm:string, BNm:string, discprice:string, MRP:string, CrntStock:string, Images:string>"
+PAGE_ROWS = 20
+
+
+def suggested_offers(bodies: DataFrame, source: str, base: str = "") -> DataFrame:
+    """bodies(body): answers of a shop's search. Empty fields, and an id of 0, count as missing; links are made absolute."""
+    found = F.from_json("body", f"struct<resources:struct<results:struct<products:array<{SUGGESTED}>>>>")["resources"]["results"]["products"]
+    p = bodies.select(F.explode(found).alias("p")).select("p.*")
+    known = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return p.filter(known("title").isNotNull()).select(
+        F.lit(source).alias("source"),
+        F.coalesce(F.nullif(known("id"), F.lit("0")), known("handle"), F.substring("title", 1, 60)).alias("source_sku"),
+        text.clean(F.col("title")).alias("title"),
+        text.parse_price(F.col("price")).alias("price"),
+        text.parse_price(F.col("compare_at_price_max")).alias("mrp"),
+        F.when(F.col("url").startswith("/"), F.concat(F.lit(base), "url")).otherwise(known("url")).alias("url"),
+        F.coalesce(cards.picture(F.col("featured_image")), cards.picture(F.col("image"))).alias("image"),
+        F.coalesce("available", F.lit(True)).cast("int").alias("in_stock"),
+        known("vendor").alias("brand_hint"),
+    )
+
+
+def service_offers(pages: DataFrame, source: str, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """pages(query, page, body), gapless from 1: a product list within a JSON text within a JSON object.
+
+    The walk of a query ends with its first page that is empty, short or without an id that is new; of rows with one id, the
+    first counts. The list price is kept only above the price; no stated stock is none."""
+    inner = F.from_json(F.get_json_object("body", "$.ProductResponse"), f"struct<Products:array<{SERVED}>>")["Products"]
+    p = pages.select("query", "page", F.coalesce(inner, F.array()).alias("rows"))
+    each = p.select("query", "page", F.posexplode("rows").alias("pos", "p")).filter(F.coalesce(F.col("p.PId"), F.lit("")) != "")
+    firsts = each.groupBy("query", F.col("p.PId").alias("source_sku")).agg(F.min_by("p", F.struct("page", "pos")).alias("p"), F.min("page").alias("page"))
+    fresh = firsts.groupBy("query", "page").agg(F.count(F.lit(1)).alias("fresh"))
+    ends = p.select("query", "page", F.size("rows").alias("n")).join(fresh, ["query", "page"], "left").filter((F.col("n") < page_rows) | F.col("fresh").isNull())
+    ends = ends.groupBy("query").agg(F.min("page").alias("last"))
+    price, mrp = text.parse_price(F.col("p.discprice")), text.parse_price(F.col("p.MRP"))
+    image = F.get(F.filter(F.split("p.Images", ";"), lambda x: x != ""), F.lit(0))
+    kept = firsts.join(ends, "query", "left").filter(F.col("last").isNull() | (F.col("page") <= F.col("last")))
+    return kept.select(
+        "query", F.lit(source).alias("source"), "source_sku", F.col("p.PNm").alias("title"), price.alias("price"), F.when(mrp > price, mrp).alias("mrp"),
+        (F.coalesce(text.parse_price(F.col("p.CrntStock")), F.lit(0.0)) > 0).cast("int").alias("in_stock"), image.alias("image"), F.nullif(F.trim("p.BNm"), F.lit("")).alias("brand_hint"),
+    )
+
+
+def harvested_offers(bodies: DataFrame, source: str, headings: str = r"^(?i)(showing|search)\s+results|^results\s+for|^did you mean") -> DataFrame:
+    """bodies(body): offers in JSON of any shape. Headings are none, nor is an object with neither a price nor a word on stock."""
+    rows = bodies.select("body").lateralJoin(cards.HarvestJson(F.col("body").outer())).drop("body")
+    rows = rows.withColumn("title", text.clean(F.col("title"))).filter((F.col("title") != "") & ~F.col("title").rlike(headings))
+    price = as_price(cards.amount(F.col("price")))
+    return rows.withColumn("price", price).filter(F.col("price").isNotNull() | F.col("stock").isNotNull()).select(
+        F.lit(source).alias("source"), F.col("sku").alias("source_sku"), "title", "price", as_price(cards.amount(F.col("mrp"))).alias("mrp"),
+        as_stock(F.col("stock")).cast("int").alias("in_stock"), cards.picture(F.col("image")).alias("image"),
+    )
+
+
+def registry(stores: DataFrame, defaults: dict, only: Sequence[str] = ()) -> DataFrame:
+    """stores(name, enabled, ...) with defaults where a store states nothing; those that are enabled and asked for."""
+    filled = stores.select(*[F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in stores.columns])
+    return filled.filter(F.coalesce("enabled", F.lit(True)) & (F.col("name").isin(*only) if only else F.lit(True)))
+
+
+def place(asked: Column, places: Sequence[tuple[str, str, float, float]]) -> Column:
+    """struct(label, pincode, lat, lon, hint) of a city or a six-digit code among places(label, pincode, lat, lon), the first that fits.
+
+    A city that is unknown has a null label, and up to five that contain what was asked as a hint. Null and blank fit none."""
+    q = F.trim(asked)
+    table = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("pincode"), F.lit(c).alias("lat"), F.lit(d).alias("lon")) for a, b, c, d in places])
+    by_code = q.rlike("^[0-9]{6}$")
+    found = F.get(F.filter(table, lambda p: F.when(by_code, p["pincode"] == q).otherwise(F.lower(p["label"]) == F.lower(q))), F.lit(0))
+    near = F.slice(F.transform(F.filter(table, lambda p: F.lower(p["label"]).contains(F.lower(q))), lambda p: p["label"]), 1, 5)
+    hint = F.when(found.isNull() & ~by_code & (q != ""), F.nullif(F.array_join(near, ", "), F.lit("")))
+    return F.struct(found["label"].alias("label"), found["pincode"].alias("pincode"), found["lat"].alias("lat"), found["lon"].alias("lon"), hint.alias("hint"))

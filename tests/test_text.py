@@ -1,9 +1,11 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from offerlens.functions import text
+from offerlens.functions import messages, text
 from offerlens.operators import alerts, resolve, state
-from offerlens.sources import payloads
+from offerlens.sources import cards, payloads
 
 
 def value(spark, column, given):
@@ -83,3 +85,41 @@ def test_stock_and_price(spark):
     for given, want in [(None, True), ("0", False), ("3", True), ("Unavailable", False), ("yes", True)]:
         assert value(spark, payloads.as_stock, given) is want
     assert value(spark, payloads.as_price, "249900") == 2499.0
+
+
+def test_service_pages_stop(spark):
+    def page(*ids, n=20):
+        rows = [{"PId": str(i), "PNm": f"t{i}", "discprice": "5", "MRP": "4", "CrntStock": None} for i in ids]
+        return json.dumps({"ProductResponse": json.dumps({"Products": rows})})
+
+    full, other = range(1, 21), range(21, 41)
+    rows = [("a", 1, page(*full)), ("a", 2, page(*full)), ("a", 3, page(*other)), ("b", 1, page(*full)), ("b", 2, page(50)), ("b", 3, page(*other)), ("c", 1, "no json"), ("c", 2, page(*full)), ("d", 1, None)]
+    got = payloads.service_offers(spark.createDataFrame(rows, "query string, page int, body string"), "s").collect()
+    assert {q: sorted(int(r["source_sku"]) for r in got if r["query"] == q) for q in "abcd"} == {"a": list(full), "b": [*full, 50], "c": [], "d": []}
+    assert all(r["mrp"] is None and r["in_stock"] == 0 for r in got)
+
+
+def test_harvest(spark):
+    bodies = [None, "", "[", "3", json.dumps({"a": {"name": "n", "id": 1, "x": {"price": 250000}}, "b": [{"title": "gone", "sku": "k", "stock": False}, {"name": "stub", "id": 3}, {"name": "Search results", "id": 4, "price": 1}]})]
+    got = payloads.harvested_offers(spark.createDataFrame([(b,) for b in bodies], "body string"), "s").orderBy("source_sku").collect()
+    assert [(r["source_sku"], r["price"], r["in_stock"]) for r in got] == [("1", 2500.0, 1), ("k", None, 0)]
+
+
+def test_cards(spark):
+    html = "<p>x</p><div id=c k=7><h2>B</h2><p>one<img src='//i/a b'><br/><a class='tail' title='long one'>B two</a></div><div id=c><b>open"
+    df = spark.createDataFrame([(html,), (None,), ("",), ("<div",)], "html string")
+    got = df.lateralJoin(cards.ScanCards(F.col("html").outer(), F.lit("id"), F.lit("c"), F.lit("k"))).orderBy("position").collect()
+    assert [(r["sku"], r["heading"], r["tail"], r["parts"]) for r in got] == [("7", "B", "B two", ["B", "one", "B two"]), (None, "", "", ["open"])]
+    assert got[0]["images"][0] == "//i/a b" and got[0]["titles"][0] == "long one"
+
+
+def test_grouping_joins_known_products(spark):
+    known = spark.createDataFrame([("Alpha", 1, "", "red roadster")], "brand string, pack_size int, numbers string, leader string")
+    made = spark.createDataFrame([(1, "Alpha roadsters red"), (2, "Alpha lorry")], "id int, raw_title string")
+    got = {r["id"]: r["leader"] for r in resolve.clusters(made, known=known).collect()}
+    assert got == {1: "red roadster", 2: "lorry"}
+
+
+@pytest.mark.parametrize(("given", "want"), [(None, None), ("", None), ("https://cdn.grofers.com/", "https://cdn.grofers.com/"), ("https://o/x", "https://o/x")])
+def test_thumbnail(spark, given, want):
+    assert value(spark, messages.thumbnail, given) == want
