@@ -404,6 +404,8 @@ _title("s_brand_hint", "coalesce(" + ", ".join(f"case when contains(lower(t), '{
 _title("s_canonical_key", "coalesce(brand, 'Other') || '|' || sig || '|p' || pack", text.canonical_key)
 _title("s_key_parts", "coalesce(brand, 'Other') || '/' || sig", lambda t: F.concat_ws("/", F.split_part(text.canonical_key(t), F.lit("|"), F.lit(1)), F.split_part(text.canonical_key(t), F.lit("|"), F.lit(2))))
 _title("s_knockoff", "regexp_matches(lower(t), '\\b(replica|compatible|look-alike)\\b')", lambda t: F.lower(t).rlike(text.RulePack().knockoffs))
+for _name, _words in (("s_accessory", text.RulePack().accessories), ("s_context", text.RulePack().vehicles)):
+    _title(_name, f"regexp_matches(lower(t), $r${_words}$r$)", lambda t, w=_words: F.lower(t).rlike(w))
 _title("s_scales", f"array_to_string(regexp_extract_all(t, $r${text.SCALE}$r$, 1), ',')", lambda t: F.array_join(F.transform(text.scales(t), lambda n: n.cast("string")), ","))
 _FITS = f"(brand is not null and (len(list_filter(regexp_extract_all(t, $r${text.SCALE}$r$, 1), lambda x: x::int between 55 and 68)) > 0 or (len(regexp_extract_all(t, $r${text.SCALE}$r$, 1)) = 0 and brand in ('Alpha', 'Bravo'))))"
 _title("s_target", _FITS, text.wanted)
