@@ -20,6 +20,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long")
 
 
+def hash_digits(doc_id: Column, text: Column, digits: int = LEVELS * DIGITS) -> Column:
+    """Leading hexadecimal digits of the hash of the id (of the text where the id is null)."""
+    return F.substring(F.md5(F.coalesce(doc_id.cast("string"), text, F.lit("")).cast("binary")), 1, digits)
+
+
 def source_targets(sizes: DataFrame, weights: list[int], share: float, most: float) -> DataFrame:
     """(source, source_size, target) from (source, source_size): share of all sizes dealt by weight, none above most times its size.
 
@@ -39,16 +44,15 @@ def source_targets(sizes: DataFrame, weights: list[int], share: float, most: flo
 
 
 def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, digits: int = DIGITS, levels: int = LEVELS) -> DataFrame:
-    """(doc_id, size, source, source_size, target, copies, taken) for each row of docs with columns doc_id, source and text.
+    """(doc_id, size, source, h, source_size, target, copies, taken) for each row of docs with columns doc_id, source and text.
 
     copies: how often the mix takes the document (whole rounds of its source, and once more below the source's threshold);
     taken = copies * size. The threshold lies on the side of the last document that comes nearer to the target, so a source's sum
     misses its target by half of one document at most. Texts null or without words have size 0 and are taken like others of
     their hash. The hash is of the id (of the text where the id is null); rows that repeat an id share their fate. A source of no
     words has target 0 and takes nothing. An empty table gives no rows."""
-    span = levels * digits
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col(text), F.lit("")).cast("binary"))
-    sized = common.checkpointed(docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), F.substring(key, 1, span).alias("h")))
+    h = hash_digits(F.col("doc_id"), F.col(text), levels * digits)
+    sized = common.checkpointed(docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), h.alias("h")))
     bucket = lambda k: F.substring("h", 1 + k * digits, digits)
     first = sized.groupBy("source", bucket(0).alias("b")).agg(F.sum("size").alias("n"))
     first = common.checkpointed(first)
@@ -89,7 +93,7 @@ def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = (3, 1, 2
     )
     joined = out.join(top, F.col("source").eqNullSafe(F.col("s")) & (F.col("b0") == F.col("b")))
     hit = F.coalesce(*[F.try_element_at(F.col("cuts"), F.substring("h", 1, digits * (k + 1))) for k in range(levels)], F.lit(0))
-    return joined.select("doc_id", "size", "source", "source_size", "target", (F.col("rounds") + hit).alias("copies"), ((F.col("rounds") + hit) * F.col("size")).alias("taken"))
+    return joined.select("doc_id", "size", "source", "h", "source_size", "target", (F.col("rounds") + hit).alias("copies"), ((F.col("rounds") + hit) * F.col("size")).alias("taken"))
 
 
 def level_rows(decided: list[DataFrame], digits: int, levels: int) -> DataFrame:

@@ -94,13 +94,13 @@ def _regions(sig: np.ndarray) -> np.ndarray:
 def _sign(words: int):
     def run(batches):
         for batch in batches:
-            ids, col = batch.column("doc_id"), common.text_column(batch)
+            ids, hashes, col = batch.column("doc_id"), batch.column("text_hash"), common.text_column(batch)
             for lo, hi, data, offsets in common.byte_blocks(col):
                 s, at = shingle_sets(data, offsets, words)
                 sig = minima(s, at)
                 regions = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * TREES), pa.array(_regions(sig).ravel()))
                 sketch = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(np.arange(hi - lo + 1, dtype=np.int32) * VALUES), pa.py_buffer(sig.astype(np.uint8).tobytes())])
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(np.diff(at), pa.int64()), pa.array(class_names(s, at)), sketch, regions], ["doc_id", "n_shingles", "class", "sketch", "regions"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), hashes.slice(lo, hi - lo), pa.array(np.diff(at), pa.int64()), pa.array(class_names(s, at)), sketch, regions], ["doc_id", "text_hash", "n_shingles", "class", "sketch", "regions"])
 
     return run
 
@@ -278,7 +278,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text).
+    """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text); see near_rows."""
+    return near_rows(docs, words, percent).drop("text_hash")
+
+
+def near_rows(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, text_hash) for each row of docs(doc_id, text); xxhash64 of the text tells rows of one id apart.
 
     Two rows are linked if 100 * |intersection| >= percent * |union| of their sets of `words`-word shingles; texts of fewer words
     are one shingle, and null, empty or wordless texts are linked with nothing. component_id: the smallest doc_id reachable.
@@ -286,7 +291,8 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     table gives no rows."""
     spark = docs.sparkSession
     rows, shards = docs.select("doc_id", "text"), common.shuffle_partitions(spark)
-    signed = common.checkpointed(rows.mapInArrow(_sign(words), "doc_id long, n_shingles long, class long, sketch binary, regions array<long>"))
+    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
+    signed = common.checkpointed(hashed.mapInArrow(_sign(words), "doc_id long, text_hash long, n_shingles long, class long, sketch binary, regions array<long>"))
     number = F.coalesce("doc_id", F.lit(_NO_ID))
     classes = signed.filter("n_shingles > 0").groupBy("class").agg(F.min(number).alias("rep"), F.min_by(F.struct("sketch", "regions"), number).alias("s"))
     classes = common.checkpointed(classes.select("class", "rep", "s.sketch", "s.regions"))
@@ -329,8 +335,8 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     smallest = grouped.groupBy("root").agg(F.min("rep").alias("smallest"))
     of_class = grouped.join(smallest, "root").select("class", "smallest")
     best = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("smallest") != _NO_ID, F.col("smallest")))
-    out = signed.select("doc_id", "n_shingles", "class").join(of_class, "class", "left").withColumn("component_id", best)
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = signed.select("doc_id", "text_hash", "n_shingles", "class").join(of_class, "class", "left").withColumn("component_id", best)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
 
 
 def _with_shard(shards: int):

@@ -1,5 +1,7 @@
 import corpus_pipeline
-from offerlens.llm import language, near_dedup
+from pyspark.sql import functions as F
+
+from offerlens.llm import exact_dedup, language, mixing, near_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +29,30 @@ def test_language_stage_keeps_texts_with_letters(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert [r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, SF).collect()] == [1]
     assert language.UNKNOWN == "und"
+
+
+def test_stages_tell_rows_of_one_id_apart(spark):
+    """Null and repeated ids, repeated rows and columns named like those inside: no other text goes with a copy."""
+    long = [" ".join(f"word{(k * 7 + j) % 97}x{k}" for j in range(60)) for k in range(4)]
+    rows = [(None, long[0]), (None, long[1]), (9, long[0]), (5, long[2]), (5, long[3]), (8, long[3]), (4, long[2] + " more"), (4, long[1] + " tail"), (7, None), (7, "")]
+    docs = spark.createDataFrame([(*r, "en", "s" if k % 2 else None, 0, "c") for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, copies string")
+    docs = docs.withColumn("language", F.lit("l")).withColumn("gone", F.lit("g")).withColumn("mixed", F.lit("m")).withColumn("copy", F.lit("k"))
+    named = corpus_pipeline.identify_language(spark, docs, SF)
+    assert named.columns == docs.columns and named.count() == 8
+    exact = corpus_pipeline.drop_exact(spark, docs, SF)
+    left = lambda df: sorted(((r["doc_id"] or 0, r["text"] or "") for r in df.collect()))
+    assert exact.columns == docs.columns
+    assert left(exact) == sorted([(0, long[1]), (9, long[0]), (5, long[2]), (8, long[3]), (4, long[2] + " more"), (4, long[1] + " tail"), (7, ""), (7, "")])
+    near = corpus_pipeline.drop_near(spark, exact, SF)
+    assert near.columns == docs.columns
+    assert left(near) == sorted([(9, long[0]), (8, long[3]), (4, long[2] + " more"), (4, long[1] + " tail"), (7, ""), (7, "")])
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert mixed.columns == docs.columns
+    want = {}
+    for r in mixing.mix(docs).collect():
+        want[r["doc_id"], r["size"]] = want.get((r["doc_id"], r["size"]), 0) + r["copies"]
+    got = {}
+    for r in mixed.select("doc_id", mixing.word_count(F.col("text")).alias("size")).collect():
+        got[r["doc_id"], r["size"]] = got.get((r["doc_id"], r["size"]), 0) + 1
+    assert got == {k: v for k, v in want.items() if v}
+    assert exact_dedup.exact_groups(docs, F.col("text")).count() == len(rows)
