@@ -77,9 +77,11 @@ def _pieces(path: str, length: int, end: int):
         for batch in batches:
             ids_, texts = batch.column("doc_id").to_pylist(), common.text_column(batch)
             for lo, hi, _, _ in common.byte_blocks(texts, 1 << 21):
-                out = []
-                for doc, ids in zip(ids_[lo:hi], t.encode(texts.slice(lo, hi - lo).to_pylist()), strict=True):
-                    ids += tail
+                out, block = [], texts.slice(lo, hi - lo).to_pylist()
+                each = list(dict.fromkeys(block))  # copies that lie together, as a mix leaves them, are tokenised once
+                encoded = dict(zip(each, t.encode(each), strict=True))
+                for doc, text in zip(ids_[lo:hi], block, strict=True):
+                    ids = encoded[text] + tail
                     for k, at in enumerate(range(0, len(ids), 4 * length)):
                         part = ids[at : at + 4 * length]
                         out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
