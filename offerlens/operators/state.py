@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Prices closer than this are the same.
 EPSILON = 0.001
+#: About how many rows of an order one task numbers, the most slices, and how many keys are sampled for their bounds.
+SLICE, SLICES, SAMPLE = 50_000, 1024, 20_000
 
 
 def latest(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -74,3 +76,21 @@ def sync(config: DataFrame, stored: DataFrame, key: str, columns: Sequence[str])
 def runs(started: DataFrame) -> DataFrame:
     """Runs with a status; those that never finished were interrupted."""
     return started.withColumn("status", F.when(F.col("finished").isNull(), "interrupted").otherwise("ok"))
+
+
+def positions(rows: DataFrame, order: Sequence[Column], name: str = "n", slice_rows: int = SLICE) -> DataFrame:
+    """rows with their position from 1 in an ascending order of all rows.
+
+    Sampled keys cut the order into slices; each is numbered on its own, then moved by the number of rows before it."""
+    keyed = rows.withColumn("_key", F.struct(*order))
+    total = rows.count()
+    slices = max(1, min(SLICES, -(-total // slice_rows)))
+    some = keyed.filter(F.pmod(F.xxhash64("_key"), F.lit(max(1, total // SAMPLE))) == 0).agg(F.sort_array(F.collect_list("_key")).alias("ks"))
+    bounds = F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda j: F.get("ks", (j * F.size("ks") / slices).cast("int")))
+    cut = keyed.join(F.broadcast(some.select(F.slice(bounds, 2, slices).alias("_bounds"))))
+    cut = cut.withColumn("_slice", F.size(F.filter("_bounds", lambda b: b <= F.col("_key")))).drop("_bounds")
+    counts, before = dict(cut.groupBy("_slice").count().collect()), [0]
+    for k in range(slices):
+        before.append(before[-1] + counts.get(k, 0))
+    within = F.row_number().over(Window.partitionBy("_slice").orderBy("_key"))
+    return cut.withColumn(name, F.get(F.array(*[F.lit(n).cast("long") for n in before]), F.col("_slice")) + within).drop("_key", "_slice")

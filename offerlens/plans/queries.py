@@ -172,8 +172,15 @@ def j_history(s, d):
     return views.history(s, d).join(now, list(views.OFFER)).select("product_id", "ts", "price", "o1", "o2", "now")
 
 
+@query("o_history_all", "select product_id, source, ts, price, row_number() over (partition by product_id order by ts, o1, o2, source) as n from history")
+def o_history_all(s, d):
+    """The history of every product in the order of time; o_history is its part for the ids that its SQL names."""
+    w = Window.partitionBy("product_id").orderBy("ts", "o1", "o2", "source")
+    return views.history(s, d).withColumn("n", F.row_number().over(w)).select("product_id", "source", "ts", "price", "n")
+
+
 query("o_history", "select product_id, source, ts, price, row_number() over (partition by product_id order by ts, o1, o2, source) as n from history where product_id <= 100")(
-    lambda s, d: views.history(s, d).filter("product_id <= 100").withColumn("n", F.row_number().over(Window.partitionBy("product_id").orderBy("ts", "o1", "o2", "source"))).select("product_id", "source", "ts", "price", "n")
+    lambda s, d: o_history_all(s, d).filter("product_id <= 100")
 )
 query("j_orphans", "select id from products where id not in (select product_id from listings where region = 'ASIA')")(
     lambda s, d: views.products(s, d).join(views.listings(s, d).filter(F.col("region") == REGION), F.col("id") == F.col("product_id"), "left_anti").select("id")
@@ -411,6 +418,9 @@ _FITS = f"(brand is not null and (len(list_filter(regexp_extract_all(t, $r${text
 _title("s_target", _FITS, text.wanted)
 _title("s_wanted", f"({_FITS} and not (not {_SET} and not regexp_matches(lower(t), '\\b(gear|bolt|widget)\\b')))", lambda t: text.wanted(t, fantasy=False))
 _title("f_wanted", f"({_FITS} and not (not {_SET} and not regexp_matches(lower(t), '\\b(gear|bolt|widget)\\b')))", lambda t: text.wanted(t, fantasy=False))
+query("o_titles_len_all", "select id, row_number() over (order by length(t) desc, t, id) as n from titles", TITLES)(
+    lambda s, d: state.positions(titles(s, d), [-F.length("t"), F.col("t"), F.col("id")]).select("id", "n")
+)
 query("o_titles_len", "select id, row_number() over (order by length(t) desc, t, id) as n from titles order by n limit 200", TITLES)(
     lambda s, d: (lambda top: top.withColumn("n", F.row_number().over(Window.partitionBy().orderBy(F.length("t").desc(), "t", "id"))).select("id", "n"))(titles(s, d).orderBy(F.length("t").desc(), "t", "id").limit(200))
 )
