@@ -83,10 +83,13 @@ def suppress(alerts: DataFrame, muted: list[str], paused: bool) -> DataFrame:
 
 
 def first_by_kind(alerts: DataFrame, keep: int = 10) -> DataFrame:
-    """The first `keep` of each kind, with how many more there are."""
-    w = Window.partitionBy("kind")
-    ranked = alerts.withColumn("rank", F.row_number().over(w.orderBy("rule_id", "product_id", "source"))).withColumn("more", F.greatest(F.count(F.lit(1)).over(w) - keep, F.lit(0)))
-    return ranked.filter(F.col("rank") <= keep)
+    """The first `keep` of each kind, with how many more there are.
+
+    Only the rank is a window, so that each task drops what comes after its first `keep` before rows meet by kind."""
+    w = Window.partitionBy("kind").orderBy("rule_id", "product_id", "source")
+    first = alerts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
+    counts = alerts.groupBy(F.col("kind").alias("_kind")).agg(F.greatest(F.count(F.lit(1)) - keep, F.lit(0)).alias("more"))
+    return first.join(counts, first["kind"].eqNullSafe(counts["_kind"])).drop("_kind")
 
 
 def shape(n: Column, pictured: Column) -> Column:

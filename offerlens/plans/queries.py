@@ -474,18 +474,30 @@ query("geo_guard", "select user_id, coalesce(bool_or(abs(lat - 50) <= 0.5 and ab
 )
 
 
-def shop_payloads(s, d):
-    """One catalogue page for each seller: its parts, with a variant for each sighting."""
-    o = views.observations(s, d).filter(F.col("product_id") <= 500)
+def shop_pages(o: DataFrame, page_rows: int = 250) -> DataFrame:
+    """Catalogue pages of at most page_rows parts of one seller, with a variant for each sighting in o.
+
+    A seller's parts are dealt by their hash among groups of some ten pages, and ranked within a group."""
     v = F.struct((F.col("o1") * 10 + F.col("o2")).alias("id"), "price", (F.col("price") * 1.1).alias("compare_at_price"), (F.col("in_stock") == 1).alias("available"))
     p = o.groupBy("source", "product_id").agg(F.collect_list(v).alias("variants"))
+    groups = o.groupBy("source").agg(F.greatest(F.lit(1), F.ceil(F.approx_count_distinct("product_id") / (10 * page_rows))).alias("groups"))
+    p = p.join(groups, "source").withColumn("dealt", F.pmod(F.xxhash64("product_id"), F.col("groups")))
+    rank = F.row_number().over(Window.partitionBy("source", "dealt").orderBy("product_id"))
     one = F.struct(F.col("product_id").alias("id"), F.concat(F.lit("item "), F.col("product_id").cast("string")).alias("title"), "variants")
-    return p.groupBy("source").agg(F.to_json(F.collect_list(one)).alias("body"))
+    return p.withColumn("page", F.floor((rank - 1) / page_rows)).groupBy("source", "dealt", "page").agg(F.to_json(F.collect_list(one)).alias("body"))
+
 
+def shop_offers(s, d, part="true"):
+    return payloads.catalog_offers(shop_pages(views.observations(s, d).filter(part)), "shop").select("source", "source_sku", "title", "price", "in_stock")
 
+
+query("scan_shopify_catalog_all", """select 'shop' as source, source_sku, 'item ' || product_id as title, price, in_stock from (select *, max(in_stock) over (partition by source, product_id) as any_stock,
+  row_number() over (partition by source, product_id order by in_stock desc, price is null, price, o1 * 10 + o2) as n from observations) where n = 1""".replace("price, in_stock from", "price, any_stock as in_stock from"))(
+    shop_offers
+)
 query("scan_shopify_catalog", """select 'shop' as source, source_sku, 'item ' || product_id as title, price, in_stock from (select *, max(in_stock) over (partition by source, product_id) as any_stock,
   row_number() over (partition by source, product_id order by in_stock desc, price is null, price, o1 * 10 + o2) as n from observations where product_id <= 500) where n = 1""".replace("price, in_stock from", "price, any_stock as in_stock from"))(
-    lambda s, d: payloads.catalog_offers(shop_payloads(s, d), "shop").select("source", "source_sku", "title", "price", "in_stock")
+    lambda s, d: shop_offers(s, d, "product_id <= 500")
 )
 
 

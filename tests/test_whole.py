@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from offerlens.operators import state
+from offerlens.operators import alerts, state
 from offerlens.plans import queries, views
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +26,23 @@ def test_every_title_and_history_is_answered(spark):
     titles = queries.QUERIES["o_titles_len_all"](spark, SF).collect()
     assert sorted(r["n"] for r in titles) == list(range(1, views.table(spark, SF, "part").count() + 1))
     assert queries.QUERIES["o_history_all"](spark, SF).count() == views.history(spark, SF).count()
+
+
+def test_catalogue_pages_are_bounded_and_whole(spark):
+    parts = [("big", k) for k in range(1300)] + [("small", k) for k in range(3)]
+    o = spark.createDataFrame([(s, k, 1 + j, 0, 5.0 + j, 1) for s, k in parts for j in range(2)], "source string, product_id long, o1 long, o2 int, price double, in_stock int")
+    pages = queries.shop_pages(o).select("source", F.from_json("body", "array<struct<id:long,variants:array<struct<id:long>>>>").alias("b")).collect()
+    assert max(len(r["b"]) for r in pages) <= 250
+    assert sorted((r["source"], p["id"], len(p["variants"])) for r in pages for p in r["b"]) == sorted((s, k, 2) for s, k in parts)
+    assert queries.QUERIES["scan_shopify_catalog_all"](spark, SF).count() == views.observations(spark, SF).select("source", "product_id").distinct().count()
+
+
+def test_first_by_kind_cuts_before_rows_meet(spark):
+    rows = [(kind, k % 3, k, "s") for kind, n in (("new", 40), ("back", 4), (None, 12)) for k in range(n)]
+    first = alerts.first_by_kind(spark.createDataFrame(rows, "kind string, rule_id int, product_id int, source string").repartition(3))
+    assert "WindowGroupLimit" in first._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in first.collect():
+        got.setdefault((r["kind"], r["more"]), []).append((r["rank"], r["rule_id"], r["product_id"]))
+    want = {(kind, more): [(n, *x) for n, x in enumerate(sorted((r[1], r[2]) for r in rows if r[0] == kind)[:10], 1)] for kind, more in (("new", 30), ("back", 0), (None, 2))}
+    assert {k: sorted(v) for k, v in got.items()} == want
