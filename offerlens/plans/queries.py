@@ -436,11 +436,22 @@ _doc("html_count_suffix", r"""round(try_cast(replace(regexp_extract('(' || (doc_
 _doc("html_rating", "((doc_id % 50) / 10)::double", lambda t: text.stars(F.concat(((F.col("doc_id") % 50) / 10).cast("string"), F.lit(" out of 5 stars"))))
 QUERIES["s_clean_text"] = lambda s, d: views.table(s, d, "documents").select("doc_id", text.clean(F.col("text")).alias("v"))
 query("s_money", "select event_id, case when value is null then 'no price' else 'Rs ' || format('{:,}', round_even(value, 0)::bigint) end as v from events", "")(lambda s, d: views.table(s, d, "events").select("event_id", text.money(F.col("value")).alias("v")))
+
+
+def parsed_commands(s, d, message):
+    """Name and arguments of each message of conversations, made a command."""
+    c = views.table(s, d, "conversations").filter("text is not null").select("conv_id", "turn", F.concat(F.lit("/Find@bot "), F.trim(message)).alias("c"))
+    name, args = text.command(F.col("c"))
+    return c.select("conv_id", "turn", name.alias("name"), args.alias("args"))
+
+
+query("s_cmd_parse_all", """select conv_id, turn, lower(split_part(split_part(c, ' ', 1)[2:], '@', 1)) as name, trim(c[length(split_part(c, ' ', 1)) + 1:]) as args
+  from (select conv_id, turn, '/Find@bot ' || trim(text) as c from conversations where text is not null)""", "")(
+    lambda s, d: parsed_commands(s, d, F.col("text"))
+)
 query("s_cmd_parse", """select conv_id, turn, lower(split_part(split_part(c, ' ', 1)[2:], '@', 1)) as name, trim(c[length(split_part(c, ' ', 1)) + 1:]) as args
   from (select conv_id, turn, '/Find@bot ' || trim(text[1:40]) as c from conversations where text is not null)""", "")(
-    lambda s, d: (lambda c: c.select("conv_id", "turn", text.command(F.col("c"))[0].alias("name"), text.command(F.col("c"))[1].alias("args")))(
-        views.table(s, d, "conversations").filter("text is not null").select("conv_id", "turn", F.concat(F.lit("/Find@bot "), F.trim(F.substring("text", 1, 40))).alias("c"))
-    )
+    lambda s, d: parsed_commands(s, d, F.substring("text", 1, 40))
 )
 query("s_src_list", f"with {RULES_SQL} select rule_id, array_to_string(list_filter(list_transform(string_split(coalesce(sources, ''), ','), lambda x: trim(x)), lambda x: x <> ''), '|') as v from rules", "")(
     lambda s, d: rules(s).select("rule_id", F.array_join(alerts.source_list(F.coalesce("sources", F.lit(""))), "|").alias("v"))

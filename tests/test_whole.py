@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from offerlens.functions import text
 from offerlens.operators import alerts, state
 from offerlens.plans import queries, views
 
@@ -46,3 +47,12 @@ def test_first_by_kind_cuts_before_rows_meet(spark):
         got.setdefault((r["kind"], r["more"]), []).append((r["rank"], r["rule_id"], r["product_id"]))
     want = {(kind, more): [(n, *x) for n, x in enumerate(sorted((r[1], r[2]) for r in rows if r[0] == kind)[:10], 1)] for kind, more in (("new", 30), ("back", 0), (None, 2))}
     assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_commands_keep_the_whole_message(spark):
+    name, args = "n" * 1500, "word " * 400 + "end"
+    parsed = text.command(F.col("c"))
+    got = spark.createDataFrame([(f"/{name}@bot {args}",)], "c string").select(parsed[0].alias("name"), parsed[1].alias("args")).first()
+    assert (got["name"], got["args"]) == (name, args)
+    sent = views.table(spark, SF, "conversations").filter("text is not null").select("conv_id", "turn", F.trim("text").alias("args"))
+    assert queries.QUERIES["s_cmd_parse_all"](spark, SF).select("conv_id", "turn", "args").exceptAll(sent).count() == 0
