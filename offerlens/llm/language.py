@@ -10,7 +10,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -140,6 +140,16 @@ def predictor(model: Mixture):
     return predict
 
 
+def has_letter(texts: Column) -> Column:
+    """Whether a text has a letter, as prediction asks of it; a null text has none."""
+
+    @F.arrow_udf("boolean")
+    def found(values: pa.Array) -> pa.Array:
+        return pa.array([bool(v and _LETTER.search(v)) for v in values.to_pylist()], pa.bool_())
+
+    return found(texts)
+
+
 def identify(docs: DataFrame, model: Mixture) -> DataFrame:
     """docs with a column language (lang_pred, score, languages).
 

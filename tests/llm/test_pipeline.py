@@ -31,6 +31,13 @@ def test_language_stage_keeps_texts_with_letters(spark):
     assert language.UNKNOWN == "und"
 
 
+def test_language_stage_keeps_clean_texts_where_no_language_is_stated(spark):
+    rows = [(1, "some plain words", None), (2, "1234", None), (3, None, None), (4, "", None), (5, "\u00e9t\u00e9", None)]
+    for more in ([], [(6, None, "en")]):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string, lang string")
+        assert sorted(r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, SF).collect()) == [1, 5]
+
+
 def test_stages_tell_rows_of_one_id_apart(spark):
     """Null and repeated ids, repeated rows and columns named like those inside: no other text goes with a copy."""
     long = [" ".join(f"word{(k * 7 + j) % 97}x{k}" for j in range(60)) for k in range(4)]
