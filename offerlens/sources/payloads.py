@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from html.parser import HTMLParser
 
@@ -92,40 +93,110 @@ class WalkJson:
                 todo.extend(reversed([(f"{path}.{k}", depth + 1, v) for k, v in inner]))
 
 
+# How links to products look, and what stands on cards that can't be bought.
+ITEM_LINK = r"(?i)/p/(itm[0-9a-z]+)"
+SOLD_OUT = ("currently unavailable", "temporarily out of stock", "out of stock", "sold out", "notify me when available", "coming soon", "unavailable")
+#: Elements that a start tag ends, if they are the innermost open ones.
+_ENDS = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th")}
+
+
 class _Anchors(HTMLParser):
+    """The tree of a page: for each element its parent and the span of texts in it; and its links, closed or not."""
+
     def __init__(self):
         super().__init__()
-        self.title, self.found, self._in_title, self._open = "", [], False, None
+        self.title, self.texts, self.parent, self.span, self.open, self.links = "", [], [None], [[0, None]], [(0, "html")], []
 
     def handle_starttag(self, tag, attrs):
-        if tag == "title":
-            self._in_title = True
-        elif tag == "a":
-            self._open = [dict(attrs).get("href") or "", ""]
+        if tag == "html":
+            return
+        if tag == "a" and any(t == "a" for _, t in self.open):
+            self.handle_endtag("a")
+        while self.open[-1][1] in _ENDS.get(tag, ()):
+            self._close()
+        node = len(self.parent)
+        self.parent.append(self.open[-1][0])
+        self.span.append([len(self.texts), None])
+        if tag == "a":
+            self.links.append((node, dict(attrs).get("href") or ""))
+        if tag in cards.VOID:
+            self.span[node][1] = len(self.texts)
+        else:
+            self.open.append((node, tag))
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if tag == "title":
-            self._in_title = False
-        elif tag == "a" and self._open:
-            self.found.append(tuple(self._open))
-            self._open = None
+        if tag != "html" and any(t == tag for _, t in self.open):
+            while self._close() != tag:
+                pass
+
+    def _close(self):
+        node, tag = self.open.pop()
+        self.span[node][1] = len(self.texts)
+        return tag
 
     def handle_data(self, data):
-        if self._in_title:
+        self.texts.append(data)
+        if self.open[-1][1] == "title":
             self.title += data
-        if self._open:
-            self._open[1] += data
 
+    def close(self):
+        super().close()
+        while self.open:
+            self._close()
+
+    def within(self, node: int) -> list[str]:
+        return self.texts[slice(*self.span[node])]
 
-@F.udtf(returnType=StructType().add("title", StringType()).add("position", IntegerType()).add("href", StringType()).add("label", StringType()))
+    def card(self, link: int, phrases, known: dict[int, bool], most: int = 6) -> int:
+        """The nearest of `most` elements around a link with a rupee sign or a sold-out phrase, else the outermost of them."""
+        node = last = self.parent[link]
+        for _ in range(most):
+            if node is None:
+                break
+            if node not in known:
+                joined = "".join(self.within(node)).lower()
+                known[node] = cards.RUPEE in joined or any(p in joined for p in phrases)
+            if known[node]:
+                return node
+            last, node = node, self.parent[node]
+        return last
+
+
+_LINK = StructType().add("title", StringType()).add("position", IntegerType()).add("href", StringType()).add("label", StringType()).add("sku", StringType()).add("parts", ArrayType(StringType()))
+
+
+@F.udtf(returnType=_LINK)
 class ScanAnchors:
-    """The links of an HTML page, with the page's title."""
+    """The links of an HTML page whose path fits a pattern, with the page's title and the texts of the card around each.
+
+    sku is the first group of the pattern. A link ends where the next begins, or the page, if it is not closed before."""
 
-    def eval(self, html: str):
-        p = _Anchors()
+    def eval(self, html: str, fits: str):
+        p, known = _Anchors(), {}
         p.feed(html or "")
-        for k, (href, label) in enumerate(p.found):
-            yield Row(title=p.title.strip(), position=k, href=href, label=" ".join(label.split()))
+        p.close()
+        position = 0
+        for node, href in p.links:
+            found = re.search(fits, href.split("?")[0])
+            if found is None:
+                continue
+            parts = [t.strip() for t in p.within(p.card(node, SOLD_OUT, known))]
+            yield Row(p.title.strip(), position, href, " ".join("".join(p.within(node)).split()), found[1] if found.re.groups else None, [t for t in parts if t])
+            position += 1
+
+
+def anchored_offers(pages: DataFrame, fits: str = ITEM_LINK) -> DataFrame:
+    """pages(html, ...): links that fit, with the offer that the card around each tells. A card without a price is kept."""
+    rest = [c for c in pages.columns if c != "html"]
+    found = pages.lateralJoin(ScanAnchors(F.col("html").outer(), F.lit(fits)))
+    blob, paid = F.array_join("parts", " "), cards.amounts(F.col("parts"))
+    return found.select(
+        *rest, "title", "position", "href", "label", "sku", F.get("parts", F.lit(0)).alias("item"), F.get(paid, F.lit(0)).alias("price"),
+        cards.list_price(paid).alias("mrp"), (~text.sold_out(blob, SOLD_OUT)).cast("int").alias("in_stock"),
+    )
 
 
 # The fields of a search suggestion, and of a product of the paged service.

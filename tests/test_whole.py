@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from offerlens.functions import text
 from offerlens.operators import alerts, state
 from offerlens.plans import queries, views
+from offerlens.sources import payloads
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +57,22 @@ def test_commands_keep_the_whole_message(spark):
     assert (got["name"], got["args"]) == (name, args)
     sent = views.table(spark, SF, "conversations").filter("text is not null").select("conv_id", "turn", F.trim("text").alias("args"))
     assert queries.QUERIES["s_cmd_parse_all"](spark, SF).select("conv_id", "turn", "args").exceptAll(sent).count() == 0
+
+
+def test_anchors_read_the_card_around_each_link(spark):
+    deep = "<div>" * 7 + "<b>deep</b><a href='/x/p/itmd'>D</a>" + "</div>" * 7
+    page = f"""<html><head><title>Shop</title></head><body>
+      <div class=c><a href="/car/p/itm1a?x=1"><img src=i>Red <b>car</b></a><div><span>\u20b9499</span> <s>\u20b9 599</s></div></div>
+      <div class=c><div><div><a href="/p/ITM2b">Blue car</a></div></div><p>Sold <i>out</i></div>
+      <div class=c><p><a href="/p/itm3c">Lone</a><p>\u20b9<p>1,250</div>
+      <a href="/help">Help</a>{deep}
+      <div class=c>\u20b910 <a href="/p/itm4">Open<a href="/p/itm5">Last"""
+    pages = spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id int, html string")
+    rows = payloads.anchored_offers(pages).orderBy("position").collect()
+    assert {r["page_id"] for r in rows} == {1} and {r["title"] for r in rows} == {"Shop"}
+    assert [(r["sku"], r["label"], r["price"], r["mrp"], r["in_stock"]) for r in rows] == [
+        ("itm1a", "Red car", 499.0, 599.0, 1), ("ITM2b", "Blue car", None, None, 0), ("itm3c", "Lone", 1250.0, None, 1),
+        ("itmd", "D", None, None, 1), ("itm4", "Open", 10.0, None, 1), ("itm5", "Last", 10.0, None, 1),
+    ]
+    assert rows[3]["item"] == "deep"
+    assert payloads.anchored_offers(pages, "").count() == 7
