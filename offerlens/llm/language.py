@@ -2,7 +2,8 @@
 
 Trigrams are hashed to BUCKETS cells. Training sums, in Spark, the cells of labelled texts by language: a table of languages x
 BUCKETS. For each text, expectation-maximisation finds the proportions under all languages; then the nested sets of its most
-probable 1, 2, ... languages are refitted, and the set of largest log likelihood less a penalty a language is chosen."""
+probable 1, 2, ... languages are refitted, and the set of largest log likelihood less a penalty a language is chosen. Sets grow
+up to all languages; they end early only where no text can gain, as a log likelihood is at most 0 and the penalty alone is more."""
 
 from __future__ import annotations
 
@@ -88,8 +89,8 @@ def _fit(share, lik, weight, first, total, rounds):
 class Mixture:
     """The model as workers apply it; small enough to travel in the function that Spark ships."""
 
-    def __init__(self, langs: list[str], table: np.ndarray, penalty: float = 4.0, most: int = 3, rounds: int = 8):
-        self.langs, self.lik, self.penalty, self.most, self.rounds = langs, np.exp(table - table.max(axis=0)) if len(langs) else table, penalty, most, rounds
+    def __init__(self, langs: list[str], table: np.ndarray, penalty: float = 4.0, rounds: int = 8):
+        self.langs, self.lik, self.penalty, self.rounds = langs, np.exp(table - table.max(axis=0)) if len(langs) else table, penalty, rounds
 
     def proportions(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For the rows of a block: shares by language (zero rows where there is no trigram), and the number of languages chosen."""
@@ -106,7 +107,9 @@ class Mixture:
         share, _ = _fit(np.full((len(have), n), 1 / n), lik, weight, first, total, self.rounds)
         order = np.argsort(-share, axis=1, kind="stable")
         best = np.full(len(have), -np.inf)
-        for k in range(1, min(self.most, n) + 1):
+        for k in range(1, n + 1):
+            if k > 1 and (best >= -self.penalty * (k - 1) * np.log(total + 1)).all():
+                break
             mask = np.zeros_like(share)
             np.put_along_axis(mask, order[:, :k], 1.0, axis=1)
             start = (share + 1e-9) * mask
@@ -117,8 +120,8 @@ class Mixture:
         return out, size
 
     def predict(self, texts: pa.Array) -> pa.Array:
-        """Per text: the language of the largest share, that share, and how many languages were chosen."""
-        langs, scores, sizes = [], [], []
+        """Per text: the language of the largest share, that share, how many languages were chosen, and the shares of those, in order of language."""
+        langs, scores, sizes, counts, names, shares = [], [], [], [0], [], []
         for lo, hi, data, offsets in common.byte_blocks(texts):
             share, size = self.proportions(data, offsets)
             for text, p, k in zip(texts.slice(lo, hi - lo).to_pylist(), share, size, strict=True):
@@ -127,13 +130,19 @@ class Mixture:
                 langs.append(self.langs[top] if known else UNKNOWN)
                 scores.append(float(min(1.0, p[top])) if known else 0.0)
                 sizes.append(int(k))
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int32())], ["lang_pred", "score", "languages"])
+                at = np.flatnonzero(p).tolist() if known else []
+                names += [self.langs[x] for x in at]
+                shares += p[at].tolist()
+                counts.append(len(names))
+        each = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(shares, pa.float64())], ["lang", "share"])
+        parts = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), each)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int32()), parts], ["lang_pred", "score", "languages", "proportions"])
 
 
 def predictor(model: Mixture):
-    """A column function from text to (lang_pred, score, languages); all other columns stay in the JVM."""
+    """A column function from text to (lang_pred, score, languages, proportions); all other columns stay in the JVM."""
 
-    @F.arrow_udf("lang_pred string, score double, languages int")
+    @F.arrow_udf("lang_pred string, score double, languages int, proportions array<struct<lang: string, share: double>>")
     def predict(texts: pa.Array) -> pa.Array:
         return model.predict(pa.compute.fill_null(texts, ""))
 
@@ -151,9 +160,9 @@ def has_letter(texts: Column) -> Column:
 
 
 def identify(docs: DataFrame, model: Mixture) -> DataFrame:
-    """docs with a column language (lang_pred, score, languages).
+    """docs with a column language (lang_pred, score, languages, proportions).
 
-    A null or empty text, or one without a letter, is 'und' with score 0; so is every text where nothing was learned."""
+    A null or empty text, or one without a letter, is 'und' with score 0 and no proportions; so is every text where nothing was learned."""
     return docs.withColumn("language", predictor(model)(F.col("text")))
 
 
@@ -162,5 +171,6 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = common.crc_mod("doc_id", 4) == 2
     model = Mixture(*train(docs.filter(~held_out)))
     return identify(docs.select("doc_id", "text"), model).select(
-        "doc_id", held_out.alias("held_out"), F.col("language.lang_pred").alias("lang_pred"), F.col("language.score").alias("score")
+        "doc_id", held_out.alias("held_out"), F.col("language.lang_pred").alias("lang_pred"), F.col("language.score").alias("score"),
+        F.col("language.proportions").alias("proportions"),
     )

@@ -351,6 +351,17 @@ def test_ann(spark, metric):
     assert hit / (20 * len(got)) >= 0.9
 
 
+def test_language_finds_more_than_three(spark):
+    words = {"a": "abba bacca cabab acbac ", "d": "deffe edfed feded dfefd ", "g": "ghiig ighhi hgihg gihig ", "j": "jkllk lkjjl kljkj jlkjl ", "m": "mnoon onmmo nmono mnomn "}
+    model = language.Mixture(*language.train(spark.createDataFrame([(w * 40, k) for k, w in words.items()], "text string, lang string")))
+    texts = spark.createDataFrame([("".join(words[k] * 60 for k in some),) for some in ("adgjm", "adgj", "a")] + [("12",), (None,)], "text string")
+    rows = [r["language"] for r in language.identify(texts, model).collect()]
+    assert [r["languages"] for r in rows[:3]] == [5, 4, 1]
+    assert [[p["lang"] for p in r["proportions"]] for r in rows] == [list("adgjm"), list("adgj"), ["a"], [], []]
+    assert all(abs(p["share"] - 1 / len(r["proportions"])) < 0.02 for r in rows for p in r["proportions"])
+    assert all(abs(sum(p["share"] for p in r["proportions"]) - 1) < 1e-9 and abs(max(p["share"] for p in r["proportions"]) - r["score"]) < 1e-9 for r in rows[:3])
+
+
 def test_language(docs, spark):
     model = language.Mixture(*language.train(spark.createDataFrame([("the cat and the dog with that thing " * 5, "en"), ("le chat et le chien avec une chose " * 5, "fr")] * 3, "text string, lang string")))
     texts = [("the thing with the dog and that cat", "en"), ("une chose avec le chien et le chat", "fr"), ("12 34", "und"), ("", "und"), (None, "und"), ("ß", None)]
