@@ -172,7 +172,12 @@ def test_tokens_of_odd_texts():
     path = public_tokenizers.path("word_bpe_49k.json")
     t, own = Tokenizer.from_file(path), packing.WordTokenizer(path)
     odd = ["It's İstanbul ΣΑΣ", "áé ½²x 12345", "x<|endoftext|>y", " a\u0085b\x1cc", "don't WE'LL 'S '", "日本語 text", "Ünïcode_ÀÉ—dash…"]
-    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(odd)] == [e.ids for e in t.encode_batch(odd, add_special_tokens=False)]
+    rng = np.random.default_rng(0)
+    odd += ["", "'", "''s", "'sam 'rea 'v've''ll 'lx", "x.'s '", "Ⱥb ȺȾ", "'é 'ré", "\u00a0 \u0085"]
+    odd += ["".join(rng.choice(list("ab'stmdrevll'' .3é½\n-ÀΣ"), rng.integers(0, 40))) for _ in range(400)]
+    want = [e.ids for e in t.encode_batch(odd, add_special_tokens=False)]
+    for block in ([odd], [[o] for o in odd], [odd]):  # many texts, single ones, and words that are remembered
+        assert [ids[x:y].tolist() for texts in block for ids, at in [own.encode(texts)] for x, y in zip(at[:-1], at[1:])] == want
 
 
 @pytest.mark.parametrize("seed", range(4))
