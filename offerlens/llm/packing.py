@@ -23,8 +23,6 @@ from . import common
 
 LENGTH = 4096
 END = 1
-#: Pieces of a length that are ranked in one group, about: a common length is dealt over as many groups as it needs.
-RANKED = 200_000
 #: Bytes of the texts that are split at once (a longer text stands alone).
 BLOCK = 1 << 23
 #: Words that a worker remembers the ids of.
@@ -339,10 +337,9 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> Da
     counts = np.zeros(length + 1, np.int64)
     for r in by_length.collect():  # `length` numbers at most
         counts[r["length"]] = r["n"]
-    # salts: a number for each length, in an array of length + 1 entries
-    salts = F.get(F.lit((-(-counts // RANKED)).tolist()), F.col("length").cast("int"))
+    # the pieces of a length are ranked in groups, whose number and size both grow with the square root of their count
+    salts = F.get(F.lit(np.ceil(np.sqrt(counts) / 4).astype(int).tolist()), F.col("length").cast("int"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts))
-    # a row for each length and salt: one for about RANKED pieces, besides one a length
     sums = rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     starts = sums.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
