@@ -315,6 +315,67 @@ def test_pii_learns(spark):
     assert hit / total > 0.85
 
 
+def contract_spans(text):
+    """The four expressions of the contract, as they stand there."""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        if 14 <= len(d) <= 19 and sum(x if k % 2 == 0 else (2 * x) % 9 or (2 * x and 9) for k, x in enumerate(d[::-1])) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    return sorted(out + [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= sum(c.isdigit() for c in m[0]) <= 15])
+
+
+def test_pii_base_spans(spark, docs):
+    """base_sha256 and the counts against the contract's expressions, on whole texts: real ones, and dense, odd and very long ones."""
+    rng = np.random.default_rng(8)
+    odd = ["".join(rng.choice(list("0123456789.+- ()@ab%é"), rng.integers(0, 300))) for _ in range(150)]
+    odd += ["4111 1111 1111 1111 " * 30, "1.2.3.4" * 50, "a@b.c" * 40, "x " * 60_000 + "me@example.com " + "y" * 100_000 + " 10.1.2.3", "", None]
+    real = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    texts = odd + real
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for r in pii.find(df, None).collect():
+        want = contract_spans(texts[r["doc_id"]] or "")
+        assert r["spans"] == pii._joined(want) and r["base_sha256"] == hashlib.sha256(pii._joined(want).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[1] == n for s in want) for n in range(4)]
+
+
+def test_pii_adds_spans(spark):
+    """Personal data in forms that no pattern matches is added in texts not trained on, and little else; pattern spans stay."""
+    train = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    tagger = pii.train(train)
+    rng = np.random.default_rng(77)
+    words = [w for r in train.collect() for w in (r["text"] or "").split() if w.isalpha() and w.lower() != "at"][:4000]
+    texts, want = [], []
+    for _ in range(150):
+        text, spans = "", []
+        for _ in range(4):
+            text += " ".join(rng.choice(words, int(rng.integers(8, 50)))) + " "
+            kind = int(rng.integers(4))
+            form = pii.forms(kind, rng)
+            spans.append((len(text), kind, len(text) + len(form)))
+            text += form + " "
+        texts.append(text + "at the end")
+        want.append(set(spans))
+    base = [pii.patterns(t) for t in texts]
+    added = pii._added(tagger, texts, base, pii.SURE)
+    novel = [w - set(b) for w, b in zip(want, base)]
+    hit = sum(len(set(a) & n) for a, n in zip(added, novel))
+    assert hit / sum(map(len, added)) > 0.9 and hit / sum(map(len, novel)) > 0.6
+    plain = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for r in pii.find(plain, tagger).collect():
+        spans = sorted(base[r["doc_id"]] + added[r["doc_id"]])
+        assert r["spans"] == pii._joined(spans) and r["n_added"] == len(added[r["doc_id"]])
+    # decoding every window gives the same spans
+    every = pii._Windows.hot
+    pii._Windows.hot = lambda w: np.arange(len(w.of))
+    try:
+        assert pii._added(tagger, texts + ["", "z" * 5000, "7" * 700], [*base, [], [], []], 0.5) == (whole := pii._added(tagger, texts + ["", "z" * 5000, "7" * 700], [*base, [], [], []], 0.5))
+    finally:
+        pii._Windows.hot = every
+    assert pii._added(tagger, texts + ["", "z" * 5000, "7" * 700], [*base, [], [], []], 0.5) == whole
+
+
 def test_urls(spark):
     rows = [
         (1, "https://WWW.Example.com/en/12?x"), (2, "http://example.com/en/"), (3, "http://a.example.com/en/9#f"), (4, "http://b.net/es/1"), (5, "http://b.net/en/1"), (6, None),
