@@ -49,6 +49,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, by: list[str] | None = None) -> DataFrame:
+    """left joined with right on keys, without weight. right has one row a key, and in `weight` how many of left's `total` rows have it.
+
+    A key with more than an even share of the rows, one part in spark.sql.shuffle.partitions, is dealt over as many salts as it
+    has shares. There are at most as many such keys as shares, so the table of them is broadcast, and right grows by no more rows.
+    by: the columns of left whose hash chooses the salt; all others than keys by default."""
+    share = max(1, total // shuffle_partitions(left.sparkSession))
+    salts = F.greatest(F.ceil(F.col(weight) / share), F.lit(1))
+    hot = right.filter(F.col(weight) > share).select(*keys, salts.alias("_salts"))
+    of = F.xxhash64(*(by or [c for c in left.columns if c not in keys]))
+    left = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(of, F.coalesce("_salts", F.lit(1)))).drop("_salts")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop(weight)
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
 def id_text(doc_id: str = "doc_id"):
     return F.col(doc_id).cast("string")
 

@@ -3,8 +3,14 @@
 Per host, urls are a tree of path segments. Segments are first reduced to their shape (runs of digits become #), so that a table
 of distinct (host, shape) with counts stands for all urls. Going down level by level, a segment that too few urls of its parent
 share becomes the wildcard *; among the segments that stay, those whose labelled share cannot be told from the pool of their
-siblings (a two-proportion z test) are merged into +. A template is rejected if its smoothed share of rejected labels,
-(rejected + 1) / (labelled + 2), reaches the threshold. A template without labels has share 1/2 and is never rejected."""
+siblings (a two-proportion z test) are merged into +. Below a node of fewer than `support` urls all segments are *, so the tree goes
+as deep as that many urls agree, and no further.
+
+Purity is the share of rejected labels, smoothed towards the node above: (rejected + prior * purity above) / (labelled + prior); above
+a host stands the share over all hosts. So a template without labels of its own has the purity of the nearest nodes above it that
+have some, and is rejected with them if their labels are many and nearly all bad. Templates at the threshold or over it are rejected.
+
+Tables are joined by node; the few nodes that hold more than an even share of the rows are salted (`common.spread_join`)."""
 
 from __future__ import annotations
 
@@ -16,10 +22,6 @@ from . import common
 #: (verdict, host, path) of the query's rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
-#: Parts that the small table of templates is repeated for, so that the urls of one hot template are joined in as many tasks.
-SALTS = 32
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -41,34 +43,62 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def path_templates(shapes: DataFrame, levels: int = 4, share: float = 0.02, support: int = 5, z: float = 2.0) -> DataFrame:
-    """shapes (host, shape, n, rejected, labelled) with a column template; segments below `levels` are one ** each."""
+def _purity(above, prior: float) -> Column:
+    return (F.col("rejected") + prior * above) / (F.col("labelled") + prior)
+
+
+SUMS = ("n", "rejected", "labelled")
+
+
+def path_templates(shapes: DataFrame, share: float = 0.02, support: int = 5, z: float = 2.0, prior: float = 2.0) -> DataFrame:
+    """(host, shape, n, rejected, labelled, template, above) for shapes (host, shape, n, rejected, labelled); above: the purity of the node over the template."""
+    total, rejected, labelled = shapes.agg(F.count(F.lit(1)), F.sum("rejected"), F.sum("labelled")).first()  # three numbers
+    prior_ = F.lit(((rejected or 0) + 1) / ((labelled or 0) + 2))
+    sums = lambda: [F.sum(c).alias(c) for c in SUMS]
+    hosts = shapes.groupBy("host").agg(*sums(), F.count(F.lit(1)).alias("m"))
+    hosts = hosts.select("host", "m", F.col("n").alias("node_n"), _purity(prior_, prior).alias("node_p"), prior_.alias("above"))
     segs = F.filter(F.split("shape", "/"), lambda s: s != "")
     tree = shapes.withColumn("segs", segs).withColumn("template", F.lit(""))
-    for k in range(levels):
-        tree = tree.withColumn("seg", F.coalesce(F.get("segs", F.lit(k)), F.lit("")))
-        nodes = tree.groupBy("host", "template", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "rejected", "labelled")])
-        parent = Window.partitionBy("host", "template")
-        fixed = (F.col("seg") == "") | (F.col("n") >= F.greatest(F.lit(support), share * F.sum("n").over(parent)))
-        nodes = nodes.withColumn("name", F.when(fixed, F.col("seg")).otherwise("*"))
-        pool = Window.partitionBy("host", "template", "plain")
-        nodes = nodes.withColumn("plain", (F.col("name") != "*") & (F.col("seg") != ""))
-        nodes = nodes.withColumn("p", (F.col("rejected") + 1) / (F.col("labelled") + 2))
-        nodes = nodes.withColumn("q", (F.sum("rejected").over(pool) + 1) / (F.sum("labelled").over(pool) + 2)).withColumn("branches", F.count(F.lit(1)).over(pool))
-        apart = F.sqrt(F.col("q") * (1 - F.col("q")) * (1 / (F.col("labelled") + 2) + 1 / (F.sum("labelled").over(pool) + 2)))
-        alike = F.col("plain") & (F.col("branches") > 1) & (F.col("labelled") > 0) & (F.abs(F.col("p") - F.col("q")) <= z * apart)
-        names = nodes.select("host", "template", "seg", F.when(alike, F.lit("+")).otherwise(F.col("name")).alias("name"))
-        tree = tree.join(names, ["host", "template", "seg"]).withColumn(
-            "template", F.when(F.col("seg") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))
-        ).drop("name")
-    return tree.withColumn("template", F.when(F.size("segs") > levels, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("segs", "seg")
-
-
-def judge_urls(pages: DataFrame, url: str = "url", rules=RULES, label: Column | None = None, threshold: float = 0.9, **tree) -> DataFrame:
+    tree = common.checkpointed(common.spread_join(tree, hosts, ["host"], "m", total))
+    ended, k = [], 0
+    while True:
+        deeper = (F.size("segs") > k) & (F.col("node_n") >= support)
+        rest = F.size("segs") - k
+        done = tree.filter(~deeper)
+        done = done.withColumn("template", F.concat("template", F.repeat(F.lit("/*"), rest))).withColumn("above", F.when(rest > 0, F.col("node_p")).otherwise(F.col("above")))
+        ended.append(done.select("host", "shape", *SUMS, "template", "above"))
+        tree = tree.filter(deeper).withColumn("seg", F.get("segs", F.lit(k)))
+        if tree.isEmpty():
+            out = ended[0]
+            for e in ended[1:]:
+                out = out.unionByName(e)
+            return out
+        nodes = tree.groupBy("host", "template", "seg").agg(*sums(), F.count(F.lit(1)).alias("m"), F.max("node_n").alias("node_n"), F.max("node_p").alias("node_p"))
+        nodes = common.checkpointed(nodes.withColumn("stays", F.col("n") >= F.greatest(F.lit(support), share * F.col("node_n"))))
+        # siblings that stay are at most 1 / share
+        siblings = Window.partitionBy("host", "template")
+        stay = nodes.filter("stays").withColumn("p", (F.col("rejected") + 1) / (F.col("labelled") + 2))
+        stay = stay.withColumn("pool", F.sum("labelled").over(siblings) + 2).withColumn("q", (F.sum("rejected").over(siblings) + 1) / F.col("pool"))
+        apart = F.sqrt(F.col("q") * (1 - F.col("q")) * (1 / (F.col("labelled") + 2) + 1 / F.col("pool")))
+        alike = (F.count(F.lit(1)).over(siblings) > 1) & (F.col("labelled") > 0) & (F.abs(F.col("p") - F.col("q")) <= z * apart)
+        named = stay.withColumn("name", F.when(alike, F.lit("+")).otherwise(F.col("seg"))).select(*nodes.columns, "name")
+        named = named.unionByName(nodes.filter("not stays").withColumn("name", F.lit("*")))
+        named = common.checkpointed(named.withColumn("into", F.concat("template", F.lit("/"), "name")))
+        merged = named.groupBy("host", "into").agg(*sums(), F.count(F.lit(1)).alias("k"), F.max("node_p").alias("over"))
+        merged = merged.select("host", "into", "k", F.col("n").alias("new_n"), _purity(F.col("over"), prior).alias("new_p"), "over")
+        named = common.spread_join(named.select("host", "template", "seg", "m", "into"), merged, ["host", "into"], "k", total)
+        tree = common.spread_join(tree.drop("node_n", "node_p", "above"), named, ["host", "template", "seg"], "m", total)
+        tree = tree.select("host", "shape", *SUMS, "segs", F.col("into").alias("template"), F.col("new_n").alias("node_n"), F.col("new_p").alias("node_p"), F.col("over").alias("above"))
+        tree, k = common.checkpointed(tree), k + 1
+
+
+def judge_urls(pages: DataFrame, url: str = "url", rules=RULES, label: Column | None = None, threshold: float = 0.9, prior: float = 2.0, **tree) -> DataFrame:
     """pages(page_id, url) as (page_id, host, path, rule, template, purity, verdict); a row for each row.
 
     label: 1 for urls known to be bad, 0 for good, null else; the verdict of the rules by default. A null url, or one without
-    '://', has an empty host and path and forms a template with its like. An empty table gives no rows."""
+    '://', has an empty host and path and forms a template with its like. Paths of any length and depth are read whole. Rows that
+    repeat a page_id or url are judged alike, each as a row; other columns of pages are not read, whatever their names. An empty
+    table gives no rows."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), *([] if label is None else [label.alias("label")]))
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
@@ -77,13 +107,14 @@ def judge_urls(pages: DataFrame, url: str = "url", rules=RULES, label: Column |
         rows = rows.withColumn("label", (F.col("ruled") == "block").cast("int"))
     rows = rows.withColumn("shape", F.regexp_replace("path", r"[0-9]+", "#"))
     shapes = rows.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("rejected"), F.count("label").alias("labelled"))
-    shapes = common.checkpointed(path_templates(common.checkpointed(shapes), **tree))
-    verdicts = shapes.groupBy("host", "template").agg(((F.sum("rejected") + 1) / (F.sum("labelled") + 2)).alias("purity"))
-    known = shapes.join(verdicts, ["host", "template"]).select("host", "shape", "template", "purity")
-    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
+    shapes = common.checkpointed(path_templates(common.checkpointed(shapes), prior=prior, **tree))
+    verdicts = shapes.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in SUMS[1:]], F.min("above").alias("above"), F.count(F.lit(1)).alias("m"))
+    verdicts = verdicts.select("host", "template", "m", _purity(F.col("above"), prior).alias("purity"))
+    total = shapes.agg(F.count(F.lit(1)), F.sum("n")).first()  # two numbers
+    known = common.spread_join(shapes.select("host", "shape", "n", "template"), verdicts, ["host", "template"], "m", total[0])
     by_tree = F.when(F.col("purity") >= threshold, "block").otherwise("allow")
-    return rows.join(known, ["host", "shape", "salt"]).select("page_id", "host", "path", "rule", "template", "purity", F.coalesce("ruled", by_tree).alias("verdict"))
+    rows = common.spread_join(rows, known.select("host", "shape", "n", "template", "purity"), ["host", "shape"], "n", total[1] or 0, by=["page_id", "path"])
+    return rows.select("page_id", "host", "path", "rule", "template", "purity", F.coalesce("ruled", by_tree).alias("verdict"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

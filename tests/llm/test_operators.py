@@ -397,6 +397,93 @@ def test_url_templates(spark):
     assert got[79]["template"] == "/spam/*/#" and got[79]["verdict"] == "block" and got[179]["verdict"] == "allow"
 
 
+def brute_tree(rows, share=0.02, support=5, z=2.0, prior=2.0):
+    """rows (host, shape, label) to {(host, shape): (template, purity)}, by recursion over nodes."""
+    overall = (sum(x == 1 for *_, x in rows) + 1) / (sum(x is not None for *_, x in rows) + 2)
+    hosts, template_of, over = defaultdict(list), {}, {}
+    for h, shape, x in rows:
+        hosts[h].append(([s for s in shape.split("/") if s], shape, x))
+    bad, known = lambda us: sum(x == 1 for *_, x in us), lambda us: sum(x is not None for *_, x in us)
+    purity = lambda us, above: (bad(us) + prior * above) / (known(us) + prior)
+
+    def visit(h, template, us, above, k):
+        p = purity(us, above)
+        children = defaultdict(list)
+        for u in us:
+            if len(u[0]) <= k or len(us) < support:
+                name = template + "/*" * (len(u[0]) - k)
+                template_of[h, u[1]] = name
+                over[h, name] = min(over.get((h, name), 9), p if len(u[0]) > k else above)
+            else:
+                children[u[0][k]].append(u)
+        stay = {s: c for s, c in children.items() if len(c) >= max(support, share * len(us))}
+        pool = sum(map(known, stay.values())) + 2
+        q = (sum(map(bad, stay.values())) + 1) / pool
+        into = defaultdict(list)
+        for s, c in children.items():
+            alike = s in stay and len(stay) > 1 and known(c) and abs((bad(c) + 1) / (known(c) + 2) - q) <= z * math.sqrt(q * (1 - q) * (1 / (known(c) + 2) + 1 / pool))
+            into["+" if alike else s if s in stay else "*"] += c
+        for name, c in into.items():
+            visit(h, f"{template}/{name}", c, p, k + 1)
+
+    for h, us in hosts.items():
+        visit(h, "", us, overall, 0)
+    of_template = defaultdict(list)
+    for h, shape, x in rows:
+        of_template[h, template_of[h, shape]].append((x,))
+    return {(h, shape): (t, purity(of_template[h, t], over[h, t])) for (h, shape), t in template_of.items()}
+
+
+HOST, PATH = r"regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)", r"regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+URL_SQL = f"""
+with r(verdict, h, p) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+u as (select page_id, translate(coalesce({HOST}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, coalesce({PATH}, '') as path from pages)
+select page_id, host, path, (select arg_max(h || p, length(h || p)) from r where (host = h or host like '%.' || h) and starts_with(path, p)) as rule,
+       (select arg_max(verdict, length(h || p)) from r where (host = h or host like '%.' || h) and starts_with(path, p)) as ruled
+from u
+"""
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_urls_on_pages(spark, sf):
+    """Whole tables: host, path and rule against SQL, templates and verdicts against the recursion; the tree blocks some urls without a rule."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '/root/testdata/{sf}/pages.parquet'")
+    want = {r[0]: r[1:] for r in con.sql(URL_SQL).fetchall()}
+    got = {r["page_id"]: r for r in url_filter.op7_url_filter(spark, f"/root/testdata/{sf}").collect()}
+    assert {k: (r["host"], r["path"], r["rule"]) for k, r in got.items()} == {k: v[:3] for k, v in want.items()}
+    shape = lambda path: re.sub("[0-9]+", "#", path)
+    tree = brute_tree([(h, shape(p), None if ruled is None else int(ruled == "block")) for h, p, _, ruled in want.values()])
+    for k, (h, p, _, ruled) in want.items():
+        template, purity = tree[h, shape(p)]
+        assert got[k]["template"] == template and got[k]["purity"] == pytest.approx(purity)
+        assert got[k]["verdict"] == (ruled or ("block" if purity >= 0.9 else "allow"))
+    if sf == "sf0.1":
+        free = [r["verdict"] for r in got.values() if r["rule"] is None]
+        assert 0 < free.count("block") < free.count("allow")
+
+
+def test_url_tree_random(spark):
+    """Deep, hot, null, repeated and unlabelled urls against the recursion."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(900):
+        host = "hot.org" if k % 3 else f"h{k % 7}.org"
+        path = "/".join(str(rng.choice(["a", "b", "c", "d", str(k), f"s{k}"], p=[0.4, 0.2, 0.1, 0.1, 0.1, 0.1])) for _ in range(int(rng.integers(0, 9))))
+        rows.append((k // 2, f"http://{host}/{path}", [None, 0, 1, 1 if "/a/" in path else 0][int(rng.integers(4))]))
+    rows += [(None, None, None), (7, "", 1), (7, "", 1), (7, "x", None), (2000, "http://hot.org/" + "a/" * 60, None)] + [(3000 + k, "http://deep.org/" + "q/" * 12 + str(k), 1) for k in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad int").withColumn("host", F.lit(1)).withColumn("n", F.lit("x")).repartition(3)
+    got = url_filter.judge_urls(df, rules=(), label=F.col("bad")).collect()
+    parts = [re.match(r"(?s).*?://([^/]*)(.*)", u or "") for _, u, _ in rows]
+    keys = [(m[1], re.sub("[0-9]+", "#", m[2])) if m else ("", "") for m in parts]
+    tree = brute_tree([(*key, x) for key, (_, _, x) in zip(keys, rows)])
+    want = Counter((i, *key, tree[key][0], round(tree[key][1], 9)) for key, (i, _, _) in zip(keys, rows))
+    assert Counter((r["page_id"], r["host"], re.sub("[0-9]+", "#", r["path"]), r["template"], round(r["purity"], 9)) for r in got) == want
+    assert any(r["template"].count("q") == 12 for r in got)
+
+
 @pytest.mark.parametrize("metric", ["ip", "l2"])
 def test_ann(spark, metric):
     rng = np.random.default_rng(4)
