@@ -59,7 +59,7 @@ def path_templates(shapes: DataFrame, share: float = 0.02, support: int = 5, z:
     hosts = hosts.select("host", "m", F.col("n").alias("node_n"), _purity(prior_, prior).alias("node_p"), prior_.alias("above"))
     segs = F.filter(F.split("shape", "/"), lambda s: s != "")
     tree = shapes.withColumn("segs", segs).withColumn("template", F.lit(""))
-    tree = common.checkpointed(common.spread_join(tree, hosts, ["host"], "m", total))
+    tree = common.stored(common.spread_join(tree, hosts, ["host"], "m", total))
     ended, k = [], 0
     while True:
         deeper = (F.size("segs") > k) & (F.col("node_n") >= support)
@@ -74,7 +74,7 @@ def path_templates(shapes: DataFrame, share: float = 0.02, support: int = 5, z:
                 out = out.unionByName(e)
             return out
         nodes = tree.groupBy("host", "template", "seg").agg(*sums(), F.count(F.lit(1)).alias("m"), F.max("node_n").alias("node_n"), F.max("node_p").alias("node_p"))
-        nodes = common.checkpointed(nodes.withColumn("stays", F.col("n") >= F.greatest(F.lit(support), share * F.col("node_n"))))
+        nodes = common.stored(nodes.withColumn("stays", F.col("n") >= F.greatest(F.lit(support), share * F.col("node_n"))))
         # siblings that stay are at most 1 / share
         siblings = Window.partitionBy("host", "template")
         stay = nodes.filter("stays").withColumn("p", (F.col("rejected") + 1) / (F.col("labelled") + 2))
@@ -83,13 +83,13 @@ def path_templates(shapes: DataFrame, share: float = 0.02, support: int = 5, z:
         alike = (F.count(F.lit(1)).over(siblings) > 1) & (F.col("labelled") > 0) & (F.abs(F.col("p") - F.col("q")) <= z * apart)
         named = stay.withColumn("name", F.when(alike, F.lit("+")).otherwise(F.col("seg"))).select(*nodes.columns, "name")
         named = named.unionByName(nodes.filter("not stays").withColumn("name", F.lit("*")))
-        named = common.checkpointed(named.withColumn("into", F.concat("template", F.lit("/"), "name")))
+        named = common.stored(named.withColumn("into", F.concat("template", F.lit("/"), "name")))
         merged = named.groupBy("host", "into").agg(*sums(), F.count(F.lit(1)).alias("k"), F.max("node_p").alias("over"))
         merged = merged.select("host", "into", "k", F.col("n").alias("new_n"), _purity(F.col("over"), prior).alias("new_p"), "over")
         named = common.spread_join(named.select("host", "template", "seg", "m", "into"), merged, ["host", "into"], "k", total)
         tree = common.spread_join(tree.drop("node_n", "node_p", "above"), named, ["host", "template", "seg"], "m", total)
         tree = tree.select("host", "shape", *SUMS, "segs", F.col("into").alias("template"), F.col("new_n").alias("node_n"), F.col("new_p").alias("node_p"), F.col("over").alias("above"))
-        tree, k = common.checkpointed(tree), k + 1
+        tree, k = common.stored(tree), k + 1
 
 
 def judge_urls(pages: DataFrame, url: str = "url", rules=RULES, label: Column | None = None, threshold: float = 0.9, prior: float = 2.0, **tree) -> DataFrame:
@@ -107,7 +107,7 @@ def judge_urls(pages: DataFrame, url: str = "url", rules=RULES, label: Column |
         rows = rows.withColumn("label", (F.col("ruled") == "block").cast("int"))
     rows = rows.withColumn("shape", F.regexp_replace("path", r"[0-9]+", "#"))
     shapes = rows.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("rejected"), F.count("label").alias("labelled"))
-    shapes = common.checkpointed(path_templates(common.checkpointed(shapes), prior=prior, **tree))
+    shapes = common.stored(path_templates(common.stored(shapes), prior=prior, **tree))
     verdicts = shapes.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in SUMS[1:]], F.min("above").alias("above"), F.count(F.lit(1)).alias("m"))
     verdicts = verdicts.select("host", "template", "m", _purity(F.col("above"), prior).alias("purity"))
     total = shapes.agg(F.count(F.lit(1)), F.sum("n")).first()  # two numbers
