@@ -3,7 +3,10 @@
 Trigrams are hashed to BUCKETS cells. Training sums, in Spark, the cells of labelled texts by language: a table of languages x
 BUCKETS. For each text, expectation-maximisation finds the proportions under all languages; then the nested sets of its most
 probable 1, 2, ... languages are refitted, and the set of largest log likelihood less a penalty a language is chosen. Sets grow
-up to all languages; they end early only where no text can gain, as a log likelihood is at most 0 and the penalty alone is more."""
+up to all languages; they end early only where no text can gain, as a log likelihood is at most 0 and the penalty alone is more.
+
+A text with letters and no trigram has the shares in which training texts have the languages. The score is the largest share times
+the part of the text's characters whose first byte training has seen: a text in a script that no training text uses has score 0."""
 
 from __future__ import annotations
 
@@ -18,11 +21,15 @@ from . import common
 
 BUCKETS = 4096
 UNKNOWN = "und"
+#: Languages at most: the table of languages x BUCKETS goes through the driver and to all tasks.
+LANGUAGES = 1000
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes by class: 1-26 letters, 27-63 bytes of characters beyond ASCII, 0 the rest.
 _CLASS = np.zeros(256, np.int64)
 _CLASS[97:123] = _CLASS[65:91] = np.arange(1, 27)
 _CLASS[128:] = 27 + np.arange(128) % 37
+#: Bytes with which letters, or characters beyond ASCII, begin.
+_LEAD = (_CLASS > 0) & ((np.arange(256) < 128) | (np.arange(256) >= 0xC0))
 
 
 def _cells(data: np.ndarray) -> np.ndarray:
@@ -55,6 +62,9 @@ def _count_cells(batches):
             names = sorted(set(langs[lo:hi]))
             which = np.array([names.index(x) for x in langs[lo:hi]])
             found = np.bincount(which[row] * BUCKETS + cell, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
+            lead, text = np.flatnonzero(_LEAD[data]), np.repeat(which, np.diff(offsets))
+            leads = np.bincount(text[lead] * 256 + data[lead], minlength=len(names) * 256).reshape(-1, 256)
+            found = np.concatenate([found, leads, np.bincount(which, minlength=len(names))[:, None]], axis=1)
             for name, n in zip(names, found, strict=True):
                 sums[name] = sums.get(name, 0) + n
     for name, n in sums.items():
@@ -62,18 +72,24 @@ def _count_cells(batches):
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "cell", "n"])
 
 
-def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages in order, log-probability table) from texts with a language; cells smoothed by 1/2.
+def train(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(languages in order, log-probability table, share of the texts, which first bytes were seen) from texts with a language; cells smoothed by 1/2.
 
-    The driver gets languages x BUCKETS sums, however many texts there are."""
-    sums = labelled.select("text", "lang").filter("text is not null and lang is not null").mapInArrow(_count_cells, "lang string, cell int, n long")
-    sums = sums.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    Rows without text or language are left out. The driver gets languages x BUCKETS sums, however many texts there are; more
+    languages than LANGUAGES are an error."""
+    labelled = labelled.select("text", "lang").filter("text is not null and lang is not null")
+    sums = labelled.mapInArrow(_count_cells, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    sums = common.checkpointed(sums)
+    if sums.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    sums = sums.toPandas()
     langs = sorted(sums["lang"].unique())
-    table = np.full((len(langs), BUCKETS), 0.5)
+    table = np.zeros((len(langs), BUCKETS + 257))
     if len(langs):
         at = {x: k for k, x in enumerate(langs)}
         table[sums["lang"].map(at).to_numpy(), sums["cell"].to_numpy()] += sums["n"].to_numpy()
-    return langs, np.log(table / table.sum(axis=1, keepdims=True))
+    cells, texts, seen = table[:, :BUCKETS] + 0.5, table[:, -1], table[:, BUCKETS:-1].sum(axis=0) > 0
+    return langs, np.log(cells / cells.sum(axis=1, keepdims=True)), texts / max(texts.sum(), 1), seen
 
 
 def _fit(share, lik, weight, first, total, rounds):
@@ -89,8 +105,10 @@ def _fit(share, lik, weight, first, total, rounds):
 class Mixture:
     """The model as workers apply it; small enough to travel in the function that Spark ships."""
 
-    def __init__(self, langs: list[str], table: np.ndarray, penalty: float = 4.0, rounds: int = 8):
+    def __init__(self, langs: list[str], table: np.ndarray, prior: np.ndarray, seen: np.ndarray, penalty: float = 4.0, rounds: int = 8):
         self.langs, self.lik, self.penalty, self.rounds = langs, np.exp(table - table.max(axis=0)) if len(langs) else table, penalty, rounds
+        ascii_ = (np.arange(256) < 128) & _LEAD  # these letters stand or fall together
+        self.prior, self.seen = prior, np.where(ascii_, seen[ascii_].any(), seen & _LEAD)
 
     def proportions(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For the rows of a block: shares by language (zero rows where there is no trigram), and the number of languages chosen."""
@@ -119,16 +137,23 @@ class Mixture:
             best[better], out[have[better]], size[have[better]] = ll[better], fitted[better], k
         return out, size
 
+    def familiar(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """For each row, the part of its letters and characters beyond ASCII whose first byte was seen in training."""
+        begins, seen = (np.concatenate([[0], np.cumsum(x[data])]) for x in (_LEAD, self.seen))
+        return np.diff(seen[offsets]) / np.maximum(np.diff(begins[offsets]), 1)
+
     def predict(self, texts: pa.Array) -> pa.Array:
-        """Per text: the language of the largest share, that share, how many languages were chosen, and the shares of those, in order of language."""
+        """Per text: the language of the largest share, that share (less for characters not seen in training), how many languages were chosen, and the shares of those, in order of language."""
         langs, scores, sizes, counts, names, shares = [], [], [], [0], [], []
         for lo, hi, data, offsets in common.byte_blocks(texts):
             share, size = self.proportions(data, offsets)
-            for text, p, k in zip(texts.slice(lo, hi - lo).to_pylist(), share, size, strict=True):
+            for text, p, k, f in zip(texts.slice(lo, hi - lo).to_pylist(), share, size, self.familiar(data, offsets), strict=True):
                 known = len(self.langs) > 0 and _LETTER.search(text)
+                if known and not k:
+                    p = self.prior
                 top = int(p.argmax()) if known else 0
                 langs.append(self.langs[top] if known else UNKNOWN)
-                scores.append(float(min(1.0, p[top])) if known else 0.0)
+                scores.append(float(min(1.0, p[top]) * f) if known else 0.0)
                 sizes.append(int(k))
                 at = np.flatnonzero(p).tolist() if known else []
                 names += [self.langs[x] for x in at]
@@ -162,7 +187,10 @@ def has_letter(texts: Column) -> Column:
 def identify(docs: DataFrame, model: Mixture) -> DataFrame:
     """docs with a column language (lang_pred, score, languages, proportions).
 
-    A null or empty text, or one without a letter, is 'und' with score 0 and no proportions; so is every text where nothing was learned."""
+    A null or empty text, or one without a letter, is 'und' with score 0 and no proportions; so is every text where nothing was
+    learned (an empty table, or one where every lang is null). A letter or two have no trigram: languages is 0, and the shares are
+    those of the training texts. Whole texts are read, however long; repeated rows are answered alike. A column of docs that is
+    named language is replaced; all others stay."""
     return docs.withColumn("language", predictor(model)(F.col("text")))
 
 

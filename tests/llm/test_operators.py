@@ -515,6 +515,57 @@ def test_language_finds_more_than_three(spark):
     assert all(abs(sum(p["share"] for p in r["proportions"]) - 1) < 1e-9 and abs(max(p["share"] for p in r["proportions"]) - r["score"]) < 1e-9 for r in rows[:3])
 
 
+def brute_mixture(model, text):
+    """Shares by language, and how many are chosen: EM on the list of a text's trigrams, one text at a time."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    cells = [int(c) for c in language._cells(data) if c >= 0]
+    lik, n, share = model.lik.T[cells], len(cells), np.full(len(model.langs), 1 / len(model.langs))
+
+    def em(share, rounds):
+        for _ in range(rounds):
+            part = lik * share
+            share = (part / part.sum(axis=1, keepdims=True)).sum(axis=0) / n
+        return share, np.log((lik * share).sum(axis=1)).sum()
+
+    share, _ = em(share, model.rounds)
+    order, best = np.argsort(-share, kind="stable"), (-np.inf, None, 0)
+    for k in range(1, len(model.langs) + 1):
+        start = np.zeros(len(share))
+        start[order[:k]] = share[order[:k]] + 1e-9
+        fitted, ll = em(start / start.sum(), 4 if k > 1 else 0)
+        best = max(best, (ll - model.penalty * (k - 1) * np.log(n + 1), tuple(fitted), k), key=lambda b: b[0])
+    return np.array(best[1]), best[2]
+
+
+def test_language_against_em(spark):
+    """Held-out accuracy on whole documents, and every share against a plain EM; among the texts, very long ones and mixtures."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.collect()
+    train = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    model = language.Mixture(*language.train(spark.createDataFrame([(r["text"], r["lang"]) for r in train], "text string, lang string")))
+    by_lang = {r["lang"]: r["text"] for r in train if r["text"]}
+    texts = [r["text"] for r in rows if r["text"]] + ["".join(by_lang.values()), max(by_lang.values(), key=len) * 40]
+    got = language.identify(spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(3), model).collect()
+    for r in got:
+        share, size = brute_mixture(model, texts[r["k"]])
+        assert r["language"]["languages"] == size and r["language"]["lang_pred"] == model.langs[int(share.argmax())]
+        assert [p["share"] for p in r["language"]["proportions"]] == pytest.approx(share[share > 0].tolist(), abs=1e-6)
+    held = language.op9_language_id(spark, "/root/testdata/sf0.001").filter("held_out").join(docs, "doc_id").filter("lang is not null").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.97 * len(held) > 0
+
+
+def test_language_of_short_and_strange_texts(spark):
+    """One letter has the commonest language; a script that training lacks has no score; without languages all is unknown."""
+    model = language.Mixture(*language.train(spark.createDataFrame([("the cat and the dog", "en")] * 3 + [("aé le chat", "de"), (None, "xx"), ("x", None)], "text string, lang string")))
+    texts = ["I", "ok", "日本", "日本語の文章です", "the 日本", "é"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("language", F.lit(1)).withColumn("lang", F.lit(2))
+    got = [r["language"] for r in language.identify(df, model).collect()]
+    assert [r["lang_pred"] for r in got[:2]] == ["en", "en"] and [r["score"] for r in got[:2]] == [0.75, 0.75] and got[0]["languages"] == 0
+    assert got[2]["score"] == got[3]["score"] == 0 and 0 < got[4]["score"] < 0.7 and got[5]["score"] > 0
+    none = language.Mixture(*language.train(spark.createDataFrame([("the cat", None), (None, "en")], "text string, lang string")))
+    assert {(r["language"]["lang_pred"], r["language"]["score"]) for r in language.identify(df, none).collect()} == {("und", 0.0)}
+
+
 def test_language(docs, spark):
     model = language.Mixture(*language.train(spark.createDataFrame([("the cat and the dog with that thing " * 5, "en"), ("le chat et le chien avec une chose " * 5, "fr")] * 3, "text string, lang string")))
     texts = [("the thing with the dog and that cat", "en"), ("une chose avec le chien et le chat", "fr"), ("12 34", "und"), ("", "und"), (None, "und"), ("ß", None)]
