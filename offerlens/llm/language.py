@@ -115,7 +115,7 @@ class Mixture:
         rows, n = len(offsets) - 1, len(self.langs)
         out, size = np.zeros((rows, n)), np.zeros(rows, int)
         row, cell = _row_cells(data, offsets)
-        if not len(row):
+        if not len(row) or not n:
             return out, size
         cells = np.bincount(row * BUCKETS + cell, minlength=rows * BUCKETS)
         at = np.flatnonzero(cells)
