@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from . import text
 
-# Hosts that resize images, and the size segment that one of them has in its paths.
-QUERY_HOST = "cdn.shopify.com"
-PATH_HOST = "cdn.grofers.com"
-SIZED_HOST, SIZED, SIZE = "cdn.fcglcdn.com", r"/products/[0-9]+x[0-9]+/", "/products/219x265/"
+# Hosts that offer smaller pictures, and how their links ask for one: the pattern of a link, and what it becomes.
+SMALLER = (
+    ("cdn.shopify.com", r"^([^?]*)$", "$1?width={width}"),
+    ("cdn.shopify.com", r"^([^?]*\?.*)$", "$1&width={width}"),
+    ("cdn.grofers.com", r"^(.*?\.com/)(.+)$", "$1cdn-cgi/image/f=auto,w={width},q=60/$2"),
+    ("cdn.fcglcdn.com", r"/products/[0-9]+x[0-9]+/", "/products/219x265/"),
+)
 
 #: Characters that a caption and a message may have.
 CAPTION, MESSAGE = 1024, 4096
@@ -18,16 +21,10 @@ CAPTION, MESSAGE = 1024, 4096
 HEADINGS = {"back": "Back in stock", "drop": "Price drop", "new": "New"}
 
 
-def thumbnail(url: Column, width: int = 320) -> Column:
-    """A smaller picture where the host offers one; null for an empty url."""
-    by_query = F.concat(url, F.when(url.contains("?"), "&").otherwise("?"), F.lit(f"width={width}"))
-    at = F.instr(url, ".com/")
-    rest = F.substring(url, at + 5, F.length(url))
-    by_path = F.concat(F.substring(url, F.lit(1), at + 4), F.lit(f"cdn-cgi/image/f=auto,w={width},q=60/"), rest)
-    return (
-        F.when(url == "", None).when(url.contains(QUERY_HOST), by_query).when(url.contains(PATH_HOST) & (at > 0) & (rest != ""), by_path)
-        .when(url.contains(SIZED_HOST), F.regexp_replace(url, SIZED, SIZE)).otherwise(url)
-    )
+def thumbnail(url: Column, width: int = 320, rules=SMALLER) -> Column:
+    """A smaller picture where the host offers one; null for an empty url. rules: (host, pattern, replacement); the first that fits is used."""
+    smaller = [F.when(url.contains(host) & url.rlike(pattern), F.regexp_replace(url, pattern, to.format(width=width))) for host, pattern, to in rules]
+    return F.when(url != "", F.coalesce(*smaller, url))
 
 
 def _at_shop(price: Column, shop: Column) -> Column:

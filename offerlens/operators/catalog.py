@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 #: label -> [low, high), by which prices are offered; the top one ends as well.
 PRICE_BANDS = {"0-10k": (0, 10_000), "10k-25k": (10_000, 25_000), "25k-50k": (25_000, 50_000), "50k-75k": (50_000, 75_000), "75k-100k": (75_000, 100_000)}
-#: label -> [low, high] pieces.
-PACK_BANDS = {"Single": (1, 1), "2-3": (2, 3), "4-5": (4, 5), "6+": (6, 99)}
+# Label -> [low, high] pieces, as customers see them.
+PACK_BANDS = {"Single": (1, 1), "2-3 pack": (2, 3), "4-5 pack": (4, 5), "6+ pack": (6, 99)}
+#: Rows of a page at most.
+PAGE_ROWS = 200
 MIXED, OTHER = "Mixed", "Other"
 
 
@@ -111,9 +113,14 @@ def catalog(offers: DataFrame, q: CatalogQuery = CatalogQuery()) -> DataFrame:
     return out.withColumn("savings", F.coalesce(F.round(F.col("worst_price") - F.col("best_price"), 2), F.lit(0.0)))
 
 
+def clamped(limit: Column, offset: Column) -> tuple[Column, Column]:
+    """The limit and offset that a request gets, whatever it asks for; what is not said is a full page from the start."""
+    return F.greatest(F.lit(1), F.least(F.coalesce(limit, F.lit(PAGE_ROWS)), F.lit(PAGE_ROWS))), F.greatest(F.lit(0), F.coalesce(offset, F.lit(0)))
+
+
 def page(offers: DataFrame, q: CatalogQuery) -> DataFrame:
     """The page of q, with one row more if there is another page; `position` counts from 1 over all pages."""
-    limit, offset = max(1, min(q.limit, 200)), max(0, q.offset)
+    limit, offset = max(1, min(q.limit, PAGE_ROWS)), max(0, q.offset)
     rows = catalog(offers, q).orderBy(*q.order()).offset(offset).limit(limit + 1)
     return rows.withColumn("has_more", F.count(F.lit(1)).over(_all()) > limit).withColumn("position", F.row_number().over(_all().orderBy(*q.order())) + offset)
 

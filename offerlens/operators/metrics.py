@@ -9,14 +9,15 @@ from .alerts import bounded
 from .catalog import MIXED, OTHER, PACK_BANDS, PRICE_BANDS, buyable
 
 
-def cents(price: Column) -> Column:
-    return F.round(price * 100).cast("long")
+#: Parts of a currency unit in which sums are exact.
+MICRO = 1_000_000
 
 
 def mean_price(price: Column) -> Column:
-    """The mean of a price to two places, halves up, exactly: sums are of whole cents."""
-    total, n = F.sum(cents(price)), F.count(price)
-    return F.when(n > 0, F.floor((2 * total + n) / (2 * n)) / 100.0)
+    """The mean of a price to two places, halves up: the sum is a whole number of millionths, in decimals, so no order of rows changes it."""
+    total = F.sum(F.round(price * MICRO).cast("decimal(20,0)")).cast("decimal(36,0)")
+    cent = F.count(price) * (MICRO // 100)
+    return F.when(F.count(price) > 0, F.call_function("div", 2 * total + cent, 2 * cent) / 100.0)
 
 
 def by_source(offers: DataFrame) -> DataFrame:
@@ -67,14 +68,18 @@ def facet(offers: DataFrame, name: str) -> DataFrame:
     return sums.select(rows.alias("x")).select(F.lit(name).alias("facet"), "x.value", "x.n").filter("n > 0")
 
 
-FACETS = ("brand", "series", "realism", "source", "pack", "price", "availability")
-
-
 def facets(offers: DataFrame) -> DataFrame:
-    out = facet(offers, FACETS[0])
-    for name in FACETS[1:]:
-        out = out.unionByName(facet(offers, name))
-    return out
+    """All facets in one pass: each offer gives its value of every facet, and distinct products are counted by facet and value."""
+    c = F.col
+    label = lambda column, bands, inside: F.coalesce(*[F.when(inside(c(column), lo, hi), k) for k, (lo, hi) in bands.items()])
+    values = {
+        "brand": F.coalesce(c("brand"), F.lit(OTHER)), "series": c("series"), "realism": F.coalesce(c("realism"), F.lit(MIXED)), "source": c("source"),
+        "pack": label("pack_size", PACK_BANDS, lambda x, lo, hi: x.between(lo, hi)), "price": label("price", PRICE_BANDS, lambda x, lo, hi: (x >= lo) & (x < hi)),
+        "availability": F.when(buyable(), "In stock").when(c("in_stock") == 0, "Sold out"),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("facet"), v.alias("value")) for k, v in values.items()]))
+    rows = offers.select("product_id", each.alias("x")).select("product_id", "x.facet", "x.value").filter("value is not null")
+    return rows.groupBy("facet", "value").agg(F.count_distinct("product_id").alias("n"))
 
 
 def deals(offers: DataFrame, buyable_only: bool = False) -> DataFrame:
@@ -139,8 +144,11 @@ def with_markup(offers: DataFrame, base: DataFrame) -> DataFrame:
     return joined.withColumn("markup", F.when((F.col("price") > 0) & (F.col("base") > 0), F.greatest(F.lit(0.0), F.col("price") / F.col("base") - 1)))
 
 
-def send_summary(log: DataFrame, now: Column, days: int = 7) -> DataFrame:
-    """log(id, ts, channel, alerts, ok): totals of the last days, and the newest row."""
+def send_summary(log: DataFrame, now: Column | None = None, days: int = 7) -> DataFrame:
+    """log(id, ts, channel, alerts, ok): totals of the days up to now (the newest row by default), and the newest row."""
+    if now is None:
+        newest = log.agg(F.max("ts").alias("_now"))  # one row
+        log, now = log.join(F.broadcast(newest), F.col("ts") <= F.col("_now")), F.col("_now")
     rows = log.filter(F.col("ts") >= now - F.expr(f"interval {days} days"))
     return rows.agg(
         F.count(F.lit(1)).alias("messages"),

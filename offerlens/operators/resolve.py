@@ -6,6 +6,7 @@ block is one group; equal signatures are collapsed before, so its rows are disti
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,19 +30,37 @@ def similarity(a: str, b: str) -> float:
     return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
+_CELL = np.full(128, 37, np.int64)
+_CELL[97:123], _CELL[48:58] = np.arange(26), np.arange(26, 36)
+_CELL[32] = 36
+
+
+def letters(sig: str) -> np.ndarray:
+    """How often each letter, digit and blank occurs (anything else together)."""
+    raw = np.frombuffer(sig.encode("utf-32-le"), np.uint32)
+    return np.bincount(_CELL[np.minimum(raw, 127)], minlength=38).astype(np.int16)
+
+
 def _lead(threshold: float):
     def run(pdf: pd.DataFrame, known: pd.DataFrame | None) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "sig"], ascending=[False, True], kind="stable")
         leaders, out = [] if known is None else sorted(known["leader"]), []
+        # a common subsequence has no more of a letter than either text: most leaders are out by that alone
+        bags = np.zeros((len(leaders) + len(pdf), 38), np.int16)
+        for k, lead in enumerate(leaders):
+            bags[k] = letters(lead)
         for sig in pdf["sig"]:
-            best, at = threshold, None
-            for lead in leaders:
-                if 200.0 * min(len(sig), len(lead)) / (len(sig) + len(lead)) < best:
+            best, at, bag, n = threshold, None, letters(sig), len(leaders)
+            both = np.minimum(bags[:n], bag).sum(axis=1)
+            bound = 200.0 * both / np.maximum(bags[:n].sum(axis=1) + len(sig), 1)
+            for k in np.flatnonzero(bound >= threshold).tolist():
+                if bound[k] < best:
                     continue
-                s = similarity(sig, lead)
+                s = similarity(sig, leaders[k])
                 if s > best or (at is None and s >= threshold):
-                    best, at = s, lead
+                    best, at = s, leaders[k]
             if at is None:
+                bags[n] = bag
                 leaders.append(sig)
                 at = sig
             out.append(at)

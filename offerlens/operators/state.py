@@ -73,6 +73,12 @@ def sync(config: DataFrame, stored: DataFrame, key: str, columns: Sequence[str])
     return both.select(F.coalesce(f"c.{key}", f"s.{key}").alias(key), F.when(F.col("n_config") == 0, "keep").otherwise(action).alias("action"))
 
 
+def migrate(rows: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFrame:
+    """rows with the columns that they lack, as name -> (type, default); columns that are there stay as they are, and may be null."""
+    have = {c.lower() for c in rows.columns}
+    return rows.select(*rows.columns, *[F.lit(default).cast(kind).alias(name) for name, (kind, default) in columns.items() if name.lower() not in have])
+
+
 def runs(started: DataFrame) -> DataFrame:
     """Runs with a status; those that never finished were interrupted."""
     return started.withColumn("status", F.when(F.col("finished").isNull(), "interrupted").otherwise("ok"))

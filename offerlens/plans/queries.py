@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import alerts, metrics, resolve, state
-from ..operators.catalog import PRICE_BANDS, CatalogQuery, buyable, catalog, ceiling, filtered, page, with_offers
+from ..operators.catalog import PRICE_BANDS, CatalogQuery, buyable, catalog, ceiling, clamped, filtered, page, with_offers
 from ..sources import payloads
 from ..streaming import changes
 from . import views
@@ -116,7 +116,7 @@ _FILTERS = {
     "f_series": ({"series": "PROMO"}, "series = 'PROMO'"),
     "f_realism": ({"realism": "Mixed"}, "realism is null"),
     "f_realism_named": ({"realism": "Fantasy"}, "realism = 'Fantasy'"),
-    "f_pack_bands": ({"packs": ("Single", "4-5", "no such band")}, "(pack_size between 1 and 1 or pack_size between 4 and 5)"),
+    "f_pack_bands": ({"packs": ("Single", "4-5 pack", "no such band")}, "(pack_size between 1 and 1 or pack_size between 4 and 5)"),
     "f_price_band": ({"price_band": "25k-50k"}, "price >= 25000 and price < 50000"),
     "f_min": ({"min_price": 40_000.0}, "price >= 40000"),
     "f_max": ({"max_price": 40_000.0}, "(price is null or price <= 40000)"),
@@ -172,16 +172,13 @@ def j_history(s, d):
     return views.history(s, d).join(now, list(views.OFFER)).select("product_id", "ts", "price", "o1", "o2", "now")
 
 
-@query("o_history_all", "select product_id, source, ts, price, row_number() over (partition by product_id order by ts, o1, o2, source) as n from history")
-def o_history_all(s, d):
-    """The history of every product in the order of time; o_history is its part for the ids that its SQL names."""
+@query("o_history", "select product_id, source, ts, price, row_number() over (partition by product_id order by ts, o1, o2, source) as n from history")
+def o_history(s, d):
+    """The history of every product in the order of time."""
     w = Window.partitionBy("product_id").orderBy("ts", "o1", "o2", "source")
     return views.history(s, d).withColumn("n", F.row_number().over(w)).select("product_id", "source", "ts", "price", "n")
 
 
-query("o_history", "select product_id, source, ts, price, row_number() over (partition by product_id order by ts, o1, o2, source) as n from history where product_id <= 100")(
-    lambda s, d: o_history_all(s, d).filter("product_id <= 100")
-)
 query("j_orphans", "select id from products where id not in (select product_id from listings where region = 'ASIA')")(
     lambda s, d: views.products(s, d).join(views.listings(s, d).filter(F.col("region") == REGION), F.col("id") == F.col("product_id"), "left_anti").select("id")
 )
@@ -193,7 +190,7 @@ query("j_labels", "select source, coalesce(n_name, source) as label, count(*) as
 
 # ---------------------------------------------------------------- metrics
 
-_MEAN = "case when count(price) > 0 then ((2 * sum(round(price * 100)::bigint) + count(price)) // (2 * count(price))) / 100.0 end"
+_MEAN = "case when count(price) > 0 then ((2 * sum(round(price * 1000000)::bigint) + count(price) * 10000) // (2 * count(price) * 10000))::bigint / 100.0::double end"
 query("a_stats_source", f"select source, count(*) as listings, min(price) as lowest, {_MEAN} as mean, sum((in_stock = 0)::bigint)::bigint as sold_out, max(ts) as last_seen from listings group by source")(lambda s, d: metrics.by_source(views.listings(s, d)))
 query("a_stats_global", """select count(distinct product_id) as products, count(*) as listings, count(distinct source) as sources, coalesce(min(price) filter (in_stock = 1), 0) as cheapest,
   coalesce(sum((in_stock = 0)::bigint), 0)::bigint as sold_out, coalesce(strftime(max(ts), '%Y-%m-%d %H:%M:%S'), '') as last_scraped from offers""")(lambda s, d: metrics.overall(offers(s, d)))
@@ -204,7 +201,7 @@ _FACET_SQL = {
     "series": "select 'series' as facet, series as value, count(distinct product_id) as n from offers where series is not null group by 2",
     "realism": "select 'realism' as facet, coalesce(realism, 'Mixed') as value, count(distinct product_id) as n from offers group by 2",
     "source": "select 'source' as facet, source as value, count(distinct product_id) as n from offers group by 2",
-    "pack": "select 'pack' as facet, case when pack_size = 1 then 'Single' when pack_size <= 3 then '2-3' when pack_size <= 5 then '4-5' else '6+' end as value, count(distinct product_id) as n from offers group by 2",
+    "pack": "select 'pack' as facet, case when pack_size = 1 then 'Single' when pack_size <= 3 then '2-3 pack' when pack_size <= 5 then '4-5 pack' else '6+ pack' end as value, count(distinct product_id) as n from offers group by 2",
     "price": "select 'price' as facet, case " + " ".join(f"when price >= {lo} and price < {hi} then '{k}'" for k, (lo, hi) in PRICE_BANDS.items()) + " end as value, count(distinct product_id) as n from offers where price >= 0 and price < 100000 group by 2",
     "availability": "select 'availability' as facet, 'In stock' as value, count(distinct product_id) as n from offers where in_stock = 1 and price is not null having n > 0 union all select 'availability', 'Sold out', count(distinct product_id) as n from offers where in_stock = 0 having n > 0",
 }
@@ -267,7 +264,7 @@ def send_log(s, d):
 
 _LOG = "with log as (select event_id as id, ts, event_type as channel, (props->>'$.k')::int as alerts, (event_type <> 'error')::int as ok from events)"
 query("a_send_summary", """select count(*) as messages, coalesce(sum(alerts), 0)::bigint as alerts, coalesce(sum((ok = 0)::bigint), 0)::bigint as failures, arg_max(id, (ts, id)) as newest
-  from log where ts >= (select max(ts) from log) - interval 7 day""", _LOG)(lambda s, d: metrics.send_summary(send_log(s, d), F.lit(send_log(s, d).agg(F.max("ts")).first()[0]).cast("timestamp_ntz")))
+  from log where ts >= (select max(ts) from log) - interval 7 day""", _LOG)(lambda s, d: metrics.send_summary(send_log(s, d)))
 query("o_recent_sends", "select id, ts, channel, alerts, ok from log order by ts desc, id desc limit 20", _LOG)(lambda s, d: send_log(s, d).orderBy(F.desc("ts"), F.desc("id")).limit(20))
 query("a_kinds", "select string_agg(channel || '=' || n, ', ' order by channel) as kinds from (select channel, count(*) as n from log group by 1)", _LOG)(
     lambda s, d: send_log(s, d).groupBy("channel").count().agg(F.array_join(F.array_sort(F.collect_list(F.concat("channel", F.lit("="), F.col("count").cast("string")))), ", ").alias("kinds"))
@@ -288,8 +285,12 @@ _MATCH = f"""+ {RULES_SQL}, fits as (select r.rule_id, r.target, r.stock_only, o
     and (coalesce(r.query, '') in ('', '*') or contains(lower(o.title), lower(r.query))) and (coalesce(r.brand, '') = '' or r.brand = o.brand)
     and (coalesce(r.realism, '') = '' or r.realism = o.realism) and (r.pack_min is null or o.pack_size >= r.pack_min) and (r.pack_max is null or o.pack_size <= r.pack_max)
     and (coalesce(r.sources, '') = '' or list_contains(list_transform(string_split(r.sources, ','), lambda x: trim(x)), o.source)) where o.region = 'ASIA'),
+  then_ as (select s.*, p.title, p.brand, p.realism, p.pack_size from seen s join products p on s.product_id = p.id where s.region = 'ASIA'),
   best as (select * exclude (rn) from (select *, row_number() over (partition by rule_id, product_id, source order by in_stock desc, price is null, price, source_sku, region) as rn from fits) where rn = 1),
-  mem as (select rule_id, product_id, source, price as was_price, in_stock as was_stock, true as seen from rules, seen where active = 1 and region = 'ASIA'),
+  mem as (select rule_id, product_id, source, price as was_price, in_stock as was_stock, true as seen from then_ o join rules r on r.active = 1
+    and (coalesce(r.query, '') in ('', '*') or contains(lower(o.title), lower(r.query))) and (coalesce(r.brand, '') = '' or r.brand = o.brand)
+    and (coalesce(r.realism, '') = '' or r.realism = o.realism) and (r.pack_min is null or o.pack_size >= r.pack_min) and (r.pack_max is null or o.pack_size <= r.pack_max)
+    and (coalesce(r.sources, '') = '' or list_contains(list_transform(string_split(r.sources, ','), lambda x: trim(x)), o.source))),
   ev as (select b.*, m.was_price, m.was_stock, case
       when m.seen is null and ((in_stock = 1 and price is not null) or coalesce(stock_only, 1) = 0) then 'new'
       when m.seen and in_stock = 1 and price is not null and was_stock = 0 then 'back'
@@ -302,8 +303,10 @@ def matched(s, d):
 
 
 def remembered(s, d):
-    active = rules(s).filter("active = 1").select("rule_id")
-    return alerts.bounded(active).join(views.seen_before(s, d).filter(F.col("region") == REGION).select("product_id", "source", "price", "in_stock"))
+    """What an earlier run of the rules left: the offers that they matched then."""
+    p = views.products(s, d).withColumnRenamed("id", "product_id")
+    then = views.seen_before(s, d).filter(F.col("region") == REGION).join(p, "product_id")
+    return alerts.best_offers(alerts.matches(rules(s), then)).select("rule_id", "product_id", "source", "price", "in_stock")
 
 
 def evaluated(s, d):
@@ -383,12 +386,15 @@ def titles(s, d):
     return views.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat(pick(makers, 5), F.lit(" "), "p_name", F.lit(" "), "p_type", pick(tails, 4)).alias("t"))
 
 
-_pk = lambda t: f"coalesce({', '.join(f'case when try_cast(regexp_extract(regexp_replace({t}, $r${text.RATIO}$r$, $r$$r$, $r$g$r$), $r${p}$r$, 1) as int) between 1 and 50 then try_cast(regexp_extract(regexp_replace({t}, $r${text.RATIO}$r$, $r$$r$, $r$g$r$), $r${p}$r$, 1) as int) end' for p in text.PACK_PATTERNS)}, 1)"
+def _pk(t: str) -> str:
+    rest = f"regexp_replace({t}, $r${text.RATIO}$r$, ' ', 'g')"
+    found = [f"try_cast(regexp_extract({rest}, $r${p}$r$, 1) as int)" for p in text.PACK_PATTERNS]
+    return f"coalesce({', '.join(f'case when {n} between 1 and 50 then {n} end' for n in found)}, 1)"
 
 
 def _sig(t: str) -> str:
-    s = f"lower({t})"
-    for p in (r"\([^)]*\)|\[[^\]]*\]", text.RATIO, *text.PACK_PATTERNS, "[^a-z0-9]+"):
+    s = f"lower(trim(regexp_replace(replace({t}, '&amp;', '&'), '\\s+', ' ', 'g')))"
+    for p in (r"\([^)]*\)|\[[^\]]*\]", text.RATIO, *text.COUNT_NOISE, "[^a-z0-9]+"):
         s = f"regexp_replace({s}, $r${p}$r$, ' ', 'g')"
     noise = ", ".join(f"'{w}'" for w in text.RulePack().noise)
     return f"coalesce(nullif(array_to_string(list_sort(list_distinct(list_filter(string_split({s}, ' '), lambda w: length(w) > 1 and w not in ({noise}))))[1:12], ' '), ''), 'assorted')"
@@ -396,7 +402,11 @@ def _sig(t: str) -> str:
 
 _BRANDS = text.RulePack().brands
 _POS = ", ".join(f"case when regexp_matches(t, $r$(?i)\\b{b}\\b$r$) then struct_pack(pos := length(regexp_extract(t, $r$(?is)^(.*?)\\b{b}\\b$r$, 1)), name := '{b}') end" for b in _BRANDS)
-BRANDED = f"{TITLES}, found as (select *, list_filter([{_POS}], lambda x: x is not null) as f from titles), b as (select *, case when len(f) between 1 and 2 and list_min(f).pos <= 35 and not regexp_matches(lower(t), $r${text.RulePack().knockoffs}$r$) then list_min(f).name end as brand, {_pk('t')} as pack, {_sig('t')} as sig from found)"
+_RULES = text.RulePack()
+_PROPER = f"not regexp_matches(lower(t), $r${_RULES.knockoffs}$r$) and not regexp_matches(lower(t), $r${_RULES.accessories}$r$)"
+_SURE = f"len(f) between 1 and 2 and list_min(f).pos <= 35 and (list_min(f).name not in ({', '.join(repr(b) for b in _RULES.common)}) or regexp_matches(lower(t), $r${_RULES.vehicles}$r$))"
+_BRAND = f"case when {_PROPER} and {_SURE} then list_min(f).name end"
+BRANDED = f"{TITLES}, found as (select *, list_filter([{_POS}], lambda x: x is not null) as f from titles), b as (select *, {_BRAND} as brand, {_pk('t')} as pack, {_sig('t')} as sig from found)"
 _title = lambda name, sql, col: query(name, f"select id, {sql} as v from b", BRANDED)(lambda s, d: titles(s, d).select("id", col(F.col("t")).alias("v")))
 _title("s_pack_size", "pack", text.pack_size)
 _title("s_signature", "sig", text.signature)
@@ -406,6 +416,8 @@ _SET = "(regexp_matches(lower(t), '\\b(pack|set|gift box)\\b') or pack > 1)"
 _title("s_is_set", _SET, text.is_set)
 _title("s_realism", f"case when not {_SET} then case when regexp_matches(lower(t), '\\b(gear|bolt|widget)\\b') then 'Realistic' else 'Fantasy' end end", text.realism)
 _title("s_detect_brand", "brand", text.brand)
+_HINT = "case when id % 3 = 0 then 'the ECHO company' when id % 3 = 1 then 'Nobody' end"
+_title("s_detect_brand_hint", f"case when {_PROPER} then case when len(f) = 0 then case when id % 3 = 0 then 'Echo' end else brand end end", lambda t: text.brand(t, hint=F.expr(_HINT)))
 _title("s_brand_list", "array_to_string(list_sort(list_transform(f, lambda x: x.name)), ',')", lambda t: F.array_join(F.array_sort(F.filter(F.array(*[F.when(t.rlike(rf"(?i)\b{b}\b"), b) for b in _BRANDS]), lambda x: x.isNotNull())), ","))
 _title("s_brand_hint", "coalesce(" + ", ".join(f"case when contains(lower(t), '{b.lower()}') then '{b}' end" for b in _BRANDS) + ")", text.brand_hint)
 _title("s_canonical_key", "coalesce(brand, 'Other') || '|' || sig || '|p' || pack", text.canonical_key)
@@ -418,12 +430,9 @@ _FITS = f"(brand is not null and (len(list_filter(regexp_extract_all(t, $r${text
 _title("s_target", _FITS, text.wanted)
 _title("s_wanted", f"({_FITS} and not (not {_SET} and not regexp_matches(lower(t), '\\b(gear|bolt|widget)\\b')))", lambda t: text.wanted(t, fantasy=False))
 _title("f_wanted", f"({_FITS} and not (not {_SET} and not regexp_matches(lower(t), '\\b(gear|bolt|widget)\\b')))", lambda t: text.wanted(t, fantasy=False))
-query("o_titles_len_all", "select id, row_number() over (order by length(t) desc, t, id) as n from titles", TITLES)(
+query("o_titles_len", "select id, row_number() over (order by length(t) desc, t, id) as n from titles", TITLES)(
     lambda s, d: state.positions(titles(s, d), [-F.length("t"), F.col("t"), F.col("id")]).select("id", "n")
 )
-query("o_titles_len", "select id, row_number() over (order by length(t) desc, t, id) as n from titles order by n limit 200", TITLES)(
-    lambda s, d: (lambda top: top.withColumn("n", F.row_number().over(Window.partitionBy().orderBy(F.length("t").desc(), "t", "id"))).select("id", "n"))(titles(s, d).orderBy(F.length("t").desc(), "t", "id").limit(200))
-)
 
 DOCS = "with d as (select doc_id, text from documents where text is not null)"
 _doc = lambda name, sql, col: query(name, f"select doc_id, {sql} as v from d", DOCS)(lambda s, d: views.table(s, d, "documents").filter("text is not null").select("doc_id", col(F.col("text")).alias("v")))
@@ -431,28 +440,22 @@ _doc("s_parse_price", f"try_cast(replace(nullif(regexp_extract(text, $r${text.PR
 _doc("s_html_escape", "md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'))", lambda t: F.md5(text.html_escape(t)))
 _doc("s_markdown", "md5(replace(replace(replace('<b>' || text || '</b>', '<b>', '**'), '</b>', '**'), '&amp;', '&'))", lambda t: F.md5(text.markdown(F.concat(F.lit("<b>"), t, F.lit("</b>")))))
 _doc("s_header_safe", "regexp_replace(replace(replace(text[1:1400], chr(13), ''), chr(10), '\\n'), '[^\\x{00}-\\x{FF}]', '?', 'g')", text.header_safe)
-_doc("oos_phrase", "regexp_matches(lower(text), 'sold out|out of stock|currently unavailable|notify me')", text.sold_out)
+_doc("oos_phrase", "regexp_matches(lower(text), 'currently unavailable|temporarily out of stock|out of stock|sold out|notify me when available|coming soon|unavailable')", text.sold_out)
 _doc("html_count_suffix", r"""round(try_cast(replace(regexp_extract('(' || (doc_id % 50) / 10 || 'K)', '([0-9][0-9,]*(?:\.[0-9]+)?)', 1), ',', '') as double) * 1000)::bigint""", lambda t: text.short_count(F.concat(F.lit("("), ((F.col("doc_id") % 50) / 10).cast("string"), F.lit("K)"))))
 _doc("html_rating", "((doc_id % 50) / 10)::double", lambda t: text.stars(F.concat(((F.col("doc_id") % 50) / 10).cast("string"), F.lit(" out of 5 stars"))))
 QUERIES["s_clean_text"] = lambda s, d: views.table(s, d, "documents").select("doc_id", text.clean(F.col("text")).alias("v"))
 query("s_money", "select event_id, case when value is null then 'no price' else 'Rs ' || format('{:,}', round_even(value, 0)::bigint) end as v from events", "")(lambda s, d: views.table(s, d, "events").select("event_id", text.money(F.col("value")).alias("v")))
 
 
-def parsed_commands(s, d, message):
+@query("s_cmd_parse", """select conv_id, turn, lower(split_part(split_part(c, ' ', 1)[2:], '@', 1)) as name, trim(c[length(split_part(c, ' ', 1)) + 1:]) as args
+  from (select conv_id, turn, '/Find@bot ' || trim(text) as c from conversations where text is not null)""", "")
+def s_cmd_parse(s, d):
     """Name and arguments of each message of conversations, made a command."""
-    c = views.table(s, d, "conversations").filter("text is not null").select("conv_id", "turn", F.concat(F.lit("/Find@bot "), F.trim(message)).alias("c"))
+    c = views.table(s, d, "conversations").filter("text is not null").select("conv_id", "turn", F.concat(F.lit("/Find@bot "), F.trim("text")).alias("c"))
     name, args = text.command(F.col("c"))
     return c.select("conv_id", "turn", name.alias("name"), args.alias("args"))
 
 
-query("s_cmd_parse_all", """select conv_id, turn, lower(split_part(split_part(c, ' ', 1)[2:], '@', 1)) as name, trim(c[length(split_part(c, ' ', 1)) + 1:]) as args
-  from (select conv_id, turn, '/Find@bot ' || trim(text) as c from conversations where text is not null)""", "")(
-    lambda s, d: parsed_commands(s, d, F.col("text"))
-)
-query("s_cmd_parse", """select conv_id, turn, lower(split_part(split_part(c, ' ', 1)[2:], '@', 1)) as name, trim(c[length(split_part(c, ' ', 1)) + 1:]) as args
-  from (select conv_id, turn, '/Find@bot ' || trim(text[1:40]) as c from conversations where text is not null)""", "")(
-    lambda s, d: parsed_commands(s, d, F.substring("text", 1, 40))
-)
 query("s_src_list", f"with {RULES_SQL} select rule_id, array_to_string(list_filter(list_transform(string_split(coalesce(sources, ''), ','), lambda x: trim(x)), lambda x: x <> ''), '|') as v from rules", "")(
     lambda s, d: rules(s).select("rule_id", F.array_join(alerts.source_list(F.coalesce("sources", F.lit(""))), "|").alias("v"))
 )
@@ -498,18 +501,10 @@ def shop_pages(o: DataFrame, page_rows: int = 250) -> DataFrame:
     return p.withColumn("page", F.floor((rank - 1) / page_rows)).groupBy("source", "dealt", "page").agg(F.to_json(F.collect_list(one)).alias("body"))
 
 
-def shop_offers(s, d, part="true"):
-    return payloads.catalog_offers(shop_pages(views.observations(s, d).filter(part)), "shop").select("source", "source_sku", "title", "price", "in_stock")
-
-
-query("scan_shopify_catalog_all", """select 'shop' as source, source_sku, 'item ' || product_id as title, price, in_stock from (select *, max(in_stock) over (partition by source, product_id) as any_stock,
-  row_number() over (partition by source, product_id order by in_stock desc, price is null, price, o1 * 10 + o2) as n from observations) where n = 1""".replace("price, in_stock from", "price, any_stock as in_stock from"))(
-    shop_offers
-)
-query("scan_shopify_catalog", """select 'shop' as source, source_sku, 'item ' || product_id as title, price, in_stock from (select *, max(in_stock) over (partition by source, product_id) as any_stock,
-  row_number() over (partition by source, product_id order by in_stock desc, price is null, price, o1 * 10 + o2) as n from observations where product_id <= 500) where n = 1""".replace("price, in_stock from", "price, any_stock as in_stock from"))(
-    lambda s, d: shop_offers(s, d, "product_id <= 500")
-)
+@query("scan_shopify_catalog", """select 'shop' as source, source_sku, 'item ' || product_id as title, price, any_stock as in_stock from (select *, max(in_stock) over (partition by source, product_id) as any_stock,
+  row_number() over (partition by source, product_id order by in_stock desc, price is null, price, o1 * 10 + o2) as n from observations) where n = 1""")
+def scan_shopify_catalog(s, d):
+    return payloads.catalog_offers(shop_pages(views.observations(s, d)), "shop").select("source", "source_sku", "title", "price", "in_stock")
 
 
 def store_payloads(s, d):
@@ -531,6 +526,28 @@ QUERIES["j_fuzzy"] = lambda s, d: resolve.clusters(titles(s, d).withColumnRename
 QUERIES["st_regroup"] = lambda s, d: QUERIES["j_fuzzy"](s, d).groupBy("canonical_key", "brand", "pack_size").agg(F.count(F.lit(1)).alias("offers"), F.min("id").alias("first_id"))
 
 
+@query("o_clamp", "select event_id, greatest(1, least(coalesce(value::int, 200), 200)) as lim, greatest(0, coalesce(user_id - 50, 0)) as off from events", "")
+def o_clamp(s, d):
+    e = views.table(s, d, "events")
+    limit, offset = clamped(F.bround("value").cast("int"), F.col("user_id") - 50)
+    return e.select("event_id", limit.alias("lim"), offset.alias("off"))
+
+
+@query("st_migrate", "select p_partkey as id, p_name as title, null::varchar as hint, 1 as pieces, 0.0::double as rating from part", "")
+def st_migrate(s, d):
+    old = views.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
+    return state.migrate(old, {"title": ("string", ""), "hint": ("string", None), "pieces": ("int", 1), "rating": ("double", 0.0)})
+
+
+@query("st_isolation", """with b as (select user_id, case when event_id % 7 = 0 then substring(props, 2) else props end as body from events)
+  select user_id as source, count(*) filter (json_valid(body)) as stored, count(*) filter (not json_valid(body)) as failed, min(body) filter (not json_valid(body)) as error,
+  case when count(*) filter (not json_valid(body)) > 0 then 'failed' else 'ok' end as status from b group by 1""", "")
+def st_isolation(s, d):
+    body = F.when(F.col("event_id") % 7 == 0, F.substring("props", F.lit(2), F.length("props"))).otherwise(F.col("props"))
+    batches = views.table(s, d, "events").select(F.col("user_id").alias("source"), body.alias("body"))
+    return payloads.isolated(batches, "source", "body", "k int")[1]
+
+
 def stream_change(s, d):
     import uuid
 

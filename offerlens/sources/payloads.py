@@ -63,9 +63,24 @@ def as_price(v: Column, most: float = 100_000) -> Column:
     return F.when(n > most, n / 100).otherwise(n)
 
 
-def as_stock(v: Column) -> Column:
+# What services say of offers that are not in stock.
+NOT_IN_STOCK = ("0", "false", "out_of_stock", "unavailable", "no")
+
+
+def as_stock(v: Column, words=NOT_IN_STOCK) -> Column:
     n = v.try_cast("double")
-    return F.when(v.isNull(), True).when(n.isNotNull(), n > 0).otherwise(~F.lower(v).isin("0", "false", "out_of_stock", "unavailable", "no"))
+    return F.when(v.isNull(), True).when(n.isNotNull(), n > 0).otherwise(~F.lower(v).isin(*words))
+
+
+def isolated(batches: DataFrame, source: str, body: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, runs): the parsed bodies of those batches that can be read, and by source how many could and could not, with the first bad one.
+
+    A batch that cannot be read fails its source's run, and no other source's."""
+    parsed = batches.withColumn("_row", F.from_json(body, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    bad = F.col("_row").isNull() | F.col("_row._bad").isNotNull()
+    rows = parsed.filter(~bad).select(*batches.columns, F.col("_row").dropFields("_bad").alias("row"))
+    runs = parsed.groupBy(source).agg(F.count(F.when(~bad, 1)).alias("stored"), F.count(F.when(bad, 1)).alias("failed"), F.min(F.when(bad, F.coalesce(body, F.lit("")))).alias("error"))
+    return rows, runs.withColumn("status", F.when(F.col("failed") > 0, "failed").otherwise("ok"))
 
 
 def near_batches(rows: DataFrame, key: str, lat: float, lon: float, box: float = 0.5) -> DataFrame:

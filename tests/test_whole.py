@@ -25,9 +25,9 @@ def test_positions_number_all_rows(spark, slice_rows):
 
 
 def test_every_title_and_history_is_answered(spark):
-    titles = queries.QUERIES["o_titles_len_all"](spark, SF).collect()
+    titles = queries.QUERIES["o_titles_len"](spark, SF).collect()
     assert sorted(r["n"] for r in titles) == list(range(1, views.table(spark, SF, "part").count() + 1))
-    assert queries.QUERIES["o_history_all"](spark, SF).count() == views.history(spark, SF).count()
+    assert queries.QUERIES["o_history"](spark, SF).count() == views.history(spark, SF).count()
 
 
 def test_catalogue_pages_are_bounded_and_whole(spark):
@@ -36,7 +36,7 @@ def test_catalogue_pages_are_bounded_and_whole(spark):
     pages = queries.shop_pages(o).select("source", F.from_json("body", "array<struct<id:long,variants:array<struct<id:long>>>>").alias("b")).collect()
     assert max(len(r["b"]) for r in pages) <= 250
     assert sorted((r["source"], p["id"], len(p["variants"])) for r in pages for p in r["b"]) == sorted((s, k, 2) for s, k in parts)
-    assert queries.QUERIES["scan_shopify_catalog_all"](spark, SF).count() == views.observations(spark, SF).select("source", "product_id").distinct().count()
+    assert queries.QUERIES["scan_shopify_catalog"](spark, SF).count() == views.observations(spark, SF).select("source", "product_id").distinct().count()
 
 
 def test_first_by_kind_cuts_before_rows_meet(spark):
@@ -56,7 +56,7 @@ def test_commands_keep_the_whole_message(spark):
     got = spark.createDataFrame([(f"/{name}@bot {args}",)], "c string").select(parsed[0].alias("name"), parsed[1].alias("args")).first()
     assert (got["name"], got["args"]) == (name, args)
     sent = views.table(spark, SF, "conversations").filter("text is not null").select("conv_id", "turn", F.trim("text").alias("args"))
-    assert queries.QUERIES["s_cmd_parse_all"](spark, SF).select("conv_id", "turn", "args").exceptAll(sent).count() == 0
+    assert queries.QUERIES["s_cmd_parse"](spark, SF).select("conv_id", "turn", "args").exceptAll(sent).count() == 0
 
 
 def test_anchors_read_the_card_around_each_link(spark):
