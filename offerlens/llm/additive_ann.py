@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is the sum of one codeword from each of BOOKS full-dimensional codebooks, fitted one after the other on the residuals of
-a bounded sample. Every vector is encoded by beam search, which keeps the BEAM best partial sums, and stored as BOOKS bytes and
-the norm of its sum. A query has a table of its products with all codewords; scores are sums of table entries, and the best of
-each block are scored again on the original vectors.
+a bounded sample. Every vector is encoded by beam search, which keeps the BEAM best partial sums, and stored as BOOKS bytes, its
+norm, and the scale that brings the sum nearest to it (their product over the norm of the sum). A query has a table of its products
+with all codewords; scores are sums of table entries, scaled, and the best of each block are scored again on the original vectors.
 
 Vectors lie in blocks; blocks of queries meet every block of vectors in one pass each, and only the best of a query go on."""
 
@@ -21,8 +21,8 @@ BOOKS, WORDS, BEAM = 8, 256, 4
 FIT_ROWS = 16384
 ROUNDS = 6
 BLOCK, QUERY_BLOCK = 8192, 512
-#: Rows of each block that are scored exactly for a query.
-RERANK = 64
+#: Rows of each block that are scored exactly for a query: at least so many, and at least DEPTH times as many as are asked for.
+RERANK, DEPTH = 64, 3
 
 
 def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = ROUNDS) -> np.ndarray:
@@ -43,7 +43,7 @@ def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = ROU
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, squared norms of the sums): the best of `beam` partial sums after each book."""
+    """(codes, scales): the best of `beam` partial sums after each book, and the factor by which each sum comes nearest to its vector."""
     n, (m, k, _) = len(x), books.shape
     codes, sums, cost = np.zeros((n, 1, 0), np.int64), np.zeros((n, 1, x.shape[1])), np.zeros((n, 1))
     for b in range(m):
@@ -59,7 +59,8 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
         sums = sums[row, parent] + c[word]
     win = cost.argmin(axis=1)
     s = sums[np.arange(n), win]
-    return codes[np.arange(n), win].astype(np.uint8), (s * s).sum(axis=1)
+    norm = (s * s).sum(axis=1)
+    return codes[np.arange(n), win].astype(np.uint8), np.where(norm > 0, (x * s).sum(axis=1) / np.where(norm > 0, norm, 1), 1.0)
 
 
 def _matrix(col: pa.Array, kind) -> np.ndarray:
@@ -67,16 +68,18 @@ def _matrix(col: pa.Array, kind) -> np.ndarray:
 
 
 def _pack_blocks(books: np.ndarray | None):
-    """One group of vectors, sorted by id, as one row of bytes; with codes and norms where books are given."""
+    """One group of vectors, sorted by id, as one row of bytes; with codes, scales and norms where books are given."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("vec_id")
-        ids = table.column("vec_id").to_numpy().astype(np.int64)
-        x = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-        out = {"block": pa.array([table.column("block")[0].as_py()], pa.int64()), "ids": pa.array([ids.tobytes()]), "vectors": pa.array([x.tobytes()])}
+        table = table.sort_by([("vec_id", "ascending"), ("row", "ascending")])
+        ids, row = (table.column(c).to_numpy().astype(np.int64) for c in ("vec_id", "row"))
+        x = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        x = x if x.dtype == np.float32 else x.astype(np.float64)  # as they came; products are taken in double precision
+        out = {"block": pa.array([table.column("block")[0].as_py()], pa.int64()), "ids": pa.array([ids.tobytes()]), "rows": pa.array([row.tobytes()]), "vectors": pa.array([x.tobytes()])}
         if books is not None:
-            codes, norms = zip(*(encode(x[k : k + 1024], books) for k in range(0, len(x), 1024)), strict=True)
-            out |= {"codes": pa.array([np.concatenate(codes).tobytes()]), "norms": pa.array([np.concatenate(norms).tobytes()])}
+            codes, scales = zip(*(encode(x[k : k + 1024].astype(np.float64), books) for k in range(0, len(x), 1024)), strict=True)
+            out |= {"codes": pa.array([np.concatenate(codes).tobytes()]), "scales": pa.array([np.concatenate(scales).tobytes()])}
+            out |= {"norms": pa.array([(x.astype(np.float64) ** 2).sum(axis=1).tobytes()])}
         return pa.table(out)
 
     return run
@@ -93,7 +96,7 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return at
 
 
-def _scan(books: np.ndarray, top: int, metric: str):
+def _scan(books: np.ndarray, top: int, metric: str, kind):
     """For pairs of a query block and a vector block: the best of each query so far, one row a query block and task."""
     m, k, d = books.shape
 
@@ -103,29 +106,31 @@ def _scan(books: np.ndarray, top: int, metric: str):
             for r in range(batch.num_rows):
                 get = {name: batch.column(name)[r] for name in batch.schema.names}
                 qids, ids = _matrix(get["q_ids"], np.int64), _matrix(get["ids"], np.int64)
-                q, x = _matrix(get["q_vectors"], np.float64).reshape(len(qids), d), _matrix(get["vectors"], np.float64).reshape(len(ids), d)
+                q, x = (_matrix(get[c], kind).reshape(-1, d).astype(np.float64) for c in ("q_vectors", "vectors"))
+                qrows, rows = _matrix(get["q_rows"], np.int64), _matrix(get["rows"], np.int64)
                 codes = _matrix(get["codes"], np.uint8).reshape(len(ids), m)
                 table = (books.reshape(m * k, d) @ q.T).astype(np.float32)
                 rough = np.zeros((len(ids), len(qids)), np.float32)
                 for b in range(m):
                     rough += table[b * k + codes[:, b].astype(np.int64)]
+                rough *= _matrix(get["scales"], np.float64)[:, None].astype(np.float32)
                 if metric == "l2":
                     rough = 2 * rough - _matrix(get["norms"], np.float64)[:, None].astype(np.float32)
-                at = _best(np.ascontiguousarray(rough.T), RERANK + 1)
+                at = _best(np.ascontiguousarray(rough.T), max(RERANK, DEPTH * top) + 1)
                 exact = np.stack([x[a] @ v for a, v in zip(at, q, strict=True)])
                 if metric == "l2":
                     exact = 2 * exact - (x * x).sum(axis=1)[at] - (q * q).sum(axis=1)[:, None]
                 found = ids[at]
-                exact[found == qids[:, None]] = -np.inf
+                exact[rows[at] == qrows[:, None]] = -np.inf
                 key = get["q_block"].as_py()
                 if key in best:
                     found, exact = np.concatenate([best[key][1], found], axis=1), np.concatenate([best[key][2], exact], axis=1)
                 order = np.lexsort((found, -exact), axis=1)[:, :top]
-                best[key] = qids, np.take_along_axis(found, order, axis=1), np.take_along_axis(exact, order, axis=1)
-        for qids, found, exact in best.values():
-            rows = np.repeat(qids, found.shape[1])
+                best[key] = qids, np.take_along_axis(found, order, axis=1), np.take_along_axis(exact, order, axis=1), qrows
+        for qids, found, exact, qrows in best.values():
+            asked = [np.repeat(v, found.shape[1]) for v in (qids, qrows)]
             ok = np.isfinite(exact.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(rows[ok]), pa.array(found.ravel()[ok]), pa.array(exact.ravel()[ok])], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(v[ok]) for v in (*asked, found.ravel(), exact.ravel())], ["query_id", "query_row", "vec_id", "score"])
 
     return run
 
@@ -135,7 +140,10 @@ def search(vectors: DataFrame, is_query, top: int = 20, metric: str = "ip", fit_
 
     metric: 'ip' (largest inner product) or 'l2' (least distance, as a negative score). Vectors null, zero or with null or
     non-finite components, without an id, or of another length than most, take no part. Ties go to the smaller id. Equal vectors
-    have equal codes, so ties in the rough scores go to the smaller id as well. With no vectors or no queries: no rows."""
+    have equal codes, so ties in the rough scores go to the smaller id as well. A vector's own row alone is no candidate: other rows
+    of its id are, and rows that repeat an id are queries of their own. Other columns are not read. With no vectors or no queries:
+    no rows. Every vector is encoded and looked at for every query; what is approximate is which of a block's rows, DEPTH times `top`
+    or RERANK of them, are scored exactly."""
     spark = vectors.sparkSession
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     ok = vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
@@ -145,21 +153,25 @@ def search(vectors: DataFrame, is_query, top: int = 20, metric: str = "ip", fit_
     if sizes is None:
         return spark.createDataFrame([], schema)
     ok = ok.filter(F.size("embedding") == sizes["d"])
+    kind = np.float32 if ok.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
+    ok = ok.withColumn("asks", is_query)
     rows = ok.count()
     sample = ok.orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_rows).toPandas()
     books = fit(np.stack(sample["embedding"].to_numpy()).astype(np.float64))
     blocks = -(-rows // BLOCK)
-    packed = ok.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)))
-    packed = common.checkpointed(packed.groupBy("block").applyInArrow(_pack_blocks(books), "block long, ids binary, vectors binary, codes binary, norms binary"))
-    asked = ok.filter(is_query)
+    # rows are told apart by a number that is written down with them, once
+    ok = common.checkpointed(ok.withColumn("row", F.monotonically_increasing_id()))
+    packed = ok.withColumn("block", F.pmod(F.xxhash64("vec_id", "row"), F.lit(blocks))).select("block", "vec_id", "row", "embedding")
+    packed = common.checkpointed(packed.groupBy("block").applyInArrow(_pack_blocks(books), "block long, ids binary, rows binary, vectors binary, codes binary, scales binary, norms binary"))
+    asked = ok.filter("asks")
     q_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(q_blocks)))
-    asked = asked.groupBy("block").applyInArrow(_pack_blocks(None), "block long, ids binary, vectors binary")
-    asked = common.checkpointed(asked.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("row", "vec_id"), F.lit(q_blocks))).select("block", "vec_id", "row", "embedding")
+    asked = asked.groupBy("block").applyInArrow(_pack_blocks(None), "block long, ids binary, rows binary, vectors binary")
+    asked = common.checkpointed(asked.select(F.col("block").alias("q_block"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "vectors")]))
     # every block of queries is sent to every block of vectors; a vector block is read by one task, with its queries after each other
     pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))).join(packed, "block")
-    found = pairs.mapInArrow(_scan(books, top, metric), "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
+    found = pairs.mapInArrow(_scan(books, top, metric, kind), "query_id long, query_row long, vec_id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")).cast("int"))
     return ranked.filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 

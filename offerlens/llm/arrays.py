@@ -5,9 +5,8 @@ name of its own attempt and renamed, so a repeated task replaces it by equal con
 
 from __future__ import annotations
 
+import io
 import os
-import shutil
-import tempfile
 import uuid
 from urllib.parse import urlparse
 
@@ -44,6 +43,8 @@ def put(folder: str, shard: int, **columns: np.ndarray) -> None:
         store.move(part, whole) if store else os.replace(part, whole)
 
 
+#: Columns of shards that a worker keeps in memory where it can't map them.
+KEPT = 64
 _open: dict[str, "Shards"] = {}
 
 
@@ -57,34 +58,32 @@ def shards(folder: str, count: int, *columns: str) -> "Shards":
 
 
 class Shards:
-    """Read side: columns[0] holds sorted distinct keys; the others go with it."""
+    """Read side: columns[0] holds sorted distinct keys; the others go with it.
+
+    Shards in a mounted folder are mapped; others are read when asked for, and the KEPT last ones stay in memory."""
 
     def __init__(self, folder: str, count: int, columns: tuple[str, ...]):
         self.count, self.columns = count, columns
-        base = _local(folder)
-        if base is None:  # not a mounted folder: copied once a worker, then mapped
-            store, path = _remote(folder)
-            base = tempfile.mkdtemp(prefix="arrays-")
-            self._copy = base
-            from pyarrow import fs
-
-            for info in store.get_file_info(fs.FileSelector(path)):
-                if info.base_name.endswith(".npy"):
-                    with store.open_input_stream(info.path) as src, open(f"{base}/{info.base_name}", "wb") as dst:
-                        shutil.copyfileobj(src, dst)
-        self.base = base
-        self._maps: dict[tuple[str, int], np.ndarray | None] = {}
-
-    def __del__(self):
-        if hasattr(self, "_copy"):
-            shutil.rmtree(self._copy, ignore_errors=True)
+        self.base, self.store = _local(folder), None
+        if self.base is None:
+            self.store, self.base = _remote(folder)
+        self._held: dict[tuple[str, int], np.ndarray | None] = {}
+
+    def _read(self, path: str) -> np.ndarray | None:
+        if self.store is None:
+            return np.load(path, mmap_mode="r") if os.path.exists(path) and os.path.getsize(path) > 0 else None
+        if not self.store.get_file_info(path).is_file:
+            return None
+        with self.store.open_input_stream(path) as src:
+            return np.load(io.BytesIO(src.read()))
 
     def get(self, name: str, shard: int) -> np.ndarray | None:
-        if (name, shard) not in self._maps:
-            path = f"{self.base}/{name}-{shard:05d}.npy"
-            found = os.path.exists(path) and os.path.getsize(path) > 0
-            self._maps[name, shard] = np.load(path, mmap_mode="r") if found else None
-        return self._maps[name, shard]
+        at = name, shard
+        if at not in self._held:
+            while self.store is not None and len(self._held) >= KEPT:
+                self._held.pop(next(iter(self._held)))
+            self._held[at] = self._read(f"{self.base}/{name}-{shard:05d}.npy")
+        return self._held[at]
 
     def lookup(self, keys: np.ndarray, *wanted: str) -> list[np.ndarray]:
         """For keys in any order: whether each is held, then its value in every wanted column (0 if it isn't held)."""
@@ -103,7 +102,7 @@ class Shards:
             held[order[lo:hi]] = hit
             for k, name in enumerate(wanted):
                 column = self.get(name, int(shard))
-                if values[k] is None:
-                    values[k] = np.zeros(len(keys), column.dtype)
+                if values[k] is None:  # shards may hold integers of different widths
+                    values[k] = np.zeros(len(keys), np.int64 if column.dtype.kind in "iu" else column.dtype)
                 values[k][order[lo:hi][hit]] = column[at[hit]]
         return [held, *(np.zeros(len(keys), np.int64) if v is None else v for v in values)]

@@ -72,6 +72,21 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
+#: Bytes of text whose entries one shard holds, about; and shards at most, as each is a few files.
+SHARD_BYTES, SHARDS = 1 << 24, 100_000
+
+
+def text_shards(docs: DataFrame, text: str = "text") -> int:
+    """How many shards the entries of the texts are dealt to: one for SHARD_BYTES of text, so that a task's share does not grow with the table."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return int(min(max(8, -(-size // SHARD_BYTES)), SHARDS))
+
+
+def by_shard(df: DataFrame, shards: int):
+    """df grouped by its column shard, in as many partitions as there are shards."""
+    return df.repartition(shards, "shard").groupBy("shard")
+
+
 def id_text(doc_id: str = "doc_id"):
     return F.col(doc_id).cast("string")
 

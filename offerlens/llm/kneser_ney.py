@@ -94,7 +94,7 @@ def _count_bigrams(u, v, first):
 def _store_bigrams(folder: str):
     def run(table: pa.Table) -> pa.Table:
         keys, (n,) = _merge(*(lambda k, c: (k, [c.astype(np.int64)]))(*_gather(table, (np.uint64, np.uint32))))
-        arrays.put(folder, table.column("shard")[0].as_py(), key=keys, n=n.astype(np.uint32))
+        arrays.put(folder, table.column("shard")[0].as_py(), key=keys, n=n.astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.int64))
         return pa.table({"types": pa.array([len(keys)], pa.int64()), **{f"n{k}": pa.array([int((n == k).sum())], pa.int64()) for k in (1, 2, 3, 4)}})
 
     return run
@@ -113,7 +113,8 @@ def _word_sums(folder: str, shards: int):
     return make
 
 
-_SUM_KINDS = (np.uint32, np.uint32, np.uint32, np.uint32, np.float32, np.float32)
+# counts are of HELD entries at most; sums of 1/c are whole once all tasks are added, and doubles keep them so
+_SUM_KINDS = (np.uint32, np.uint32, np.uint32, np.uint32, np.float64, np.float64)
 
 
 def _store_words(folder: str):
@@ -172,14 +173,14 @@ class Model:
 def train(texts: DataFrame) -> Model:
     """The model of a text column; an empty table gives a model in which every word is unknown."""
     spark = texts.sparkSession
-    shards = common.shuffle_partitions(spark)
+    texts = texts.select("text")
+    shards = common.text_shards(texts)
     bigrams, words = common.shared_folder(spark, "bigrams"), common.shared_folder(spark, "words")
     sums = lambda df: df.groupBy().sum().toDF(*df.columns).first()  # noqa: E731  a handful of numbers
-    texts = texts.select("text")
     sent = texts.mapInArrow(_held(_count_bigrams, shards, (np.uint32,)), "shard int, c0 binary, c1 binary")
-    pairs = sums(sent.groupBy("shard").applyInArrow(_store_bigrams(bigrams), "types long, n1 long, n2 long, n3 long, n4 long"))
+    pairs = sums(common.by_shard(sent, shards).applyInArrow(_store_bigrams(bigrams), "types long, n1 long, n2 long, n3 long, n4 long"))
     sent = texts.mapInArrow(_held(_word_sums(bigrams, shards), shards, _SUM_KINDS), "shard int, " + ", ".join(f"c{k} binary" for k in range(7)))
-    totals = sums(sent.groupBy("shard").applyInArrow(_store_words(words), "tokens long, words long, types long, n1 long, n2 long, n3 long, n4 long"))
+    totals = sums(common.by_shard(sent, shards).applyInArrow(_store_words(words), "tokens long, words long, types long, n1 long, n2 long, n3 long, n4 long"))
     return Model(bigrams, words, shards, pairs, totals)
 
 
@@ -196,9 +197,10 @@ def scorer(model: Model):
 
 
 def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
-    """docs with a column lm (base_score, score, n_tokens, n_known, perplexity), from a model of the texts not held out.
+    """docs with columns lm (base_score, score, n_tokens, n_known), perplexity and train_tokens, from a model of the texts not held out.
 
-    Null and empty texts are the end token alone. Words that training lacks have the probability of an unknown word. Names have
+    Columns of these names are replaced, all others stay; repeated rows are scored alike, and counted as often as they occur. Whole
+    texts are read, however long. An empty table gives no rows. Null and empty texts are the end token alone. Words that training lacks have the probability of an unknown word. Names have
     64 bits; words of equal names are taken as one."""
     model = train(docs.filter(~held_out))
     scored = docs.withColumn("lm", scorer(model)(F.col("text")))

@@ -338,13 +338,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gap: int | None = None
         raise ValueError("gap is at most half of length")
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
-    shards = common.shuffle_partitions(spark)
+    shards = common.text_shards(rows)
     keys, names, windows = (common.shared_folder(spark, f"suffix-{x}") for x in ("keys", "runs", "windows"))
     done = lambda df: df.groupBy().sum("n").collect()  # noqa: E731  one number; the arrays are in the shared folder
-    done(rows.mapInArrow(_round1(length, gap, shards), _schema(2)).groupBy("shard").applyInArrow(_repeated(keys), "n long"))
-    named = rows.mapInArrow(_round2(length, gap, shards, keys), _schema(3)).groupBy("shard").applyInArrow(_settle_runs(names, shards), _schema(3))
-    done(named.groupBy("shard").applyInArrow(_store_runs(names), "n long"))
-    done(rows.mapInArrow(_round3(length, gap, shards, keys, names), _schema(3)).groupBy("shard").applyInArrow(_store_windows(windows), "n long"))
+    done(common.by_shard(rows.mapInArrow(_round1(length, gap, shards), _schema(2)), shards).applyInArrow(_repeated(keys), "n long"))
+    named = common.by_shard(rows.mapInArrow(_round2(length, gap, shards, keys), _schema(3)), shards).applyInArrow(_settle_runs(names, shards), _schema(3))
+    done(common.by_shard(named, shards).applyInArrow(_store_runs(names), "n long"))
+    done(common.by_shard(rows.mapInArrow(_round3(length, gap, shards, keys, names), _schema(3)), shards).applyInArrow(_store_windows(windows), "n long"))
     return rows.mapInArrow(
         _cut(length, gap, shards, keys, names, windows),
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>",

@@ -504,6 +504,45 @@ def test_ann(spark, metric):
     assert hit / (20 * len(got)) >= 0.9
 
 
+def test_ann_deep_and_repeated(spark):
+    """More neighbours than a block's least depth, and rows that repeat an id: only a query's own row is no candidate."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 12)).astype(np.float32)
+    ids = [*range(396), 0, 20, 20, 5]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>").withColumn("row", F.lit("x")).withColumn("block", F.lit(1)).repartition(3)
+    got = defaultdict(list)
+    for r in additive_ann.search(df, F.col("vec_id") % 20 == 0, top=100).collect():
+        got[r["query_id"], r["rank"]].append((r["score"], r["vec_id"]))
+    scores, hit, total = x.astype(float) @ x.astype(float).T, 0, 0
+    for q in set(ids):
+        if q % 20 == 0:
+            rows = [k for k, i in enumerate(ids) if i == q]
+            want = sorted(sorted(((-scores[k, m], ids[m]) for m in range(400) if m != k))[:100] for k in rows)
+            found = [got[q, n] for n in range(1, 101)]
+            assert all(len(f) == len(rows) for f in found)
+            hit += sum(len(set(f[1] for f in fs) & {w[n][1] for w in want}) > 0 for n, fs in enumerate(found))
+            total += 100
+    assert hit >= 0.9 * total
+
+
+def test_shards_in_a_store(monkeypatch, tmp_path):
+    """Arrays in a folder that can't be mapped are read by shard, as many at a time as are kept."""
+    from pyarrow import fs
+
+    from offerlens.llm import arrays
+
+    monkeypatch.setattr(arrays, "_local", lambda folder: None)
+    monkeypatch.setattr(arrays, "_remote", lambda folder: (fs.LocalFileSystem(), folder))
+    monkeypatch.setattr(arrays, "KEPT", 3)
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2))
+    of = arrays.shard_of(keys, 9)
+    for k in range(8):
+        arrays.put(str(tmp_path), k, key=keys[of == k], n=(keys[of == k] % np.uint64(1000)).astype(np.uint32 if k % 2 else np.int64))
+    held, n = arrays.Shards(str(tmp_path), 9, ("key", "n")).lookup(np.concatenate([keys[::-1], keys + np.uint64(1)]), "n")
+    assert held[:500].tolist() == (of[::-1] < 8).tolist() and not held[500:].any()
+    assert n[:500].tolist() == np.where(of[::-1] < 8, keys[::-1] % np.uint64(1000), 0).tolist()
+
+
 def test_language_finds_more_than_three(spark):
     words = {"a": "abba bacca cabab acbac ", "d": "deffe edfed feded dfefd ", "g": "ghiig ighhi hgihg gihig ", "j": "jkllk lkjjl kljkj jlkjl ", "m": "mnoon onmmo nmono mnomn "}
     model = language.Mixture(*language.train(spark.createDataFrame([(w * 40, k) for k, w in words.items()], "text string, lang string")))
