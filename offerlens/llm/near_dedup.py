@@ -290,44 +290,48 @@ def near_rows(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     Null ids come last: a group of them alone has component_id null. Rows that repeat id and text share their fate. An empty
     table gives no rows."""
     spark = docs.sparkSession
-    rows, shards = docs.select("doc_id", "text"), common.shuffle_partitions(spark)
+    rows, parts = docs.select("doc_id", "text"), common.shuffle_partitions(spark)
+    shards = common.text_shards(rows)
     hashed = rows.withColumn("text_hash", F.xxhash64("text"))
     signed = common.checkpointed(hashed.mapInArrow(_sign(words), "doc_id long, text_hash long, n_shingles long, class long, sketch binary, regions array<long>"))
     number = F.coalesce("doc_id", F.lit(_NO_ID))
     classes = signed.filter("n_shingles > 0").groupBy("class").agg(F.min(number).alias("rep"), F.min_by(F.struct("sketch", "regions"), number).alias("s"))
     classes = common.checkpointed(classes.select("class", "rep", "s.sketch", "s.regions"))
     light = classes.select("class", F.posexplode("regions").alias("tree", "region"))
-    crowded = light.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    crowded = light.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("w", F.col("n"))
     order = F.concat(F.expr(f"substring(sketch, tree * {LEAD} + 1, {VALUES})"), F.expr(f"substring(sketch, 1, tree * {LEAD})"))
-    members = light.join(crowded, "region").join(classes.select("class", "sketch"), "class").select("region", "tree", "n", "class", order.alias("order"))
+    members = common.spread_join(light, crowded, ["region"], "w", TREES * classes.count())
+    members = members.join(classes.select("class", "sketch"), "class").select("region", "tree", "n", "class", order.alias("order"))
     members = common.checkpointed(members)
 
-    first = members.groupBy("region").agg(F.min(F.struct("order", "class")).alias("p")).select("region", F.col("p.class").alias("pivot"), F.col("p.order").alias("pivot_order"))
+    first = members.groupBy("region").agg(F.min(F.struct("order", "class")).alias("p"), F.count(F.lit(1)).alias("w"))
+    first = first.select("region", "w", F.col("p.class").alias("pivot"), F.col("p.order").alias("pivot_order"))
     part = F.when(F.col("n") <= REGION_ROWS, 0).otherwise(F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / REGION_ROWS))).cast("int")
-    sorted_ = members.join(first, "region").withColumn("part", part).repartition(shards, "region", "part").sortWithinPartitions("region", "part", "order", "class")
+    placed = common.spread_join(members, first, ["region"], "w", members.count(), by=["class"])
+    sorted_ = placed.withColumn("part", part).repartition(parts, "region", "part").sortWithinPartitions("region", "part", "order", "class")
     candidates = common.checkpointed(sorted_.mapInArrow(_first_pass, "a long, b long").distinct())
 
     wanted, sets = common.shared_folder(spark, "near-wanted"), common.shared_folder(spark, "near-sets")
     # every class that shares a region may be asked for in the second pass
     asked = members.select("class").distinct().join(classes.select("class", "rep"), "class").mapInArrow(_with_shard(shards), "shard int, class long, rep long")
-    asked.groupBy("shard").applyInArrow(_store_wanted(wanted, shards), "n long").groupBy().sum().collect()
+    common.by_shard(asked, shards).applyInArrow(_store_wanted(wanted, shards), "n long").groupBy().sum().collect()
     full = rows.mapInArrow(_wanted_sets(words, wanted, shards), "shard int, class long, set binary")
-    full.groupBy("shard").applyInArrow(_store_sets(sets), "n long").groupBy().sum().collect()
+    common.by_shard(full, shards).applyInArrow(_store_sets(sets), "n long").groupBy().sum().collect()
 
     confirm = _confirm(sets, shards, percent)
-    links = common.checkpointed(candidates.repartition(shards, "a").mapInArrow(confirm, "a long, b long"))
+    links = common.checkpointed(candidates.repartition(parts, "a").mapInArrow(confirm, "a long, b long"))
     roots = components(links)
 
     # regions of up to three classes have had every pair looked at
     joined = members.filter("n > 3").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
     joined = common.checkpointed(joined)
-    split = joined.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("region")
+    split = joined.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("w")).filter("lo <> hi").select("region", "w")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    rest = joined.join(split, "region").withColumn("blocks", blocks).withColumn("mine", mine)
+    rest = common.spread_join(joined, split, ["region"], "w", joined.count(), by=["class"]).withColumn("blocks", blocks).withColumn("mine", mine)
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
     rest = rest.join(classes.select("class", "regions"), "class").select("region", "i", "j", "mine", "tree", "class", "comp", "order", "regions")
-    rest = rest.repartition(shards, "region", "i", "j").sortWithinPartitions("region", "i", "j", "class")
+    rest = rest.repartition(parts, "region", "i", "j").sortWithinPartitions("region", "i", "j", "class")
     more = common.checkpointed(rest.mapInArrow(_second_pass(sets, shards, percent), "a long, b long"))
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
