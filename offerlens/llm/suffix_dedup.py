@@ -21,6 +21,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import arrays, common
 from .common import Fingerprints, mix64, pair64
@@ -351,5 +352,87 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gap: int | None = None
     )
 
 
+#: Bytes by which positions are ranked at first.
+FIRST = 8
+
+
+def _first_ranks(batches):
+    """Every position of every text with FIRST bytes or more to come, and these bytes as a number, which orders like they do."""
+    for batch in batches:
+        col, ids, row = common.text_column(batch), _ids(batch), batch.column("row").to_numpy()
+        for lo, hi, data, offsets in common.byte_blocks(col):
+            if len(data) < FIRST:
+                continue
+            rank = np.zeros(len(data) - FIRST + 1, np.uint64)
+            for k in range(FIRST):
+                rank = rank << np.uint64(8) | data[k : len(data) - FIRST + 1 + k]
+            of = np.repeat(np.arange(hi - lo), np.diff(offsets))[: len(rank)]
+            at = np.flatnonzero(np.arange(len(rank)) + FIRST <= offsets[of + 1])
+            rank = (rank[at] ^ np.uint64(1 << 63)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(row[lo + of[at]]), pa.array(ids[lo + of[at]]), pa.array(at - offsets[of[at]]), pa.array(rank)], ["row", "doc", "p", "a"])
+
+
+def _number(batches):
+    """Ranks for sorted rows of one range: the number of the range, and the place in it."""
+    from pyspark import TaskContext
+
+    at = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        yield batch.append_column("rank", pa.array(np.arange(at, at + batch.num_rows)))
+        at += batch.num_rows
+
+
+def _whole_texts(length: int):
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc, raw, starts in zip(batch.column("doc_id").to_pylist(), common.text_column(batch).cast(pa.binary()).to_pylist(), batch.column("starts"), strict=True):
+                mark = np.zeros(len(raw) + 1, np.int32)
+                at = np.array(starts.as_py() or [], np.int64)
+                np.add.at(mark, at, 1)
+                np.add.at(mark, at + length, -1)
+                gone = np.cumsum(mark[:-1]) > 0
+                spans = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist()
+                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                rows.append((doc, len(raw), int(gone.sum()), len(spans), hashlib.sha256(kept).hexdigest(), spans))
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+    return run
+
+
+def doubled_spans(docs: DataFrame, length: int = LENGTH, sizes: list | None = None) -> DataFrame:
+    """What repeated_spans gives, by prefix doubling on every position, with exact ranks and no names.
+
+    Positions are ranked by FIRST bytes, and then by pairs of ranks: that of the position and that of the one `step` further on,
+    with step 8, 16, ... and at last what is missing to `length`. Each round Spark groups the pairs, leaves out those of one
+    document only, sorts the others by range and numbers them; positions without a partner or a rank leave. sizes, if given, gets
+    (bytes ranked, positions, pairs of two documents) of each round. All positions go through the shuffle of every round: many times
+    the input, so the query uses repeated_spans (see the README); this one is for tables of which that much may be written."""
+    if length < FIRST:
+        raise ValueError(f"length is {FIRST} or more")
+    rows = common.checkpointed(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()))
+    left = rows.mapInArrow(_first_ranks, "row long, doc long, p long, a long").withColumn("b", F.lit(0).cast("long"))
+    parts, width = common.shuffle_partitions(docs.sparkSession), FIRST
+    while True:
+        left = common.stored(left)
+        pairs = left.groupBy("a", "b").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most").drop("most")
+        ranks = common.stored(pairs.repartitionByRange(parts, "a", "b").sortWithinPartitions("a", "b").mapInArrow(_number, "a long, b long, least long, n long, rank long"))
+        total = left.count()
+        if sizes is not None:
+            sizes.append((width, total, ranks.count()))
+        ranked = common.spread_join(left, ranks, ["a", "b"], "n", total, by=["row", "p"]).select("row", "doc", "p", "least", "rank")
+        if width == length:
+            starts = ranked.filter("least < doc").groupBy("row").agg(F.collect_list("p").alias("starts"))
+            return rows.join(starts, "row", "left").select("doc_id", "text", "starts").mapInArrow(
+                _whole_texts(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"
+            )
+        step = min(width, length - width)
+        ranked = common.stored(ranked)
+        further = ranked.select("row", (F.col("p") - step).alias("p"), F.col("rank").alias("b"))
+        left, width = ranked.select("row", "doc", "p", F.col("rank").alias("a")).join(further, ["row", "p"]).select("row", "doc", "p", "a", "b"), width + step
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(common.table(spark, sf_dir, "documents")).drop("spans")

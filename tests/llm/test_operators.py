@@ -232,6 +232,15 @@ def test_suffix_dedup_periods(spark):
     assert result(suffix_dedup.repeated_spans(df).drop("spans")) == brute_spans(rows, 50)
 
 
+@pytest.mark.parametrize("length", [50, 20])
+def test_prefix_doubling(docs, length):
+    """The doubling over every position gives what the query's way gives; positions leave with every round."""
+    sizes = []
+    got = result(suffix_dedup.doubled_spans(docs, length, sizes).drop("spans"))
+    assert got == brute_spans([r[:2] for r in DOCS], length)
+    assert [w for w, *_ in sizes] == ([8, 16, 32, 50] if length == 50 else [8, 16, 20]) and sizes == sorted(sizes, key=lambda x: -x[1])
+
+
 def test_packed_keys():
     for keys in ([], [1 << 63], [0, 1 << 16, 1 << 40, 1 << 62, (1 << 62) + (1 << 16), (1 << 64) - (1 << 16)]):
         k = np.array(keys, np.uint64)
