@@ -633,6 +633,34 @@ def test_exact_dedup(docs, keep):
     assert result(exact_dedup.exact_groups(docs, F.col("text"), keep=keep)) == want
 
 
+def test_clashing_columns_and_long_texts(spark):
+    """Columns named like those that operators use or give, null in every column, ties, repeated rows and a very long text change no answer."""
+    import public_tokenizers
+
+    long = " ".join(f"w{k % 5000} x{k * k % 977}" for k in range(60_000))
+    rows = [(1, long), (2, long + " more"), (3, "short text of six words here"), (3, "short text of six words here"), (4, None), (5, ""), (None, "lone text without an id at all")]
+    plain = spark.createDataFrame([(*r, None, None if r[0] == 5 else "en") for r in rows], "doc_id long, text string, source string, lang string").repartition(3)
+    names = ["lm", "perplexity", "train_tokens", "language", "h", "row", "class", "n", "size", "copies", "shard", "b", "salt", "_salt", "digest", "leaf", "component_id"]
+    full = plain.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model = language.Mixture(*language.train(plain))
+    ways = [
+        lambda d: near_dedup.near_groups(d), lambda d: mixing.mix(d), lambda d: packing.pack(d, path), lambda d: suffix_dedup.repeated_spans(d), lambda d: pii.find(d, None),
+        lambda d: kneser_ney.score_texts(d, F.col("doc_id") == 3).select("doc_id", "lm", "perplexity", "train_tokens"),
+        lambda d: language.identify(d, model).select("doc_id", "language"), lambda d: exact_dedup.exact_groups(d, F.col("text")),
+    ]
+    for way in ways:
+        want, got = way(plain).collect(), way(full).collect()
+        assert sorted(map(str, got)) == sorted(map(str, want))
+        assert len({r["doc_id"] for r in got}) == 6 and len(got) >= len(rows)
+    near = {r["doc_id"]: r for r in near_dedup.near_groups(full).collect()}
+    assert (near[2]["component_id"], near[1]["component_id"], near[4]["n_shingles"]) == (1, 1, 0)
+    spans = {r["doc_id"]: r for r in suffix_dedup.repeated_spans(full).collect()}
+    assert spans[2]["n_removed"] == len(long) and spans[1]["n_removed"] == 0
+    scored = {r["doc_id"]: r["lm"] for r in kneser_ney.score_texts(full, F.lit(False)).collect()}
+    assert scored[1]["n_tokens"] == 120_001 and scored[5]["n_tokens"] == 1
+
+
 def test_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (9, "z"), (9, "z")], "doc_id long, text string").withColumn("source", F.lit("s"))
     assert sorted((r["doc_id"] or 0, r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(df, F.col("text")).collect()) == [(0, 7, 4, False)] * 2 + [(7, 7, 4, True)] * 2 + [(9, 9, 2, True)] * 2
