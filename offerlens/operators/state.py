@@ -14,10 +14,9 @@ SLICE, SLICES, SAMPLE = 50_000, 1024, 20_000
 
 
 def latest(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row of each key: one aggregate with partial maxima, so a hot key never sorts in one task."""
-    rest = [c for c in rows.columns if c not in key]
-    last = F.max_by(F.struct(*rest), F.struct(*order))
-    return rows.groupBy(*key).agg(last.alias("r")).select(*key, *[F.col(f"r.{c}").alias(c) for c in rest]).select(*rows.columns)
+    """The last row of each key. Spark cuts ranks before the shuffle, so a hot key sends one row a task."""
+    w = Window.partitionBy(*key).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
 def moved(price: Column, before: Column) -> Column:

@@ -549,12 +549,9 @@ def st_isolation(s, d):
 
 
 def stream_change(s, d):
-    import uuid
-
-    root = s.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/offerlens-stream"
     schema = views.table(s, d, "events").schema
     shape = lambda e: e.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"))
-    return changes.run_available(s, f"{d}/events*.parquet", schema, shape, f"{root}/stream-{uuid.uuid4().hex}")
+    return changes.run_available(s, f"{d}/events*.parquet", schema, shape, changes.state_folder(s))
 
 
 QUERIES["stream_change"] = stream_change

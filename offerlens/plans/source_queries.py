@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -168,9 +166,8 @@ QUERIES["st_group"] = st_group
   from (select *, event_type <> 'error' and value is not null as can_buy, lag(value) over w as was, lag(event_type <> 'error') over w as was_stocked, row_number() over w as n
         from events window w as (partition by user_id order by ts, event_id))) where kind is not null""", "")
 def stream_alerts(s, d):
-    root = s.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/offerlens-stream"
     e = views.table(s, d, "events").schema
     shape = lambda x: x.select(
         F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"), (F.col("event_type") != "error").cast("int").alias("in_stock")
     )
-    return changes.run_available(s, f"{d}/events*.parquet", e, shape, f"{root}/stream-{uuid.uuid4().hex}", lambda x: changes.transitions(x, target=50.0), changes.TOLD)
+    return changes.run_available(s, f"{d}/events*.parquet", e, shape, changes.state_folder(s), lambda x: changes.transitions(x, target=50.0), changes.TOLD)
