@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import additive_ann, exact_dedup, kneser_ney, language, mixing, near_dedup, packing, pii, suffix_dedup, url_filter
+from . import additive_ann, exact_dedup, kneser_ney, language, mixing, near_dedup, packing, pii, secret_scan, suffix_dedup, url_filter
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         additive_ann.op8_ann,
         language.op9_language_id,
         exact_dedup.op10_exact_dedup,
+        secret_scan.op11_secret_scan,
     )
 }
 ORACLES = {"op2_mixing": mixing.OP2_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
