@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import additive_ann, exact_dedup, kneser_ney, language, mixing, near_dedup, packing, pii, secret_scan, suffix_dedup, url_filter, vector_codes
+from . import additive_ann, collocations, exact_dedup, kneser_ney, language, mixing, near_dedup, packing, pii, secret_scan, suffix_dedup, url_filter, vector_codes
 
 QUERIES = {
     f.__name__: f
@@ -18,7 +18,8 @@ QUERIES = {
         language.op9_language_id,
         exact_dedup.op10_exact_dedup,
         secret_scan.op11_secret_scan,
+        collocations.op12_collocations,
         vector_codes.op13_vector_codes,
     )
 }
-ORACLES = {"op2_mixing": mixing.OP2_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL, "op13_vector_codes": vector_codes.OP13_SQL}
+ORACLES = {"op2_mixing": mixing.OP2_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL, "op12_collocations": collocations.OP12_SQL, "op13_vector_codes": vector_codes.OP13_SQL}
