@@ -19,8 +19,8 @@ def bounded(rules: DataFrame) -> DataFrame:
 
 
 def source_list(c: Column) -> Column:
-    """A comma-separated list as trimmed non-empty entries."""
-    return F.filter(F.transform(F.split(c, ","), lambda s: F.trim(s)), lambda s: s != "")
+    """A comma-separated list as non-empty entries, without the white space around them."""
+    return F.filter(F.transform(F.split(c, ","), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
 def unset(c: Column) -> Column:
@@ -28,12 +28,16 @@ def unset(c: Column) -> Column:
 
 
 def matches(rules: DataFrame, offers: DataFrame) -> DataFrame:
-    """Active rules with every offer that they fit; an unset condition fits all, as does the query *."""
+    """Active rules with every offer that they fit; an unset condition fits all, as does the query *. Rules may lack the column series."""
+    if "series" not in rules.columns:
+        rules = rules.withColumn("series", F.lit(None).cast("string"))
     r = bounded(rules.filter("active = 1")).alias("r")
     names = source_list(F.coalesce(F.col("r.sources"), F.lit("")))
+    asked = F.trim("r.query")
     fits = (
-        (unset(F.col("r.query")) | (F.col("r.query") == "*") | F.lower("o.title").contains(F.lower("r.query")))
+        (unset(asked) | (asked == "*") | F.lower("o.title").contains(F.lower(asked)))
         & (unset(F.col("r.brand")) | (F.col("r.brand") == F.col("o.brand")))
+        & (unset(F.col("r.series")) | (F.col("r.series") == F.col("o.series")))
         & (unset(F.col("r.realism")) | (F.col("r.realism") == F.col("o.realism")))
         & (F.col("r.pack_min").isNull() | (F.col("o.pack_size") >= F.col("r.pack_min")))
         & (F.col("r.pack_max").isNull() | (F.col("o.pack_size") <= F.col("r.pack_max")))

@@ -47,12 +47,13 @@ class CatalogQuery:
     offset: int = 0
     bands: dict = field(default_factory=lambda: PRICE_BANDS)
 
-    def predicates(self) -> list[Column]:
+    def predicates(self, raw: bool = False) -> list[Column]:
+        """raw: whether offers have raw_title, what the seller wrote, which text is looked for in as well."""
         c, out = F.col, []
         if self.region:
             out.append(c("region") == self.region)
         if self.text:
-            out.append(c("title").ilike(f"%{self.text}%"))
+            out.append(reduce(or_, [c(t).ilike(f"%{self.text}%") for t in (["title", "raw_title"] if raw else ["title"])]))
         if self.sources:
             out.append(c("source").isin(*self.sources))
         if self.brands:
@@ -86,15 +87,15 @@ class CatalogQuery:
             "price": [*price, c("best_price").asc()],
             "price_desc": [*price, c("best_price").desc()],
             "savings": [(c("worst_price") - c("best_price")).desc_nulls_last()],
-            "sources": [c("source_count").desc()],
-            "rating": [c("rating").desc_nulls_last(), c("reviews").desc_nulls_last()],
+            "sources": [c("source_count").desc(), c("best_price").asc_nulls_first()],
+            "rating": [c("rating").desc_nulls_last(), c("best_price").asc_nulls_first()],
             "title": [c("title").asc()],
         }
         return [*by.get(self.sort, [c("best_price").asc_nulls_first()]), c("product_id").asc()]
 
 
 def filtered(offers: DataFrame, q: CatalogQuery) -> DataFrame:
-    return offers.filter(reduce(and_, q.predicates(), F.lit(True)))
+    return offers.filter(reduce(and_, q.predicates("raw_title" in offers.columns), F.lit(True)))
 
 
 def catalog(offers: DataFrame, q: CatalogQuery = CatalogQuery()) -> DataFrame:

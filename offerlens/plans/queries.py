@@ -35,7 +35,7 @@ SEEN = """seen as (
 HISTORY = """history as (
   select * exclude (n, before) from (select *, row_number() over w as n, lag(price) over w as before from observations window w as (partition by source, source_sku, region order by ts, o1, o2))
   where price is not null and (n = 1 or before is null or abs(price - before) > 0.001))"""
-OFFERS = "offers as (select l.*, p.title, p.brand, p.series, p.pack_size, p.is_set, p.realism from listings l join products p on l.product_id = p.id)"
+OFFERS = "offers as (select l.*, p.title, p.brand, p.series, p.pack_size, p.is_set, p.realism, p.title || ' by ' || l.source as raw_title from listings l join products p on l.product_id = p.id)"
 WITH = f"with {PRODUCTS}, {OBSERVATIONS}, {LISTINGS}, {SEEN}, {HISTORY}, {OFFERS}"
 
 
@@ -110,7 +110,8 @@ _FILTERS = {
     "j_catalog": ({"region": "EUROPE"}, "region = 'EUROPE'"),
     "a_savings": ({"region": "AFRICA", "in_stock": True}, "region = 'AFRICA' and in_stock = 1 and price is not null"),
     "f_region": ({"region": REGION}, "region = 'ASIA'"),
-    "f_text": ({"text": "WIDGET"}, "title ilike '%widget%'"),
+    "f_text": ({"text": "WIDGET"}, "(title ilike '%widget%' or raw_title ilike '%widget%')"),
+    "f_text_raw": ({"text": "by supplier#000000003"}, "(title ilike '%by supplier#000000003%' or raw_title ilike '%by supplier#000000003%')"),
     "f_in_source": ({"sources": ("Supplier#000000001", "Supplier#000000003")}, "source in ('Supplier#000000001', 'Supplier#000000003')"),
     "f_in_brand": ({"brands": ("Brand#3", "Other")}, "(brand in ('Brand#3') or brand is null)"),
     "f_series": ({"series": "PROMO"}, "series = 'PROMO'"),
@@ -127,7 +128,7 @@ _FILTERS = {
 }
 for _name, (_kw, _where) in _FILTERS.items():
     query(_name, CATALOG_SQL.format(where=f"where {_where}"))(lambda s, d, kw=_kw: catalog(offers(s, d), CatalogQuery(**kw)))
-query("p_dynamic_sql", "select * from offers where region = 'ASIA' and title ilike '%gear%' and price >= 10000 and in_stock = 0")(
+query("p_dynamic_sql", "select * from offers where region = 'ASIA' and (title ilike '%gear%' or raw_title ilike '%gear%') and price >= 10000 and in_stock = 0")(
     lambda s, d: filtered(offers(s, d), CatalogQuery(region=REGION, text="gear", min_price=10_000.0, sold_out=True)).drop("id")
 )
 query("f_keep", "select source, source_sku, region, price from listings where price is null or (price > 0 and price <= 50000)")(
@@ -141,8 +142,8 @@ _ORDERS = {
     "price": "(buyable_count = 0), (best_price is null), best_price",
     "price_desc": "(buyable_count = 0), (best_price is null), best_price desc",
     "savings": "(worst_price - best_price) desc nulls last",
-    "sources": "source_count desc",
-    "rating": "rating desc nulls last, reviews desc nulls last",
+    "sources": "source_count desc, best_price asc nulls first",
+    "rating": "rating desc nulls last, best_price asc nulls first",
     "title": "title",
     "default": "best_price asc nulls first",
 }
@@ -214,16 +215,17 @@ query("a_deals", _DEALS)(lambda s, d: metrics.deals(offers(s, d)))
 query("o_deals_topk", f"{_DEALS} order by gap desc, product_id limit 20")(lambda s, d: metrics.deals(offers(s, d)).orderBy(F.desc("gap"), "product_id").limit(20))
 
 RULE_ROWS = [
-    (1, "*", None, None, None, None, None, 20_000.0, 1, 1),
-    (2, "widget", "Brand#3", None, None, None, None, 0.0, 1, 1),
-    (3, "*", None, "Fantasy", 1, 1, None, None, 1, 1),
-    (4, "gear", None, None, None, None, None, None, 0, 1),
-    (5, "*", None, None, None, None, "Supplier#000000001, Supplier#000000002", 30_000.0, 1, 1),
-    (6, "bolt", None, None, None, None, None, None, 1, 0),
+    (1, "*", None, None, None, None, None, None, 20_000.0, 1, 1),
+    (2, " widget", "Brand#3", None, None, None, None, None, 0.0, 1, 1),
+    (3, "*", None, None, "Fantasy", 1, 1, None, None, 1, 1),
+    (4, "gear", None, None, None, None, None, None, None, 0, 1),
+    (5, "*", None, None, None, None, None, "Supplier#000000001, Supplier#000000002", 30_000.0, 1, 1),
+    (6, "bolt", None, None, None, None, None, None, None, 1, 0),
+    (7, "*", None, "PROMO", None, 2, None, None, 25_000.0, 1, 1),
 ]
-RULE_SCHEMA = "rule_id int, query string, brand string, realism string, pack_min int, pack_max int, sources string, target double, stock_only int, active int"
+RULE_SCHEMA = "rule_id int, query string, brand string, series string, realism string, pack_min int, pack_max int, sources string, target double, stock_only int, active int"
 _lit = lambda x: "null" if x is None else repr(x)
-RULES_SQL = "rules(rule_id, query, brand, realism, pack_min, pack_max, sources, target, stock_only, active) as (values " + ", ".join("(" + ", ".join(map(_lit, r)) + ")" for r in RULE_ROWS) + ")"
+RULES_SQL = "rules(rule_id, query, brand, series, realism, pack_min, pack_max, sources, target, stock_only, active) as (values " + ", ".join("(" + ", ".join(map(_lit, r)) + ")" for r in RULE_ROWS) + ")"
 
 
 def rules(s: SparkSession) -> DataFrame:
@@ -282,13 +284,15 @@ query("a_counts", "select (select count(distinct product_id) from seen) as befor
 # ---------------------------------------------------------------- alerts
 
 _MATCH = f"""+ {RULES_SQL}, fits as (select r.rule_id, r.target, r.stock_only, o.* from offers o join rules r on r.active = 1
-    and (coalesce(r.query, '') in ('', '*') or contains(lower(o.title), lower(r.query))) and (coalesce(r.brand, '') = '' or r.brand = o.brand)
+    and (trim(coalesce(r.query, '')) in ('', '*') or contains(lower(o.title), lower(trim(r.query)))) and (coalesce(r.brand, '') = '' or r.brand = o.brand)
+    and (coalesce(r.series, '') = '' or r.series = o.series)
     and (coalesce(r.realism, '') = '' or r.realism = o.realism) and (r.pack_min is null or o.pack_size >= r.pack_min) and (r.pack_max is null or o.pack_size <= r.pack_max)
     and (coalesce(r.sources, '') = '' or list_contains(list_transform(string_split(r.sources, ','), lambda x: trim(x)), o.source)) where o.region = 'ASIA'),
-  then_ as (select s.*, p.title, p.brand, p.realism, p.pack_size from seen s join products p on s.product_id = p.id where s.region = 'ASIA'),
+  then_ as (select s.*, p.title, p.brand, p.series, p.realism, p.pack_size from seen s join products p on s.product_id = p.id where s.region = 'ASIA'),
   best as (select * exclude (rn) from (select *, row_number() over (partition by rule_id, product_id, source order by in_stock desc, price is null, price, source_sku, region) as rn from fits) where rn = 1),
   mem as (select rule_id, product_id, source, price as was_price, in_stock as was_stock, true as seen from then_ o join rules r on r.active = 1
-    and (coalesce(r.query, '') in ('', '*') or contains(lower(o.title), lower(r.query))) and (coalesce(r.brand, '') = '' or r.brand = o.brand)
+    and (trim(coalesce(r.query, '')) in ('', '*') or contains(lower(o.title), lower(trim(r.query)))) and (coalesce(r.brand, '') = '' or r.brand = o.brand)
+    and (coalesce(r.series, '') = '' or r.series = o.series)
     and (coalesce(r.realism, '') = '' or r.realism = o.realism) and (r.pack_min is null or o.pack_size >= r.pack_min) and (r.pack_max is null or o.pack_size <= r.pack_max)
     and (coalesce(r.sources, '') = '' or list_contains(list_transform(string_split(r.sources, ','), lambda x: trim(x)), o.source))),
   ev as (select b.*, m.was_price, m.was_stock, case
@@ -388,13 +392,13 @@ def titles(s, d):
 
 def _pk(t: str) -> str:
     rest = f"regexp_replace({t}, $r${text.RATIO}$r$, ' ', 'g')"
-    found = [f"try_cast(regexp_extract({rest}, $r${p}$r$, 1) as int)" for p in text.PACK_PATTERNS]
+    found = [f"try_cast(regexp_extract({rest}, $r${p}$r$, 1) as int)" for p in text.stated_counts()]
     return f"coalesce({', '.join(f'case when {n} between 1 and 50 then {n} end' for n in found)}, 1)"
 
 
 def _sig(t: str) -> str:
     s = f"lower(trim(regexp_replace(replace({t}, '&amp;', '&'), '\\s+', ' ', 'g')))"
-    for p in (r"\([^)]*\)|\[[^\]]*\]", text.RATIO, *text.COUNT_NOISE, "[^a-z0-9]+"):
+    for p in (r"\([^)]*\)|\[[^\]]*\]", text.RATIO, *text.count_noise(), "[^a-z0-9]+"):
         s = f"regexp_replace({s}, $r${p}$r$, ' ', 'g')"
     noise = ", ".join(f"'{w}'" for w in text.RulePack().noise)
     return f"coalesce(nullif(array_to_string(list_sort(list_distinct(list_filter(string_split({s}, ' '), lambda w: length(w) > 1 and w not in ({noise}))))[1:12], ' '), ''), 'assorted')"
@@ -419,17 +423,25 @@ _title("s_detect_brand", "brand", text.brand)
 _HINT = "case when id % 3 = 0 then 'the ECHO company' when id % 3 = 1 then 'Nobody' end"
 _title("s_detect_brand_hint", f"case when {_PROPER} then case when len(f) = 0 then case when id % 3 = 0 then 'Echo' end else brand end end", lambda t: text.brand(t, hint=F.expr(_HINT)))
 _title("s_brand_list", "array_to_string(list_sort(list_transform(f, lambda x: x.name)), ',')", lambda t: F.array_join(F.array_sort(F.filter(F.array(*[F.when(t.rlike(rf"(?i)\b{b}\b"), b) for b in _BRANDS]), lambda x: x.isNotNull())), ","))
-_title("s_brand_hint", "coalesce(" + ", ".join(f"case when contains(lower(t), '{b.lower()}') then '{b}' end" for b in _BRANDS) + ")", text.brand_hint)
+_title("s_brand_hint", "coalesce(" + ", ".join(f"case when regexp_matches(t, $r${text.named(b)}$r$) then '{b}' end" for b in _BRANDS) + ")", text.brand_hint)
 _title("s_canonical_key", "coalesce(brand, 'Other') || '|' || sig || '|p' || pack", text.canonical_key)
+_title("s_canonical_key_hint", f"coalesce(case when {_PROPER} then case when len(f) = 0 then case when id % 3 = 0 then 'Echo' end else brand end end, 'Other') || '|' || sig || '|p' || pack", lambda t: text.canonical_key(t, hint=F.expr(_HINT)))
 _title("s_key_parts", "coalesce(brand, 'Other') || '/' || sig", lambda t: F.concat_ws("/", F.split_part(text.canonical_key(t), F.lit("|"), F.lit(1)), F.split_part(text.canonical_key(t), F.lit("|"), F.lit(2))))
 _title("s_knockoff", "regexp_matches(lower(t), '\\b(replica|compatible|look-alike)\\b')", lambda t: F.lower(t).rlike(text.RulePack().knockoffs))
 for _name, _words in (("s_accessory", text.RulePack().accessories), ("s_context", text.RulePack().vehicles)):
     _title(_name, f"regexp_matches(lower(t), $r${_words}$r$)", lambda t, w=_words: F.lower(t).rlike(w))
-_title("s_scales", f"array_to_string(regexp_extract_all(t, $r${text.SCALE}$r$, 1), ',')", lambda t: F.array_join(F.transform(text.scales(t), lambda n: n.cast("string")), ","))
+# what titles say of their scale: none, the usual one in two ways of writing it, another one, or several
+_SAID = ("", " 1 / 64", " 1  :  64", " 1:8", ", 1:24 beside 1:64", " 1:43")
+_SCALED = f"{TITLES}, scaled as (select id, t || {list(_SAID)!r}[(id // 4 % 6 + 1)::int] as t from titles)"
+SCALED = BRANDED.replace(TITLES, _SCALED, 1).replace("as f from titles)", "as f from scaled)", 1)
+_said = lambda s, d: titles(s, d).select("id", F.concat("t", F.element_at(F.array(*[F.lit(x) for x in _SAID]), (F.floor(F.col("id") / 4) % 6 + 1).cast("int"))).alias("t"))
+_scale = lambda name, sql, col: query(name, f"select id, {sql} as v from b", SCALED)(lambda s, d: _said(s, d).select("id", col(F.col("t")).alias("v")))
+_scale("s_scales", f"array_to_string(regexp_extract_all(t, $r${text.SCALE}$r$, 1), ',')", lambda t: F.array_join(F.transform(text.scales(t), lambda n: n.cast("string")), ","))
 _FITS = f"(brand is not null and (len(list_filter(regexp_extract_all(t, $r${text.SCALE}$r$, 1), lambda x: x::int between 55 and 68)) > 0 or (len(regexp_extract_all(t, $r${text.SCALE}$r$, 1)) = 0 and brand in ('Alpha', 'Bravo'))))"
-_title("s_target", _FITS, text.wanted)
-_title("s_wanted", f"({_FITS} and not (not {_SET} and not regexp_matches(lower(t), '\\b(gear|bolt|widget)\\b')))", lambda t: text.wanted(t, fantasy=False))
-_title("f_wanted", f"({_FITS} and not (not {_SET} and not regexp_matches(lower(t), '\\b(gear|bolt|widget)\\b')))", lambda t: text.wanted(t, fantasy=False))
+_REAL = f"not (not {_SET} and not regexp_matches(lower(t), '\\b(gear|bolt|widget)\\b'))"
+_scale("s_target", _FITS, text.wanted)
+for _name in ("s_wanted", "f_wanted"):
+    _scale(_name, f"({_FITS} and {_REAL})", lambda t: text.wanted(t, fantasy=False))
 query("o_titles_len", "select id, row_number() over (order by length(t) desc, t, id) as n from titles", TITLES)(
     lambda s, d: state.positions(titles(s, d), [-F.length("t"), F.col("t"), F.col("id")]).select("id", "n")
 )
@@ -441,8 +453,12 @@ _doc("s_html_escape", "md5(replace(replace(replace(text, '&', '&amp;'), '<', '&l
 _doc("s_markdown", "md5(replace(replace(replace('<b>' || text || '</b>', '<b>', '**'), '</b>', '**'), '&amp;', '&'))", lambda t: F.md5(text.markdown(F.concat(F.lit("<b>"), t, F.lit("</b>")))))
 _doc("s_header_safe", "regexp_replace(replace(replace(text[1:1400], chr(13), ''), chr(10), '\\n'), '[^\\x{00}-\\x{FF}]', '?', 'g')", text.header_safe)
 _doc("oos_phrase", "regexp_matches(lower(text), 'currently unavailable|temporarily out of stock|out of stock|sold out|notify me when available|coming soon|unavailable')", text.sold_out)
-_doc("html_count_suffix", r"""round(try_cast(replace(regexp_extract('(' || (doc_id % 50) / 10 || 'K)', '([0-9][0-9,]*(?:\.[0-9]+)?)', 1), ',', '') as double) * 1000)::bigint""", lambda t: text.short_count(F.concat(F.lit("("), ((F.col("doc_id") % 50) / 10).cast("string"), F.lit("K)"))))
-_doc("html_rating", "((doc_id % 50) / 10)::double", lambda t: text.stars(F.concat(((F.col("doc_id") % 50) / 10).cast("string"), F.lit(" out of 5 stars"))))
+_MARKUP_OF = "concat('<i class=\"stars\"><span>', cast(p_size % 50 / 10 as string), ' out of 5 stars</span></i><a aria-label=\"ratings\">(', cast(p_partkey % 500 / 10 as string), case p_partkey % 3 when 0 then 'K' when 1 then ' M' else '' end, ')</a>')"
+_marked = lambda s, d: views.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.expr(_MARKUP_OF).alias("html"))
+query("html_rating", "select p_partkey as id, ((p_size % 50) / 10)::double as v from part", "")(lambda s, d: _marked(s, d).select("id", text.stars(F.col("html")).alias("v")))
+query("html_count_suffix", "select p_partkey as id, round((p_partkey % 500) / 10 * case p_partkey % 3 when 0 then 1000 when 1 then 1000000 else 1 end)::bigint as v from part", "")(
+    lambda s, d: _marked(s, d).select("id", text.short_count(F.regexp_extract("html", r"aria-label=.ratings.>([^<]*)<", 1)).alias("v"))
+)
 QUERIES["s_clean_text"] = lambda s, d: views.table(s, d, "documents").select("doc_id", text.clean(F.col("text")).alias("v"))
 query("s_money", "select event_id, case when value is null then 'no price' else 'Rs ' || format('{:,}', round_even(value, 0)::bigint) end as v from events", "")(lambda s, d: views.table(s, d, "events").select("event_id", text.money(F.col("value")).alias("v")))
 
@@ -456,8 +472,9 @@ def s_cmd_parse(s, d):
     return c.select("conv_id", "turn", name.alias("name"), args.alias("args"))
 
 
-query("s_src_list", f"with {RULES_SQL} select rule_id, array_to_string(list_filter(list_transform(string_split(coalesce(sources, ''), ','), lambda x: trim(x)), lambda x: x <> ''), '|') as v from rules", "")(
-    lambda s, d: rules(s).select("rule_id", F.array_join(alerts.source_list(F.coalesce("sources", F.lit(""))), "|").alias("v"))
+query("s_src_list", r"""select conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, ','), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), '|') as v
+  from conversations where text is not null""", "")(
+    lambda s, d: views.table(s, d, "conversations").filter("text is not null").select("conv_id", "turn", F.array_join(alerts.source_list(F.col("text")), "|").alias("v"))
 )
 query("s_url_build", "select id, 'https://shop.example/p/' || url_encode(title) || '/' || id as v from products")(
     lambda s, d: views.products(s, d).select("id", F.concat(F.lit("https://shop.example/p/"), F.replace(F.url_encode("title"), F.lit("+"), F.lit("%20")), F.lit("/"), F.col("id").cast("string")).alias("v"))
@@ -539,13 +556,22 @@ def st_migrate(s, d):
     return state.migrate(old, {"title": ("string", ""), "hint": ("string", None), "pieces": ("int", 1), "rating": ("double", 0.0)})
 
 
-@query("st_isolation", """with b as (select user_id, case when event_id % 7 = 0 then substring(props, 2) else props end as body from events)
-  select user_id as source, count(*) filter (json_valid(body)) as stored, count(*) filter (not json_valid(body)) as failed, min(body) filter (not json_valid(body)) as error,
-  case when count(*) filter (not json_valid(body)) > 0 then 'failed' else 'ok' end as status from b group by 1""", "")
-def st_isolation(s, d):
-    body = F.when(F.col("event_id") % 7 == 0, F.substring("props", F.lit(2), F.length("props"))).otherwise(F.col("props"))
-    batches = views.table(s, d, "events").select(F.col("user_id").alias("source"), body.alias("body"))
-    return payloads.isolated(batches, "source", "body", "k int")[1]
+_BATCHES = "with b as (select user_id, event_id, case when event_id % 7 = 0 and user_id % 3 = 0 then substring(props, 2) else props end as body from events)"
+
+
+def _batches(s, d):
+    """Landed batches of each source, some of which can't be read."""
+    body = F.when((F.col("event_id") % 7 == 0) & (F.col("user_id") % 3 == 0), F.substring("props", F.lit(2), F.length("props"))).otherwise(F.col("props"))
+    return views.table(s, d, "events").select(F.col("user_id").alias("source"), "event_id", body.alias("body"))
+
+
+query("st_isolation", """select user_id as source, case when count(*) filter (not json_valid(body)) > 0 then 0 else count(*) end as stored, count(*) filter (not json_valid(body)) as failed,
+  min(body) filter (not json_valid(body)) as error, case when count(*) filter (not json_valid(body)) > 0 then 'failed' else 'ok' end as status from b group by 1""", _BATCHES)(
+    lambda s, d: payloads.isolated(_batches(s, d), "source", "body", "k int")[1]
+)
+query("st_isolation_rows", "select user_id as source, event_id, (body->>'$.k')::int as k from b where user_id not in (select user_id from b where not json_valid(body))", _BATCHES)(
+    lambda s, d: payloads.isolated(_batches(s, d), "source", "body", "k int")[0].select("source", "event_id", F.col("row.k").alias("k"))
+)
 
 
 def stream_change(s, d):

@@ -69,6 +69,6 @@ def seen_before(spark: SparkSession, sf_dir: str, until: str = "2000-01-01") ->
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Current offers with the columns of their products."""
+    """Current offers with the columns of their products, and the title as the seller writes it."""
     p = products(spark, sf_dir).withColumnRenamed("id", "product_id")
-    return listings(spark, sf_dir).join(p, "product_id")
+    return listings(spark, sf_dir).join(p, "product_id").withColumn("raw_title", F.concat_ws(" by ", "title", "source"))

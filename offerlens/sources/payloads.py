@@ -73,14 +73,19 @@ def as_stock(v: Column, words=NOT_IN_STOCK) -> Column:
 
 
 def isolated(batches: DataFrame, source: str, body: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, runs): the parsed bodies of those batches that can be read, and by source how many could and could not, with the first bad one.
+    """(rows, runs): the parsed bodies of sources all of whose batches can be read, and by source how many rows are stored and how many
+    batches could not be read, with the first bad one.
 
-    A batch that cannot be read fails its source's run, and no other source's."""
+    A batch that cannot be read fails its source's run: nothing of that source is stored. Other sources, and rows of a null source, are
+    judged on their own."""
     parsed = batches.withColumn("_row", F.from_json(body, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
     bad = F.col("_row").isNull() | F.col("_row._bad").isNotNull()
-    rows = parsed.filter(~bad).select(*batches.columns, F.col("_row").dropFields("_bad").alias("row"))
-    runs = parsed.groupBy(source).agg(F.count(F.when(~bad, 1)).alias("stored"), F.count(F.when(bad, 1)).alias("failed"), F.min(F.when(bad, F.coalesce(body, F.lit("")))).alias("error"))
-    return rows, runs.withColumn("status", F.when(F.col("failed") > 0, "failed").otherwise("ok"))
+    runs = parsed.groupBy(source).agg(F.count(F.lit(1)).alias("_all"), F.count(F.when(bad, 1)).alias("failed"), F.min(F.when(bad, F.coalesce(body, F.lit("")))).alias("error"))
+    ok = F.col("failed") == 0
+    runs = runs.select(source, F.when(ok, F.col("_all")).otherwise(0).alias("stored"), "failed", "error", F.when(ok, "ok").otherwise("failed").alias("status"))
+    failed = runs.filter(~ok).select(F.col(source).alias("_failed"))
+    rows = parsed.join(failed, F.col(source).eqNullSafe(F.col("_failed")), "left_anti")
+    return rows.select(*batches.columns, F.col("_row").dropFields("_bad").alias("row")), runs
 
 
 def near_batches(rows: DataFrame, key: str, lat: float, lon: float, box: float = 0.5) -> DataFrame:
@@ -108,9 +113,8 @@ class WalkJson:
                 todo.extend(reversed([(f"{path}.{k}", depth + 1, v) for k, v in inner]))
 
 
-# How links to products look, and what stands on cards that can't be bought.
+# Fixed value: how links to products look.
 ITEM_LINK = r"(?i)/p/(itm[0-9a-z]+)"
-SOLD_OUT = ("currently unavailable", "temporarily out of stock", "out of stock", "sold out", "notify me when available", "coming soon", "unavailable")
 #: Elements that a start tag ends, if they are the innermost open ones.
 _ENDS = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th")}
 
@@ -198,7 +202,7 @@ class ScanAnchors:
             found = re.search(fits, href.split("?")[0])
             if found is None:
                 continue
-            parts = [t.strip() for t in p.within(p.card(node, SOLD_OUT, known))]
+            parts = [t.strip() for t in p.within(p.card(node, text.SOLD_OUT, known))]
             yield Row(p.title.strip(), position, href, " ".join("".join(p.within(node)).split()), found[1] if found.re.groups else None, [t for t in parts if t])
             position += 1
 
@@ -210,7 +214,7 @@ def anchored_offers(pages: DataFrame, fits: str = ITEM_LINK) -> DataFrame:
     blob, paid = F.array_join("parts", " "), cards.amounts(F.col("parts"))
     return found.select(
         *rest, "title", "position", "href", "label", "sku", F.get("parts", F.lit(0)).alias("item"), F.get(paid, F.lit(0)).alias("price"),
-        cards.list_price(paid).alias("mrp"), (~text.sold_out(blob, SOLD_OUT)).cast("int").alias("in_stock"),
+        cards.list_price(paid).alias("mrp"), (~text.sold_out(blob)).cast("int").alias("in_stock"),
     )
 
 

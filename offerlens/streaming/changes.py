@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,15 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.state import EPSILON
+from ..tables import shared
 
 
 def state_folder(spark: SparkSession) -> str:
-    """A fresh folder for a stream's checkpoint and output, below spark.checkpoint.dir. Where that is unset: a temporary one in local mode, an error on a cluster."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
-    if not root and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-        raise ValueError("spark.checkpoint.dir is not set; on a cluster it names the folder that all executors share")
-    return f"{root or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
+    """A fresh folder for a stream's checkpoint and output, below the shared one."""
+    return shared.folder(spark, "stream")
 
 
 CHANGED = "key long, ts timestamp, seq long, price double"
