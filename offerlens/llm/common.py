@@ -85,8 +85,8 @@ def text_shards(docs: DataFrame, text: str = "text") -> int:
 
 
 def by_shard(df: DataFrame, shards: int):
-    """df grouped by its column shard, in as many partitions as there are shards."""
-    return df.repartition(shards, "shard").groupBy("shard")
+    """df grouped by its column shard, 0 to shards - 1, one shard a task: a hash of the numbers would put several into one."""
+    return df.repartitionById(shards, F.col("shard")).groupBy("shard")
 
 
 def id_text(doc_id: str = "doc_id"):

@@ -681,3 +681,12 @@ def test_empty_tables(empty, spark):
     assert additive_ann.search(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.lit(True)).count() == 0
     assert language.identify(empty, language.Mixture(*language.train(empty))).count() == 0
     assert exact_dedup.exact_groups(empty, F.col("text")).count() == 0
+
+
+def test_one_shard_a_task(spark):
+    rows = spark.range(5000).withColumn("shard", (F.col("id") % 1024).cast("int")).repartition(3)
+    spread = rows.repartitionById(1024, F.col("shard"))
+    tasks = spread.select("shard", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(tasks) == 1024 and all(r.shard == r.task for r in tasks)
+    grouped = common.by_shard(rows, 1024).applyInArrow(lambda t: t.slice(0, 1).select(["shard"]), "shard int")
+    assert sorted(r.shard for r in grouped.collect()) == list(range(1024))
