@@ -49,10 +49,10 @@ def test_stages_tell_rows_of_one_id_apart(spark):
     exact = corpus_pipeline.drop_exact(spark, docs, SF)
     left = lambda df: sorted(((r["doc_id"] or 0, r["text"] or "") for r in df.collect()))
     assert exact.columns == docs.columns
-    assert left(exact) == sorted([(0, long[1]), (9, long[0]), (5, long[2]), (8, long[3]), (4, long[2] + " more"), (4, long[1] + " tail"), (7, ""), (7, "")])
+    assert left(exact) == sorted([(0, long[1]), (9, long[0]), (5, long[2]), (8, long[3]), (4, long[2] + " more"), (4, long[1] + " tail"), (7, "")])
     near = corpus_pipeline.drop_near(spark, exact, SF)
     assert near.columns == docs.columns
-    assert left(near) == sorted([(9, long[0]), (8, long[3]), (4, long[2] + " more"), (4, long[1] + " tail"), (7, ""), (7, "")])
+    assert left(near) == sorted([(9, long[0]), (8, long[3]), (4, long[2] + " more"), (4, long[1] + " tail"), (7, "")])
     mixed = corpus_pipeline.mix_sources(spark, docs, SF)
     assert mixed.columns == docs.columns
     want = {}
@@ -63,3 +63,30 @@ def test_stages_tell_rows_of_one_id_apart(spark):
         got[r["doc_id"], r["size"]] = got.get((r["doc_id"], r["size"]), 0) + 1
     assert got == {k: v for k, v in want.items() if v}
     assert exact_dedup.exact_groups(docs, F.col("text")).count() == len(rows)
+
+
+def test_rows_that_repeat_id_and_text_stay_once(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, text)] * 3 + [(2, text + " end")] + [(None, "alone")] * 2 + [(3, None)] * 2 + [(4, "other words")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("digest", F.lit("d")).withColumn("after", F.lit(9)).repartition(4)
+    left = lambda df: sorted(((r["doc_id"] or 0, r["text"] or "") for r in df.collect()))
+    assert left(corpus_pipeline.drop_exact(spark, docs, SF)) == sorted([(1, text), (2, text + " end"), (0, "alone"), (3, ""), (4, "other words")])
+    assert left(corpus_pipeline.drop_near(spark, docs, SF)) == sorted([(1, text), (0, "alone"), (3, ""), (4, "other words")])
+
+
+def test_language_stage_states_what_it_finds(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.withColumn("stated", F.col("lang")).withColumn("lang", F.when(F.col("doc_id") % 4 > 0, F.col("lang")))
+    kept = corpus_pipeline.identify_language(spark, some, SF)
+    assert kept.columns == some.columns and kept.filter("lang is null").count() == 0
+    found = kept.filter("doc_id % 4 = 0 and stated is not null").select((F.col("lang") == F.col("stated")).cast("int").alias("same")).agg(F.avg("same")).first()[0]
+    assert found > 0.95
+    assert corpus_pipeline.identify_language(spark, some, SF, least=2.0).count() == 0
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
