@@ -540,7 +540,6 @@ query("scan_woo", "select 'store' as source, p_partkey::varchar as source_sku, p
 QUERIES["json_walk"] = lambda s, d: views.table(s, d, "events").select("event_id", "props").lateralJoin(payloads.WalkJson(F.col("props").outer()))
 QUERIES["scan_html_anchor"] = lambda s, d: payloads.anchored_offers(views.table(s, d, "pages").select("page_id", "html"), "")  # its pages have no product links; all count
 QUERIES["j_fuzzy"] = lambda s, d: resolve.clusters(titles(s, d).withColumnRenamed("t", "raw_title")).select("id", "brand", "pack_size", "sig", "leader", "canonical_key")
-QUERIES["st_regroup"] = lambda s, d: QUERIES["j_fuzzy"](s, d).groupBy("canonical_key", "brand", "pack_size").agg(F.count(F.lit(1)).alias("offers"), F.min("id").alias("first_id"))
 
 
 @query("o_clamp", "select event_id, greatest(1, least(coalesce(value::int, 200), 200)) as lim, greatest(0, coalesce(user_id - 50, 0)) as off from events", "")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import messages, text
-from ..operators import alerts, resolve
+from ..operators import alerts
 from ..sources import cards, payloads
 from ..streaming import changes
 from . import queries as q
@@ -150,16 +150,6 @@ query("st_offset", "select event_id as update_id, event_id as cursor from events
 )
 
 
-def st_group(s, d):
-    """Titles of even parts, against the products that those of odd parts had become."""
-    t = q.titles(s, d).withColumnRenamed("t", "raw_title")
-    known = resolve.clusters(t.filter("id % 2 = 1")).select("brand", "pack_size", "numbers", "leader")
-    return resolve.clusters(t.filter("id % 2 = 0"), known=known).select("id", "brand", "pack_size", "sig", "leader", "canonical_key")
-
-
-QUERIES["st_group"] = st_group
-
-
 @query("stream_alerts", """select user_id as key, ts, event_id as seq, value as price, kind from (select *, case
     when n = 1 then case when can_buy then 'new' end when can_buy and not was_stocked then 'back'
     when can_buy and value <= 50 and (was is null or was > 50) then 'drop' end as kind

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from offerlens.plans import queries, source_queries  # noqa: F401
+from offerlens.plans import queries, source_queries, table_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
