@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources import landed
 from ..tables import offers as tables
 from ..tables import shared
 from ..tables.store import Store
@@ -144,3 +145,44 @@ def st_regroup_checks(s, d):
     out = out.crossJoin(one(linked.join(products, F.col("product_id") == F.col("id"), "left_anti"), "orphans")).crossJoin(one(products.join(linked, F.col("product_id") == F.col("id"), "left_anti"), "empty_products"))
     classes = products.agg(F.count(F.when((F.col("brand") == "Old") | (F.col("series") == "Old") | (F.col("realism") == "Old"), 1)).alias("old_classes"), F.count_distinct("brand").alias("brands"))
     return out.crossJoin(classes).withColumn("version", F.lit(store.version()).cast("long"))
+
+
+# ---------------------------------------------------------------- sources and streams
+
+#: Pages that one query answers with.
+PER_QUERY = 50
+
+
+def answers(s, d) -> str:
+    """Pages as the answers of queries, landed; every fifth query's answer breaks off within its last line."""
+    p = views.table(s, d, "pages").select(
+        F.floor(F.col("page_id") / PER_QUERY).cast("int").alias("query"), F.col("page_id").alias("position"), F.col("page_id").cast("string").alias("sku"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), "url",
+        F.when(F.col("page_id") % 3 > 0, (F.col("page_id") % 100).cast("double")).alias("price"),
+    )
+    whole = F.to_json(F.struct("sku", "title", "url", "price"))
+    broken = (F.col("query") % 5 == 3) & (F.col("position") % PER_QUERY == 0)
+    line = F.when(broken, F.substring(whole, F.lit(1), F.length(whole) - 3)).otherwise(whole)
+    return landed.land_answers(p.select("query", "position", line.alias("line")), shared.folder(s, "answers"))
+
+
+query("src_contract", f"""with p as (select (page_id // {PER_QUERY})::int as query, page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, case when page_id % 3 > 0 then (page_id % 100)::double end as price,
+    row_number() over (partition by page_id // {PER_QUERY} order by page_id) - 1 as position from pages)
+  select query, position, page_id::varchar as sku, title, url, price, false as failed from p where query % 5 <> 3 and (price is null or (price > 0 and price <= 60))
+  union all select distinct query, null, null, null, null, null, true from p where query % 5 = 3""", "")(
+    lambda s, d: landed.registered(s).read.format("landed").option("path", answers(s, d)).option("ceiling", "60").load().withColumn("failed", F.col("error").isNotNull()).drop("error")
+)
+
+
+def stream_offset(s, d):
+    """All events after a cursor, in polls of at most 20,000, into a table; the stream is stopped after its first polls and started again."""
+    e = views.table(s, d, "events").select(F.col("event_id").alias("update_id"), F.col("user_id").alias("chat"), "event_type")
+    path, out = landed.land_updates(e, shared.folder(s, "updates")), shared.folder(s, "stream")
+    for _ in range(2):
+        stream = landed.registered(s).readStream.format("updates").option("path", path).option("start", "100").option("most", "20000").load()
+        told = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").option("path", out).start()
+        told.processAllAvailable()
+        told.stop()
+    return s.read.schema(e.schema).parquet(out)
+
+
+query("stream_offset", "select event_id as update_id, user_id as chat, event_type from events where event_id > 100", "")(stream_offset)
