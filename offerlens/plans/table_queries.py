@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..sources import landed
+from ..streaming import changes, held
 from ..tables import offers as tables
 from ..tables import shared
 from ..tables.store import Store
@@ -186,3 +187,38 @@ def stream_offset(s, d):
 
 
 query("stream_offset", "select event_id as update_id, user_id as chat, event_type from events where event_id > 100", "")(stream_offset)
+
+
+#: How far rows may be behind the newest one that arrived.
+DELAY_HOURS = 48
+
+
+#: Events of one file of arrivals, about.
+PER_FILE = 1_000_000
+
+
+def arrivals(s, d) -> str:
+    """Events in files of the order in which they arrive, each up to DELAY_HOURS late; and one row that ends all waiting."""
+    e = views.table(s, d, "events").select(
+        F.col("user_id").cast("long").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("seq"), F.col("value").cast("double").alias("price"), (F.col("event_type") != "error").cast("int").alias("in_stock")
+    )
+    late = F.unix_timestamp("ts") + F.pmod(F.xxhash64("seq"), F.lit(DELAY_HOURS * 3600 - 1))
+    lo, hi, n = e.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts")), F.count(F.lit(1))).first()
+    files = max(4, n // PER_FILE)
+    width = ((hi or 0) - (lo or 0) + DELAY_HOURS * 3600) // files + 1
+    folder = shared.folder(s, "arrivals")
+    for k in range(files):
+        e.filter(F.floor((late - F.lit(lo or 0)) / width) == k).coalesce(1).write.parquet(f"{folder}/{k}")
+    end = e.limit(0).unionByName(s.range(1).select(F.lit(-1).cast("long").alias("key"), F.timestamp_seconds(F.lit((hi or 0) + 10**7)).alias("ts"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("double").alias("price"), F.lit(0).alias("in_stock")))
+    end.coalesce(1).write.parquet(f"{folder}/{files}")
+    return folder
+
+
+def _held(s, d, operator, gives: str):
+    folder = arrivals(s, d)
+    schema = s.read.parquet(f"{folder}/0").schema
+    return held.run_available(s, f"{folder}/*", schema, lambda x: x, shared.folder(s, "held"), operator, gives)[0]
+
+
+query("stream_change_held", q.ORACLES["stream_change"], "")(lambda s, d: _held(s, d, lambda x: held.price_changes(x.drop("in_stock"), f"{DELAY_HOURS} hours"), changes.CHANGED))
+query("stream_alerts_held", q.ORACLES["stream_alerts"], "")(lambda s, d: _held(s, d, lambda x: held.transitions(x, f"{DELAY_HOURS} hours", target=50.0), changes.TOLD))
