@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import messages, text
 from ..sources import landed
-from ..streaming import changes, held
+from ..streaming import changes, held, outbox
 from ..tables import offers as tables
 from ..tables import shared
 from ..tables.store import Store
@@ -222,3 +222,22 @@ def _held(s, d, operator, gives: str):
 
 query("stream_change_held", q.ORACLES["stream_change"], "")(lambda s, d: _held(s, d, lambda x: held.price_changes(x.drop("in_stock"), f"{DELAY_HOURS} hours"), changes.CHANGED))
 query("stream_alerts_held", q.ORACLES["stream_alerts"], "")(lambda s, d: _held(s, d, lambda x: held.transitions(x, f"{DELAY_HOURS} hours", target=50.0), changes.TOLD))
+
+
+@query("sink_notify", q._MATCH + " select rule_id::varchar as channel, count(*)::bigint as alerts, 'sent' as state, true as delivered_once from ev where kind is not null group by 1")
+def sink_notify(s, d):
+    """What the rules tell, a channel a rule, through the outbox: queued twice, delivered twice, and read back from where it was delivered."""
+    c = F.col
+    link = F.concat(F.lit("https://shop.example/"), c("product_id").cast("string"))
+    rows = q.evaluated(s, d).filter("kind is not null").select(
+        c("rule_id").cast("string").alias("channel"), "product_id", "source", messages.alert_line(c("title"), c("price"), c("source"), c("kind"), c("was_price"), c("target"), link).alias("line"),
+        messages.caption(c("title"), c("price"), c("source"), c("kind"), c("was_price"), link).alias("caption"), F.when(c("product_id") % 3 > 0, F.concat(F.lit("i/"), c("product_id").cast("string"))).alias("url"),
+    )
+    store, folder = _store(s, "outbox"), shared.folder(s, "delivered")
+    made = shared.stored(outbox.composed(rows, [c("product_id"), c("source")]))
+    for _ in range(2):
+        outbox.queue(store, made, "rules", 0)
+        outbox.deliver(store, outbox.to_folder(folder))
+    queued = store.read("outbox").groupBy("channel").agg(F.sum("alerts").alias("alerts"), F.max("state").alias("state"), F.count(F.lit(1)).alias("queued"), F.max("attempts").alias("attempts"))
+    out = s.read.schema("channel string, shape string, body string").json(folder).groupBy("channel").agg(F.count(F.lit(1)).alias("arrived"))
+    return queued.join(out, "channel", "left").select("channel", "alerts", "state", ((c("queued") == c("arrived")) & (c("attempts") == 1)).alias("delivered_once"))
