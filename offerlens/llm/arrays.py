@@ -11,6 +11,7 @@ import uuid
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 
 
 def _local(folder: str) -> str | None:
@@ -57,6 +58,12 @@ def shards(folder: str, count: int, *columns: str) -> "Shards":
     return _open[folder]
 
 
+def release() -> None:
+    """Lets go of all arrays that this worker has opened, and of what Arrow holds unused: for a task that needs none of an earlier operator's."""
+    _open.clear()
+    pa.default_memory_pool().release_unused()
+
+
 class Shards:
     """Read side: columns[0] holds sorted distinct keys; the others go with it.
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import arrays, common
 
 LENGTH = 4096
 END = 1
@@ -195,6 +195,7 @@ def _tokenizer(path: str) -> WordTokenizer:
 
 def _pieces(path: str, length: int, end: int):
     def cut(batches):
+        arrays.release()
         t = _tokenizer(path)
         for batch in batches:
             docs, texts = batch.column("doc_id"), common.text_column(batch)
