@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import shared
 from .alerts import bounded
 from .catalog import MIXED, OTHER, PACK_BANDS, PRICE_BANDS, buyable
 
@@ -104,22 +107,56 @@ def watch_best(rules: DataFrame, offers: DataFrame, keep: int = 5) -> DataFrame:
 CLASS = ("brand", "series", "pack_size")
 
 
-def low_rank(values: Column, q: float) -> Column:
-    """Of a sorted array, the element at rank floor(n * q), counted from 0, the last one at most."""
-    n = F.size(values)
-    return F.element_at(values, (F.least(F.floor(n * F.lit(q)), n - 1) + 1).cast("int"))
+#: Most rows of a table that is sent to all tasks; and prices of one bucket of a class that are sorted in one place.
+SENT, FEW = 100_000, 4096
+#: Buckets of a price histogram for each doubling of the price, and of one that is refined.
+PER_DOUBLING, FINER = 64, 1024
 
 
-def class_prices(offers: DataFrame, q: float = 0.1) -> DataFrame:
-    """(brand, series, pack_size, n, low): offers that can be bought, and the price at the low rank.
+def sent(table: DataFrame) -> DataFrame:
+    """table, to be broadcast if it has SENT rows at most; else it is joined by a shuffle."""
+    return F.broadcast(table) if table.limit(SENT + 1).count() <= SENT else table
+
+
+def _same_class(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with table(CLASS, ...) on their class. Only a series may be null here."""
+    other = table.select(*[F.col(c).alias(f"_{c}") for c in CLASS], *[c for c in table.columns if c not in CLASS])
+    same = [rows["brand"] == other["_brand"], rows["series"].eqNullSafe(other["_series"]), rows["pack_size"].eqNullSafe(other["_pack_size"])]
+    return rows.join(sent(other), same, how).drop(*[f"_{c}" for c in CLASS])
+
 
-    Ranks come from counts of distinct prices, so no class is gathered in one place."""
-    rows = offers.filter(buyable() & (F.col("price") > 0) & F.col("brand").isNotNull())
-    prices = rows.groupBy(*CLASS, "price").agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy(*CLASS)
-    ranked = prices.withColumn("n", F.sum("k").over(w)).withColumn("upto", F.sum("k").over(w.orderBy("price")))
-    rank = F.least(F.floor(F.col("n") * F.lit(q)), F.col("n") - 1)
-    return ranked.groupBy(*CLASS).agg(F.max("n").alias("n"), F.min(F.when(F.col("upto") > rank, F.col("price"))).alias("low"))
+def _boundary(counted: DataFrame) -> DataFrame:
+    """(CLASS, n, rank, lo, hi, k) of counted(CLASS, n, rank, bucket, k, lo, hi): the bucket of each class in which its rank lies, and the rank within it.
+
+    A class has as many buckets as a histogram at most, so they are gone through in its row."""
+    each = counted.groupBy(*CLASS).agg(F.max("n").alias("n"), F.max("rank").alias("rank"), F.array_sort(F.collect_list(F.struct("bucket", "k", "lo", "hi"))).alias("buckets"))
+    start = F.struct(F.col("rank").alias("left"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(None).cast("long").alias("k"))
+    step = lambda s, b: F.when(s["lo"].isNotNull(), s).when(s["left"] < b["k"], F.struct(s["left"].alias("left"), b["lo"].alias("lo"), b["hi"].alias("hi"), b["k"].alias("k"))).otherwise(F.struct((s["left"] - b["k"]).alias("left"), s["lo"].alias("lo"), s["hi"].alias("hi"), s["k"].alias("k")))
+    return each.withColumn("at", F.aggregate("buckets", start, step)).select(*CLASS, "n", F.col("at.left").alias("rank"), "at.lo", "at.hi", "at.k")
+
+
+def class_prices(offers: DataFrame, q: float = 0.1) -> DataFrame:
+    """(brand, series, pack_size, n, low): offers that can be bought, and the price at rank floor(n * q) from 0, the last one at most.
+
+    Prices are counted by class and bucket, which tasks do before rows meet; only those of the bucket in which a class's rank lies are
+    read again, and sorted if they are few, or counted by finer buckets. So no task holds a class, whatever its share of all offers."""
+    rows = shared.stored(offers.filter(buyable() & (F.col("price") > 0) & F.col("brand").isNotNull()).select(*CLASS, "price"))
+    hist = rows.groupBy(*CLASS, F.floor(F.log2("price") * PER_DOUBLING).alias("bucket")).agg(F.count(F.lit(1)).alias("k"), F.min("price").alias("lo"), F.max("price").alias("hi"))
+    sizes = hist.groupBy(*CLASS).agg(F.sum("k").alias("n"))
+    sizes = sizes.withColumn("rank", F.least(F.floor(F.col("n") * F.lit(q)), F.col("n") - 1))
+    state, done = shared.stored(_boundary(_same_class(hist, sizes))), []
+    while True:
+        done.append(state.filter("lo = hi").select(*CLASS, "n", F.col("lo").alias("low")))
+        open_ = state.filter("lo < hi")
+        inside = _same_class(rows, open_.withColumnRenamed("k", "_k")).filter(F.col("price").between(F.col("lo"), F.col("hi")))
+        few = inside.filter(F.col("_k") <= FEW).groupBy(*CLASS).agg(F.max("n").alias("n"), F.element_at(F.array_sort(F.collect_list("price")), (F.max("rank") + 1).cast("int")).alias("low"))
+        done.append(few)
+        if not open_.filter(F.col("k") > FEW).limit(1).count():
+            break
+        finer = F.least(F.lit(FINER - 1), F.floor((F.col("price") - F.col("lo")) * FINER / (F.col("hi") - F.col("lo"))))
+        many = inside.filter(F.col("_k") > FEW).groupBy(*CLASS, "n", "rank", finer.alias("bucket"))
+        state = shared.stored(_boundary(many.agg(F.count(F.lit(1)).alias("k"), F.min("price").alias("lo"), F.max("price").alias("hi"))))
+    return reduce(DataFrame.union, done)
 
 
 def with_declared(classes: DataFrame, declared: DataFrame) -> DataFrame:
@@ -138,9 +175,10 @@ def baselines(offers: DataFrame, declared: DataFrame, least: int = 8) -> DataFra
 
 
 def with_markup(offers: DataFrame, base: DataFrame) -> DataFrame:
-    b = base.select(*[F.col(c).alias(f"b_{c}") for c in CLASS], "base")
-    same = [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in CLASS]
-    joined = offers.join(b, same, "left").drop(*[f"b_{c}" for c in CLASS])
+    """offers with base and markup: how far a price is above its class's, 0 at least. Offers without a brand have no class and are not joined."""
+    base = base.select(*CLASS, "base")
+    kind = base.schema["base"].dataType
+    joined = _same_class(offers.filter("brand is not null"), base, "left").unionByName(offers.filter("brand is null").withColumn("base", F.lit(None).cast(kind)))
     return joined.withColumn("markup", F.when((F.col("price") > 0) & (F.col("base") > 0), F.greatest(F.lit(0.0), F.col("price") / F.col("base") - 1)))
 
 

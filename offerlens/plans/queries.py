@@ -10,6 +10,7 @@ from ..operators import alerts, metrics, resolve, state
 from ..operators.catalog import PRICE_BANDS, CatalogQuery, buyable, catalog, ceiling, clamped, filtered, page, with_offers
 from ..sources import payloads
 from ..streaming import changes
+from ..tables import shared
 from . import views
 
 QUERIES: dict = {}
@@ -256,8 +257,16 @@ query("j_mrp", _BASE + " select brand, series, pack_size, n, low, mrp from dec")
 query("a_baseline", _BASE + " select * from base")(lambda s, d: metrics.baselines(offers(s, d), declared(s)))
 _MARKUP = _BASE + """ select o.product_id, o.source, o.region, o.price, b.base, case when o.price > 0 and b.base > 0 then greatest(0, o.price / b.base - 1) end as markup
   from offers o left join base b on o.brand is not distinct from b.brand and o.series is not distinct from b.series and o.pack_size is not distinct from b.pack_size"""
+
+
+def _marked_up(s, d):
+    """Offers beside the baselines that come from them: they are written once, and read for both."""
+    o = shared.stored(offers(s, d).select("product_id", "source", "region", "price", "in_stock", *metrics.CLASS))
+    return metrics.with_markup(o, metrics.baselines(o, declared(s)))
+
+
 for _name in ("j_baseline", "s_markup"):
-    query(_name, _MARKUP)(lambda s, d: metrics.with_markup(offers(s, d), metrics.baselines(offers(s, d), declared(s))).select("product_id", "source", "region", "price", "base", "markup"))
+    query(_name, _MARKUP)(lambda s, d: _marked_up(s, d).select("product_id", "source", "region", "price", "base", "markup"))
 
 
 def send_log(s, d):
