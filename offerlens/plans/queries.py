@@ -546,7 +546,12 @@ def store_payloads(s, d):
 query("scan_woo", "select 'store' as source, p_partkey::varchar as source_sku, p_name as title, round(p_retailprice * 100)::bigint::double / 100 as price, (p_size > 10)::int as in_stock, p_brand as brand_hint from part", "")(
     lambda s, d: payloads.store_offers(store_payloads(s, d), "store").select("source", "source_sku", "title", "price", "in_stock", "brand_hint")
 )
-QUERIES["json_walk"] = lambda s, d: views.table(s, d, "events").select("event_id", "props").lateralJoin(payloads.WalkJson(F.col("props").outer()))
+_NESTED = "'{\"a\":[' || props || ',[{\"b\":' || props || ',\"e\":{}}]],\"c\":' || props || ',\"d\":null}'"
+query("json_walk", f"""with t as (select event_id, j.* from (select event_id, ({_NESTED})::json as body from events) e, json_tree(e.body) as j where j.type = 'OBJECT'),
+  p as (select event_id, regexp_replace(fullkey, '\\[([0-9]+)\\]', '.\\1', 'g') as path, value from t)
+  select event_id, path, (length(path) - length(replace(path, '.', '')))::int as depth, array_to_string(list_sort(json_keys(value)), ',') as keys from p""", "")(
+    lambda s, d: payloads.walked(views.table(s, d, "events").select("event_id", F.expr(_NESTED).alias("body")), "body").select("event_id", "path", "depth", F.array_join("keys", ",").alias("keys"))
+)
 QUERIES["scan_html_anchor"] = lambda s, d: payloads.anchored_offers(views.table(s, d, "pages").select("page_id", "html"), "")  # its pages have no product links; all count
 QUERIES["j_fuzzy"] = lambda s, d: resolve.clusters(titles(s, d).withColumnRenamed("t", "raw_title")).select("id", "brand", "pack_size", "sig", "leader", "canonical_key")
 

@@ -94,9 +94,34 @@ def near_batches(rows: DataFrame, key: str, lat: float, lon: float, box: float =
     return rows.groupBy(key).agg((F.coalesce(F.max(inside), F.lit(False)) | (F.count(F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), 1)) == 0)).alias("near"))
 
 
+#: How deep objects are looked for.
+DEPTH = 14
+
+
+def walked(rows: DataFrame, body: str, deepest: int = DEPTH) -> DataFrame:
+    """The other columns of rows with (path, depth, keys, object) of every object in the JSON text of `body`, at any depth to `deepest`.
+
+    A recursive query over variants, in the JVM: each round opens what the round before found. keys are sorted; of a key that repeats
+    the last one counts; null and broken texts have no objects. Other columns of rows may not be named path, depth, keys, object or node."""
+    spark, rest = rows.sparkSession, [c for c in rows.columns if c != body]
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # whole tables are walked
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    own, before = ("".join(f"{of}`{c}`, " for c in rest) for of in ("", "walk."))
+    return spark.sql(
+        f"""with recursive walk as (
+              select {own}'$' as path, 0 as depth, try_parse_json(`{body}`) as node from {{rows}}
+              union all
+              select {before}concat(walk.path, '.', coalesce(e.key, cast(e.pos as string))), walk.depth + 1, e.value
+              from walk, lateral variant_explode(walk.node) as e where walk.depth < {int(deepest)})
+            select {own}path, depth, array_sort(json_object_keys(to_json(node))) as keys, to_json(node) as object
+            from walk where schema_of_variant(node) like 'OBJECT%'""",
+        rows=rows,
+    )
+
+
 @F.udtf(returnType=StructType().add("path", StringType()).add("depth", IntegerType()).add("keys", ArrayType(StringType())).add("body", StringType()))
 class WalkJson:
-    """Every object in a JSON text, at any depth to 14, outer ones first."""
+    """Every object in a JSON text, at any depth to DEPTH, outer ones first: `walked` in plain Python, which tests hold it against."""
 
     def eval(self, text: str):
         try:
@@ -108,7 +133,7 @@ class WalkJson:
             path, depth, node = todo.pop()
             if isinstance(node, dict):
                 yield Row(path=path, depth=depth, keys=list(node), body=json.dumps(node))
-            if depth < 14 and isinstance(node, (dict, list)):
+            if depth < DEPTH and isinstance(node, (dict, list)):
                 inner = node.items() if isinstance(node, dict) else enumerate(node)
                 todo.extend(reversed([(f"{path}.{k}", depth + 1, v) for k, v in inner]))
 
