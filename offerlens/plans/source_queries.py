@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import messages, text
+from ..functions import messages, names, text
 from ..operators import alerts
 from ..sources import cards, payloads
 from ..streaming import changes
@@ -143,6 +143,25 @@ def _link():
     return F.concat(F.lit("https://shop.example/"), F.col("product_id").cast("string"))
 
 
+# ---------------------------------------------------------------- names
+
+
+def s_brand_table(s, d):
+    """The seller that a part's title names, among all suppliers, each with two spellings; every fourth title names two."""
+    rows = views.table(s, d, "supplier").select("s_name", "s_suppkey").limit(names.MOST).orderBy("s_suppkey").collect()  # a larger table is refused
+    table = [names.Name(r["s_name"], (r["s_name"], r["s_name"].replace("#", " no "))) for r in rows]
+    n = views.table(s, d, "supplier").agg(F.count(F.lit(1)).alias("n"), F.min("s_suppkey").alias("lo"))
+    key = lambda k: F.lpad(((F.col("p_partkey") * k) % F.col("n") + F.col("lo")).cast("string"), 9, "0")
+    first = F.concat(F.when(F.col("p_partkey") % 2 == 0, "supplier  NO").otherwise("Supplier#"), key(1))
+    title = F.concat("p_name", F.lit(" "), first, F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit(" and Supplier#"), key(7))).otherwise(""))
+    titled = parts(s, d).join(F.broadcast(n)).select(F.col("p_partkey").alias("id"), title.alias("t"))  # one row
+    return titled.select("id", names.brand(F.col("t"), table, latest=200).alias("brand"), F.array_join(names.listed(F.col("t"), table), ",").alias("named"))
+
+
+query("s_brand_table", """with n as (select count(*) as n, min(s_suppkey) as lo from supplier), k as (select p_partkey, p_partkey % n + lo as a, case when p_partkey % 4 = 0 then (p_partkey * 7) % n + lo end as b from part, n)
+  select p_partkey as id, x.s_name as brand, case when y.s_suppkey is null or y.s_suppkey = x.s_suppkey then x.s_name when y.s_suppkey < x.s_suppkey then y.s_name || ',' || x.s_name else x.s_name || ',' || y.s_name end as named
+  from k join supplier x on x.s_suppkey = a left join supplier y on y.s_suppkey = b""", "")(s_brand_table)
+
 # ---------------------------------------------------------------- state
 
 query("st_offset", "select event_id as update_id, event_id as cursor from events where event_id > 100 order by 1 limit 40", "")(
