@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 from collections.abc import Sequence
@@ -138,18 +139,21 @@ class WalkJson:
                 todo.extend(reversed([(f"{path}.{k}", depth + 1, v) for k, v in inner]))
 
 
-# Fixed value: how links to products look.
+# How links to products, ratings and numbers of reviews look.
 ITEM_LINK = r"(?i)/p/(itm[0-9a-z]+)"
+RATING, REVIEWS = r"^[1-5](\.[0-9])?$", r"^\([0-9,]+\)$"
 #: Elements that a start tag ends, if they are the innermost open ones.
 _ENDS = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th")}
 
 
 class _Anchors(HTMLParser):
-    """The tree of a page: for each element its parent and the span of texts in it; and its links, closed or not."""
+    """The tree of a page: for each element its parent, its last descendant and the span of texts in it; its links, closed or not; and
+    what pictures and titled links say."""
 
     def __init__(self):
         super().__init__()
         self.title, self.texts, self.parent, self.span, self.open, self.links = "", [], [None], [[0, None]], [(0, "html")], []
+        self.ends, self.pictures, self.named, self.alts = [None], [], [], []
 
     def handle_starttag(self, tag, attrs):
         if tag == "html":
@@ -161,8 +165,16 @@ class _Anchors(HTMLParser):
         node = len(self.parent)
         self.parent.append(self.open[-1][0])
         self.span.append([len(self.texts), None])
+        self.ends.append(node)
+        said = dict(attrs)
         if tag == "a":
-            self.links.append((node, dict(attrs).get("href") or ""))
+            self.links.append((node, said.get("href") or ""))
+            if "title" in said:
+                self.named.append((node, said["title"] or ""))
+        if tag == "img":
+            self.pictures.append((node, [said.get(k) or "" for k in ("src", "data-src", "srcset")]))
+            if "alt" in said:
+                self.alts.append((node, said["alt"] or ""))
         if tag in cards.VOID:
             self.span[node][1] = len(self.texts)
         else:
@@ -178,7 +190,7 @@ class _Anchors(HTMLParser):
 
     def _close(self):
         node, tag = self.open.pop()
-        self.span[node][1] = len(self.texts)
+        self.span[node][1], self.ends[node] = len(self.texts), len(self.parent) - 1
         return tag
 
     def handle_data(self, data):
@@ -194,6 +206,11 @@ class _Anchors(HTMLParser):
     def within(self, node: int) -> list[str]:
         return self.texts[slice(*self.span[node])]
 
+    def inside(self, node: int, found: list[tuple]) -> list:
+        """What was found at elements within a node, in their order; elements are numbered as they begin."""
+        lo = bisect.bisect_left(found, node, key=lambda x: x[0])
+        return [x for _, x in found[lo : bisect.bisect_right(found, self.ends[node], key=lambda x: x[0])]]
+
     def card(self, link: int, phrases, known: dict[int, bool], most: int = 6) -> int:
         """The nearest of `most` elements around a link with a rupee sign or a sold-out phrase, else the outermost of them."""
         node = last = self.parent[link]
@@ -210,6 +227,7 @@ class _Anchors(HTMLParser):
 
 
 _LINK = StructType().add("title", StringType()).add("position", IntegerType()).add("href", StringType()).add("label", StringType()).add("sku", StringType()).add("parts", ArrayType(StringType()))
+_LINK = _LINK.add("images", ArrayType(StringType())).add("titles", ArrayType(StringType()))
 
 
 @F.udtf(returnType=_LINK)
@@ -227,19 +245,29 @@ class ScanAnchors:
             found = re.search(fits, href.split("?")[0])
             if found is None:
                 continue
-            parts = [t.strip() for t in p.within(p.card(node, text.SOLD_OUT, known))]
-            yield Row(p.title.strip(), position, href, " ".join("".join(p.within(node)).split()), found[1] if found.re.groups else None, [t for t in parts if t])
+            card = p.card(node, text.SOLD_OUT, known)
+            parts = [t.strip() for t in p.within(card)]
+            images = [x for picture in p.inside(card, p.pictures) for x in picture]
+            titles = [*p.inside(card, p.named)[:1], *p.inside(card, p.alts)[:1]]
+            yield Row(p.title.strip(), position, href, " ".join("".join(p.within(node)).split()), found[1] if found.re.groups else None, [t for t in parts if t], images, titles)
             position += 1
 
 
 def anchored_offers(pages: DataFrame, fits: str = ITEM_LINK) -> DataFrame:
-    """pages(html, ...): links that fit, with the offer that the card around each tells. A card without a price is kept."""
+    """pages(html, ...): links that fit, with the offer that the card around each tells. A card without a price is kept.
+
+    full_title is the card's first text, or where that is cut off by dots, the title of its first titled link or the alternative text of
+    its first picture. Rating and reviews stand among the five texts after the first."""
     rest = [c for c in pages.columns if c != "html"]
     found = pages.lateralJoin(ScanAnchors(F.col("html").outer(), F.lit(fits)))
     blob, paid = F.array_join("parts", " "), cards.amounts(F.col("parts"))
+    near = F.slice("parts", 2, 5)
+    first = lambda like: F.get(F.filter(near, lambda p: p.rlike(like)), F.lit(0))
+    rated, counted = first(RATING), first(REVIEWS)
     return found.select(
-        *rest, "title", "position", "href", "label", "sku", F.get("parts", F.lit(0)).alias("item"), F.get(paid, F.lit(0)).alias("price"),
-        cards.list_price(paid).alias("mrp"), (~text.sold_out(blob)).cast("int").alias("in_stock"),
+        *rest, "title", "position", "href", "label", "sku", F.get("parts", F.lit(0)).alias("item"), cards.full_title(F.get("parts", F.lit(0)), F.col("titles")).alias("full_title"), F.get(paid, F.lit(0)).alias("price"),
+        cards.list_price(paid).alias("mrp"), rated.cast("double").alias("rating"), F.regexp_replace(counted, "[(),]", "").try_cast("long").alias("reviews"), cards.first_image(F.col("images")).alias("image"),
+        (~text.sold_out(blob)).cast("int").alias("in_stock"),
     )
 
 

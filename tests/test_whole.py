@@ -76,3 +76,13 @@ def test_anchors_read_the_card_around_each_link(spark):
     ]
     assert rows[3]["item"] == "deep"
     assert payloads.anchored_offers(pages, "").count() == 7
+
+
+def test_anchored_cards_tell_everything(spark):
+    page = """<div class=c><a href="/x/p/itm1" title="A car in full, pack of 5"><img src="Placeholder.svg" data-src="//img/a.png 2x" alt="other"></a><div>A car in f...</div><span>4.3</span><span>(1,204)</span><b>\u20b9499</b></div>
+      <div class=c><a href="/p/itm2"><img alt="A blue car in full" srcset="http://i/b.png 1x"></a><p>A blue\u2026</p><p>7.5</p><p>5</p><p>\u20b920</p></div>
+      <div class=c><p>Plain car</p><a href="/p/itm3" title="x">y</a><p>a</p><p>b</p><p>c</p><p>d</p><p>4</p><p>(9)</p><p>\u20b920</p></div><img src="far.png">"""
+    rows = payloads.anchored_offers(spark.createDataFrame([(page,)], "html string")).orderBy("position").collect()
+    assert [(r["sku"], r["full_title"], r["price"], r["rating"], r["reviews"], r["image"]) for r in rows] == [
+        ("itm1", "A car in full, pack of 5", 499.0, 4.3, 1204, "https://img/a.png"), ("itm2", "A blue car in full", 20.0, 5.0, None, "http://i/b.png"), ("itm3", "Plain car", 20.0, None, None, None),
+    ]
