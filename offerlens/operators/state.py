@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import shared
+
 #: Prices closer than this are the same.
 EPSILON = 0.001
-#: About how many rows of an order one task numbers, the most slices, and how many keys are sampled for their bounds.
-SLICE, SLICES, SAMPLE = 50_000, 1024, 20_000
+#: About how many rows of an order one task numbers.
+SLICE = 50_000
 
 
 def latest(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -86,16 +88,17 @@ def runs(started: DataFrame) -> DataFrame:
 def positions(rows: DataFrame, order: Sequence[Column], name: str = "n", slice_rows: int = SLICE) -> DataFrame:
     """rows with their position from 1 in an ascending order of all rows.
 
-    Sampled keys cut the order into slices; each is numbered on its own, then moved by the number of rows before it."""
-    keyed = rows.withColumn("_key", F.struct(*order))
-    total = rows.count()
-    slices = max(1, min(SLICES, -(-total // slice_rows)))
-    some = keyed.filter(F.pmod(F.xxhash64("_key"), F.lit(max(1, total // SAMPLE))) == 0).agg(F.sort_array(F.collect_list("_key")).alias("ks"))
-    bounds = F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda j: F.get("ks", (j * F.size("ks") / slices).cast("int")))
-    cut = keyed.join(F.broadcast(some.select(F.slice(bounds, 2, slices).alias("_bounds"))))
-    cut = cut.withColumn("_slice", F.size(F.filter("_bounds", lambda b: b <= F.col("_key")))).drop("_bounds")
-    counts, before = dict(cut.groupBy("_slice").count().collect()), [0]
-    for k in range(slices):
-        before.append(before[-1] + counts.get(k, 0))
-    within = F.row_number().over(Window.partitionBy("_slice").orderBy("_key"))
-    return cut.withColumn(name, F.get(F.array(*[F.lit(n).cast("long") for n in before]), F.col("_slice")) + within).drop("_key", "_slice")
+    Rows are dealt to tasks by range of the order, each task numbers its own, and these numbers are moved by the rows of the tasks before.
+    Equal rows may lie in several tasks, as a hash of the row and its place go on with the order, so a key with many rows is split."""
+    keys = [*[f"_o{k}" for k in range(len(order))], "_hash", "_place"]
+    keyed = rows.select("*", *[c.alias(k) for c, k in zip(order, keys)], F.xxhash64(*rows.columns).alias("_hash"), F.monotonically_increasing_id().alias("_place"))
+    slices = max(1, -(-rows.count() // slice_rows))
+    # an id has the task above its low 33 bits and the row's number below; both are kept by writing the rows once
+    placed = keyed.repartitionByRange(slices, *keys).sortWithinPartitions(*keys).select(*rows.columns, F.monotonically_increasing_id().alias("_at"))
+    placed = shared.stored(placed).withColumn("_task", F.shiftright("_at", 33))
+    before, counts = [0], placed.groupBy("_task").count().orderBy("_task").collect()  # a row a task
+    for r in counts:
+        before.append(before[-1] + r["count"])
+    moved_by = rows.sparkSession.createDataFrame([(r["_task"], b) for r, b in zip(counts, before)], "_task long, _before long")
+    out = placed.join(F.broadcast(moved_by), "_task")
+    return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).select(*rows.columns, name)

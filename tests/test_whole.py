@@ -86,3 +86,14 @@ def test_anchored_cards_tell_everything(spark):
     assert [(r["sku"], r["full_title"], r["price"], r["rating"], r["reviews"], r["image"]) for r in rows] == [
         ("itm1", "A car in full, pack of 5", 499.0, 4.3, 1204, "https://img/a.png"), ("itm2", "A blue car in full", 20.0, 5.0, None, "http://i/b.png"), ("itm3", "Plain car", 20.0, None, None, None),
     ]
+
+
+def test_positions_split_equal_rows(spark):
+    """Half of all rows are equal in every column; they are numbered by several tasks."""
+    df = spark.createDataFrame([(1, "same")] * 600 + [(k, "x") for k in range(2, 602)], "a int, n string").repartition(4)
+    out = state.positions(df, [F.col("a")], "position", slice_rows=100)
+    assert out.columns == ["a", "n", "position"]
+    got = sorted((r["position"], r["a"]) for r in out.collect())
+    assert [p for p, _ in got] == list(range(1, 1201)) and [a for _, a in got] == [1] * 600 + list(range(2, 602))
+    tasks = out.filter("a = 1").select(F.spark_partition_id().alias("t"), F.input_file_name().alias("f")).distinct().count()
+    assert tasks > 2
