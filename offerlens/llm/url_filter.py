@@ -7,8 +7,8 @@ siblings (a two-proportion z test) are merged into +. Below a node of fewer than
 as deep as that many urls agree, and no further.
 
 Purity is the share of rejected labels, smoothed towards the node above: (rejected + prior * purity above) / (labelled + prior); above
-a host stands the share over all hosts. So a template without labels of its own has the purity of the nearest nodes above it that
-have some, and is rejected with them if their labels are many and nearly all bad. Templates at the threshold or over it are rejected.
+a host stands the share over all hosts. A template at the threshold or over it is rejected if it has `evidence` labels of its own:
+what stands above it smooths its purity, but is no ground to reject it, as where rules only ever block, the only labels are bad ones.
 
 Tables are joined by node; the few nodes that hold more than an even share of the rows are salted (`common.spread_join`)."""
 
@@ -22,6 +22,10 @@ from . import common
 #: (verdict, host, path) of the query's rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
+#: Labels that a template must have itself to be rejected.
+EVIDENCE = 5
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -92,8 +96,8 @@ def path_templates(shapes: DataFrame, share: float = 0.02, support: int = 5, z:
         tree, k = common.stored(tree), k + 1
 
 
-def judge_urls(pages: DataFrame, url: str = "url", rules=RULES, label: Column | None = None, threshold: float = 0.9, prior: float = 2.0, **tree) -> DataFrame:
-    """pages(page_id, url) as (page_id, host, path, rule, template, purity, verdict); a row for each row.
+def judge_urls(pages: DataFrame, url: str = "url", rules=RULES, label: Column | None = None, threshold: float = 0.9, prior: float = 2.0, evidence: int = EVIDENCE, **tree) -> DataFrame:
+    """pages(page_id, url) as (page_id, host, path, rule, template, purity, labelled, verdict); a row for each row.
 
     label: 1 for urls known to be bad, 0 for good, null else; the verdict of the rules by default. A null url, or one without
     '://', has an empty host and path and forms a template with its like. Paths of any length and depth are read whole. Rows that
@@ -109,12 +113,21 @@ def judge_urls(pages: DataFrame, url: str = "url", rules=RULES, label: Column |
     shapes = rows.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("rejected"), F.count("label").alias("labelled"))
     shapes = common.stored(path_templates(common.stored(shapes), prior=prior, **tree))
     verdicts = shapes.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in SUMS[1:]], F.min("above").alias("above"), F.count(F.lit(1)).alias("m"))
-    verdicts = verdicts.select("host", "template", "m", _purity(F.col("above"), prior).alias("purity"))
+    verdicts = verdicts.select("host", "template", "m", "labelled", _purity(F.col("above"), prior).alias("purity"))
     total = shapes.agg(F.count(F.lit(1)), F.sum("n")).first()  # two numbers
     known = common.spread_join(shapes.select("host", "shape", "n", "template"), verdicts, ["host", "template"], "m", total[0])
-    by_tree = F.when(F.col("purity") >= threshold, "block").otherwise("allow")
-    rows = common.spread_join(rows, known.select("host", "shape", "n", "template", "purity"), ["host", "shape"], "n", total[1] or 0, by=["page_id", "path"])
-    return rows.select("page_id", "host", "path", "rule", "template", "purity", F.coalesce("ruled", by_tree).alias("verdict"))
+    by_tree = F.when((F.col("purity") >= threshold) & (F.col("labelled") >= evidence), "block").otherwise("allow")
+    rows = common.spread_join(rows, known.select("host", "shape", "n", "template", "purity", "labelled"), ["host", "shape"], "n", total[1] or 0, by=["page_id", "path"])
+    return rows.select("page_id", "host", "path", "rule", "template", "purity", "labelled", F.coalesce("ruled", by_tree).alias("verdict"))
+
+
+def held_out(pages: DataFrame, fifth: int = 0, url: str = "url", rules=RULES, **how) -> DataFrame:
+    """(bad, verdict, n): how the tree judges urls whose labels it was not shown, those of one fifth of all urls by their hash. Labels are the rules'."""
+    _, ruled = rule_for(host_of(F.col(url)), path_of(F.col(url)), rules)
+    labelled = pages.select("page_id", url, (ruled == "block").cast("int").alias("bad"), (F.pmod(F.xxhash64(url), F.lit(5)) == fifth).alias("hidden"))
+    judged = judge_urls(labelled, url, (), F.when(~F.col("hidden"), F.col("bad")), **how).select(F.col("page_id").alias("_id"), "verdict")
+    same = labelled.filter("hidden and bad is not null").join(judged, F.col("page_id") == F.col("_id"))
+    return same.groupBy("bad", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
