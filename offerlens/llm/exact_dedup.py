@@ -53,7 +53,7 @@ def exact_groups(docs: DataFrame, text: Column, doc_id: str = "doc_id", keep: st
 
     text: what is compared, null as empty. keep: 'largest' or 'smallest' id of a group stays. Null ids lose to any other; a
     group of null ids alone has keep_id null and keeps its rows. Rows that repeat both id and text are all kept or all dropped,
-    and each counts in group_size. An empty table gives no rows."""
+    and each counts in group_size. Texts are read whole, however long; other columns are not read, whatever their names. An empty table gives no rows."""
     if keep not in ("largest", "smallest") or fan_in < 2:
         raise ValueError("keep is 'largest' or 'smallest'; fan_in is 2 or more")
     spark = docs.sparkSession

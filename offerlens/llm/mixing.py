@@ -50,7 +50,7 @@ def mix(docs: DataFrame, text: str = "text", weights: tuple[int, ...] = (3, 1, 2
     taken = copies * size. The threshold lies on the side of the last document that comes nearer to the target, so a source's sum
     misses its target by half of one document at most. Texts null or without words have size 0 and are taken like others of
     their hash. The hash is of the id (of the text where the id is null); rows that repeat an id share their fate. A source of no
-    words has target 0 and takes nothing. An empty table gives no rows."""
+    words has target 0 and takes nothing. Texts are read whole, however long; other columns are not read, whatever their names. An empty table gives no rows."""
     h = hash_digits(F.col("doc_id"), F.col(text), levels * digits)
     sized = common.checkpointed(docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), h.alias("h")))
     bucket = lambda k: F.substring("h", 1 + k * digits, digits)

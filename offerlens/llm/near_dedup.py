@@ -287,8 +287,8 @@ def near_rows(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     Two rows are linked if 100 * |intersection| >= percent * |union| of their sets of `words`-word shingles; texts of fewer words
     are one shingle, and null, empty or wordless texts are linked with nothing. component_id: the smallest doc_id reachable.
-    Null ids come last: a group of them alone has component_id null. Rows that repeat id and text share their fate. An empty
-    table gives no rows."""
+    Null ids come last: a group of them alone has component_id null. Rows that repeat id and text share their fate. Texts are read whole, however long; other columns are not read, whatever their names.
+    An empty table gives no rows."""
     spark = docs.sparkSession
     rows, parts = docs.select("doc_id", "text"), common.shuffle_partitions(spark)
     shards = common.text_shards(rows)

@@ -332,7 +332,8 @@ def _place(table: pd.DataFrame):
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece of docs(doc_id, text).
 
-    Rows that repeat a document are packed as often as they occur. A null doc_id stays null. An empty table gives no rows."""
+    Rows that repeat a document are packed as often as they occur. A null doc_id stays null, a null text is empty. Texts are read whole, however long; other columns are not read, whatever their names.
+    An empty table gives no rows."""
     rows = common.checkpointed(pieces(docs, path, length, end))
     by_length = rows.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
     counts = np.zeros(length + 1, np.int64)

@@ -332,8 +332,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gap: int | None = None
 
     spans: maximal runs of UTF-8 bytes, [start, end), covered by `length`-byte strings that also start in a document with a
     smaller doc_id. Null texts are empty; null ids come before all others. Rows of one id are one document to each other and
-    remove nothing from each other. Texts under `length` bytes keep everything. An empty table gives no rows. Names have 64 bits
-    (round 1: 48, which only ever adds entries to check); equal names are taken as equal strings."""
+    remove nothing from each other. Texts under `length` bytes keep everything. Texts are read whole, however long; other columns are not read, whatever their names.
+    An empty table gives no rows. Names have 64 bits (round 1: 48, which only ever adds entries to check); equal names are taken as equal strings."""
     gap = max(0, min(GAP, length // 2)) if gap is None else gap
     if not 0 <= gap <= length // 2:
         raise ValueError("gap is at most half of length")
