@@ -6,7 +6,7 @@ or bracketed dots, card and phone digits grouped by other signs), beside digits
 pattern matched and its check failed (a card number with a wrong last digit), a window says neither yes nor no and is left out.
 Every character of every text lies in windows, which overlap; each position takes the tag of the window in which it lies farthest
 from the ends, and spans are read off the whole text. A decoded span is added if the model is sure of it, if it holds what its kind
-must hold (`NEEDS`: digits, or @ or the word at), and if it touches no span of the patterns. So decoding begins in the windows that
+must hold (`NEEDS`: digits, which for a card pass its check, or @ or the word at, and a dot), and if it touches no span of the patterns. So decoding begins in the windows that
 hold such characters, and goes on wherever a tagged run reaches into the next one: the spans are those of decoding every window."""
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WINDOWS = pa.schema([("h", pa.int64()), ("start", pa.int32()), ("kind", pa.int32()), ("chars", pa.string()), ("tags", pa.binary())])
 _AT = re.compile(r"@|(?<![A-Za-z])at(?![A-Za-z])", re.IGNORECASE)
+_DOT = re.compile(r"\.|(?<![A-Za-z])dot(?![A-Za-z])", re.IGNORECASE)
 _LONG = re.compile(r"[0-9](?:[\x20().,/-]*[0-9]){6,}")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -338,7 +339,9 @@ def forms(kind: int, rng: np.random.Generator) -> str:
     if KINDS[kind] == "ip":
         return pick(".", " . ", "[.]", " dot ", "(.)").join(str(x) for x in rng.integers(0, 256, 4))
     if KINDS[kind] == "card":
-        return pick("", " ", "-", ".", "/", "  ", "_", " - ").join(_digits(rng, *((4, 4, 4, 4) if rng.integers(4) else (4, 6, 5))))
+        groups = _digits(rng, *((4, 4, 4, 4) if rng.integers(4) else (4, 6, 5)))
+        groups[-1] = next(last for x in range(10) if luhn("".join(groups[:-1]) + (last := groups[-1][:-1] + str(x))))
+        return pick("", " ", "-", ".", "/", "  ", "_", " - ").join(groups)
     area, first, last = _digits(rng, 3, 3, 4)
     code, sep = str(rng.integers(1, 99)), pick("-", " ", ".", "/")
     return pick(f"+{code} ({area}) {first}-{last}", f"({area}) {first}{sep}{last}", f"({area}){first}-{last}", f"{area}{sep}{first}{sep}{last}", f"00{code} {area} {first}{last}", f"0{area}{sep}{first}{last}", f"+{code} / {area} / {first}{last}")
@@ -475,6 +478,14 @@ def _decoded(tagger: Tagger, w: _Windows) -> dict[int, tuple[np.ndarray, np.ndar
     return out
 
 
+def _holds(span: str, kind: int) -> bool:
+    """Whether a span has what its kind must have. The digits of a card pass the check by which the pattern's are judged."""
+    if kind == 0:
+        return _AT.search(span) is not None and _DOT.search(span) is not None
+    digits = re.sub("[^0-9]", "", span)
+    return len(digits) >= NEEDS[kind] and (KINDS[kind] != "card" or (len(digits) <= 19 and luhn(digits)))
+
+
 def _added(tagger: Tagger | None, texts: list[str], base: list[list], sure: float) -> list[list]:
     out = [[] for _ in texts]
     if tagger is None or not texts:
@@ -489,8 +500,7 @@ def _added(tagger: Tagger | None, texts: list[str], base: list[list], sure: floa
         for s, _, e in base[k]:
             covered[s:e] = b"\1" * (e - s)
         for s, kind, e, p in reconcile(len(text), w.start[xs].tolist(), [found[x][0] for x in xs], [found[x][1] for x in xs]):
-            holds = _AT.search(text, s, e) if kind == 0 else sum(c in "0123456789" for c in text[s:e]) >= NEEDS[kind]
-            if p >= sure and holds and 1 not in covered[s:e]:
+            if p >= sure and _holds(text[s:e], kind) and 1 not in covered[s:e]:
                 out[k].append((s, kind, e))
     return out
 

@@ -385,6 +385,13 @@ def test_pii_adds_spans(spark):
     assert pii._added(tagger, texts + ["", "z" * 5000, "7" * 700], [*base, [], [], []], 0.5) == whole
 
 
+def test_added_spans_hold_what_their_kind_needs():
+    for span, kind, holds in [("4111.1111.1111.1111", 2, True), ("4111.1111.1111.1112", 2, False), ("at at at at", 0, False), ("me at home dot org", 0, True), ("me@home", 0, False), ("1 2 3", 1, False), ("555-123-4567", 3, True), ("4" * 25, 2, False)]:
+        assert pii._holds(span, kind) is holds
+    rng = np.random.default_rng(1)
+    assert all(pii._holds(pii.forms(k % 4, rng), k % 4) for k in range(400))
+
+
 def test_urls(spark):
     rows = [
         (1, "https://WWW.Example.com/en/12?x"), (2, "http://example.com/en/"), (3, "http://a.example.com/en/9#f"), (4, "http://b.net/es/1"), (5, "http://b.net/en/1"), (6, None),
