@@ -1,6 +1,6 @@
 """Exact deduplication by a tree merge of sorted digest runs.
 
-Every row becomes (digest, verifier, id) in one of `leaves` runs, chosen by a hash of its id. In each binomial round, groups of
+Every row becomes (digest, verifier, id) in one of `leaves` runs, chosen by a hash of its id and its place, so that null or repeated ids spread. In each binomial round, groups of
 `fan_in` runs exchange their rows by (group, digest), are merged in digest order, and keep one row for each verified digest: the
 identifier that stays and how many rows it stands for. After the last round one sorted run, dealt over all partitions by digest,
 is left. A text that holds a third of all rows is thus at most one row a run after the leaves, and `fan_in` rows a merge.
@@ -64,7 +64,7 @@ def exact_groups(docs: DataFrame, text: Column, doc_id: str = "doc_id", keep: st
         F.col(doc_id).cast("long").alias("id"),
         F.sha2(whole.cast("binary"), 256).alias("digest"),
         F.xxhash64(whole, F.octet_length(whole)).alias("verifier"),
-    ).withColumn("leaf", F.pmod(F.xxhash64("id"), F.lit(leaves)).cast("int"))
+    ).withColumn("leaf", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(leaves)).cast("int"))
     rows = common.checkpointed(rows)
     best = F.max if keep == "largest" else F.min
     runs = rows.groupBy(F.col("leaf").alias("run"), "digest", "verifier").agg(

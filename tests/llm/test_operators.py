@@ -648,6 +648,17 @@ def test_exact_dedup(docs, keep):
     assert result(exact_dedup.exact_groups(docs, F.col("text"), keep=keep)) == want
 
 
+def test_exact_dedup_spreads_rows_of_one_id(spark, monkeypatch):
+    """Leaves are chosen by id and place: rows without an id lie in all of them."""
+    seen = []
+    kept = common.checkpointed
+    monkeypatch.setattr(common, "checkpointed", lambda df: seen.append(kept(df)) or seen[-1])
+    df = spark.createDataFrame([(None, f"t{k % 50}") for k in range(400)], "doc_id long, text string").repartition(2)
+    got = exact_dedup.exact_groups(df, F.col("text")).collect()
+    assert len(got) == 400 and all(r.keep_id is None and r.group_size == 8 and r.kept for r in got)
+    assert seen[0].select("leaf").distinct().count() == common.shuffle_partitions(spark)
+
+
 def test_clashing_columns_and_long_texts(spark):
     """Columns named like those that operators use or give, null in every column, ties, repeated rows and a very long text change no answer."""
     import public_tokenizers
