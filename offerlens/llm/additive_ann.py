@@ -21,6 +21,8 @@ BOOKS, WORDS, BEAM = 8, 256, 4
 FIT_ROWS = 16384
 ROUNDS = 6
 BLOCK, QUERY_BLOCK = 8192, 512
+#: Query blocks whose best rows a task holds at most.
+QUERIES_HELD = 256
 #: Rows of each block that are scored exactly for a query: at least so many, and at least DEPTH times as many as are asked for.
 RERANK, DEPTH = 64, 3
 
@@ -97,25 +99,37 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def _scan(books: np.ndarray, top: int, metric: str, kind):
-    """For pairs of a query block and a vector block: the best of each query so far, one row a query block and task."""
+    """Of a stream of vector blocks (q_block -1), each with the query blocks that meet it after it: the best rows of each query.
+
+    A vector block is read once. Of QUERIES_HELD query blocks the best rows so far are held, and then sent on: a query's rows meet again
+    where they are ranked."""
     m, k, d = books.shape
 
+    def out(best):
+        for qids, found, exact, qrows in best.values():
+            asked = [np.repeat(v, found.shape[1]) for v in (qids, qrows)]
+            ok = np.isfinite(exact.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(v[ok]) for v in (*asked, found.ravel(), exact.ravel())], ["query_id", "query_row", "vec_id", "score"])
+
     def run(batches):
         best: dict[int, tuple] = {}
         for batch in batches:
             for r in range(batch.num_rows):
                 get = {name: batch.column(name)[r] for name in batch.schema.names}
-                qids, ids = _matrix(get["q_ids"], np.int64), _matrix(get["ids"], np.int64)
-                q, x = (_matrix(get[c], kind).reshape(-1, d).astype(np.float64) for c in ("q_vectors", "vectors"))
-                qrows, rows = _matrix(get["q_rows"], np.int64), _matrix(get["rows"], np.int64)
-                codes = _matrix(get["codes"], np.uint8).reshape(len(ids), m)
+                if get["q_block"].as_py() < 0:
+                    ids, rows = _matrix(get["ids"], np.int64), _matrix(get["rows"], np.int64)
+                    x, codes = _matrix(get["vectors"], kind).reshape(-1, d).astype(np.float64), _matrix(get["codes"], np.uint8).reshape(len(ids), m)
+                    scales, norms = (_matrix(get[c], np.float64)[:, None].astype(np.float32) for c in ("scales", "norms"))
+                    continue
+                qids, qrows = _matrix(get["ids"], np.int64), _matrix(get["rows"], np.int64)
+                q = _matrix(get["vectors"], kind).reshape(-1, d).astype(np.float64)
                 table = (books.reshape(m * k, d) @ q.T).astype(np.float32)
                 rough = np.zeros((len(ids), len(qids)), np.float32)
                 for b in range(m):
                     rough += table[b * k + codes[:, b].astype(np.int64)]
-                rough *= _matrix(get["scales"], np.float64)[:, None].astype(np.float32)
+                rough *= scales
                 if metric == "l2":
-                    rough = 2 * rough - _matrix(get["norms"], np.float64)[:, None].astype(np.float32)
+                    rough = 2 * rough - norms
                 at = _best(np.ascontiguousarray(rough.T), max(RERANK, DEPTH * top) + 1)
                 exact = np.stack([x[a] @ v for a, v in zip(at, q, strict=True)])
                 if metric == "l2":
@@ -127,10 +141,10 @@ def _scan(books: np.ndarray, top: int, metric: str, kind):
                     found, exact = np.concatenate([best[key][1], found], axis=1), np.concatenate([best[key][2], exact], axis=1)
                 order = np.lexsort((found, -exact), axis=1)[:, :top]
                 best[key] = qids, np.take_along_axis(found, order, axis=1), np.take_along_axis(exact, order, axis=1), qrows
-        for qids, found, exact, qrows in best.values():
-            asked = [np.repeat(v, found.shape[1]) for v in (qids, qrows)]
-            ok = np.isfinite(exact.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(v[ok]) for v in (*asked, found.ravel(), exact.ravel())], ["query_id", "query_row", "vec_id", "score"])
+                if len(best) > QUERIES_HELD:
+                    yield from out(best)
+                    best = {}
+        yield from out(best)
 
     return run
 
@@ -167,10 +181,11 @@ def search(vectors: DataFrame, is_query, top: int = 20, metric: str = "ip", fit_
     q_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("row", "vec_id"), F.lit(q_blocks))).select("block", "vec_id", "row", "embedding")
     asked = asked.groupBy("block").applyInArrow(_pack_blocks(None), "block long, ids binary, rows binary, vectors binary")
-    asked = common.checkpointed(asked.select(F.col("block").alias("q_block"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "vectors")]))
-    # every block of queries is sent to every block of vectors; a vector block is read by one task, with its queries after each other
-    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))).join(packed, "block")
-    found = pairs.mapInArrow(_scan(books, top, metric, kind), "query_id long, query_row long, vec_id long, score double")
+    asked = common.checkpointed(asked.select(F.col("block").alias("q_block"), "ids", "rows", "vectors"))
+    # every block of queries is sent to every block of vectors, which is read once, with its queries after it
+    sent = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+    met = packed.withColumn("q_block", F.lit(-1).cast("long")).unionByName(sent, allowMissingColumns=True)
+    found = met.repartition("block").sortWithinPartitions("block", "q_block").mapInArrow(_scan(books, top, metric, kind), "query_id long, query_row long, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")).cast("int"))
     return ranked.filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
