@@ -88,14 +88,32 @@ query("json_image", "select p_partkey as id, case p_partkey % 4 when 0 then 'pla
 
 def served_pages(s, d):
     w = Window.partitionBy("query").orderBy("id")
-    p = made(query="p_partkey % 7", p=f"named_struct('PId', {_ID}, 'PNm', p_name, 'BNm', p_brand, 'discprice', cast(p_size as string), 'MRP', cast(p_partkey % 60 as string), 'CrntStock', cast(p_size % 3 as string), 'Images', concat(';', {_ID}, '.jpg;b.jpg'))")(s, d)
+    p = made(query="p_partkey div 100", p=f"named_struct('PId', {_ID}, 'PNm', p_name, 'BNm', p_brand, 'discprice', cast(p_size as string), 'MRP', cast(p_partkey % 60 as string), 'CrntStock', cast(p_size % 3 as string), 'Images', concat(';', {_ID}, '.jpg;b.jpg'))")(s, d)
     p = p.withColumn("page", F.floor((F.row_number().over(w) - 1) / payloads.PAGE_ROWS) + 1).groupBy("query", "page").agg(F.collect_list("p").alias("Products"))
     return p.select("query", "page", F.to_json(F.struct(F.to_json(F.struct("Products")).alias("ProductResponse"))).alias("body"))
 
 
 for _name in ("scan_json_service", "json_service_map"):
-    query(_name, """select p_partkey % 7 as query, 'service' as source, p_partkey::varchar as source_sku, p_name as title, p_size::double as price, case when p_partkey % 60 > p_size then (p_partkey % 60)::double end as mrp,
+    query(_name, """select p_partkey // 100 as query, 'service' as source, p_partkey::varchar as source_sku, p_name as title, p_size::double as price, case when p_partkey % 60 > p_size then (p_partkey % 60)::double end as mrp,
       (p_size % 3 > 0)::int as in_stock, p_partkey || '.jpg' as image, p_brand as brand_hint from part""", "")(lambda s, d: payloads.service_offers(served_pages(s, d), "service"))
+_FIELDS = {"sku": r'id="([0-9]+)"', "title": "<b>([^<]*)</b>", "price": r"<i>Rs ([0-9.]+)</i>"}
+
+
+def landings(s, d):
+    """Where the searches of served_pages landed: two of three on a page with the ids of a listing, the others on cards; every seventh failed."""
+    card = f"concat('<ul><li class=\"c\" id=\"', {_ID}, '\"><b>', p_name, '</b>', case when p_size % 4 > 0 then concat('<i>Rs ', cast(p_size as string), '</i>') else '' end, '</li></ul>')"
+    c = made(query="p_partkey div 100", card=card)(s, d).groupBy("query").agg(F.array_join(F.array_sort(F.collect_list("card")), "").alias("cards"))
+    hidden = F.concat(F.lit("<input type='hidden' id='CatId' value='"), F.col("query").cast("string"), F.lit("'><input id='catid' value='0'><input type='hidden' id='brandid' value='b"), F.col("query").cast("string"), F.lit("'>"))
+    return c.select("query", F.when(F.col("query") % 7 == 6, 500).otherwise(200).alias("status"), F.when(F.col("query") % 3 > 0, hidden).otherwise(F.col("cards")).alias("html"))
+
+
+query("src_resolve", """select p_partkey // 100 as query, 'service' as source, p_partkey::varchar as source_sku, p_name as title, p_size::double as price, case when p_partkey % 60 > p_size then (p_partkey % 60)::double end as mrp,
+    (p_size % 3 > 0)::int as in_stock, p_partkey || '.jpg' as image, p_brand as brand_hint from part where p_partkey // 100 % 7 <> 6 and p_partkey // 100 % 3 > 0
+  union all select p_partkey // 100, 'service', p_partkey::varchar, p_name, case when p_size % 4 > 0 then p_size::double end, null, (p_size % 4 > 0)::int, null, null from part where p_partkey // 100 % 7 <> 6 and p_partkey // 100 % 3 = 0""", "")(
+    lambda s, d: payloads.searched_offers(
+        landings(s, d), served_pages(s, d).select(F.col("query").cast("string").alias("catid"), F.concat(F.lit("b"), F.col("query").cast("string")).alias("brandid"), "page", "body"), "service", '<li class="c"', _FIELDS
+    )
+)
 query("scan_shopify_suggest", """select 'shop' as source, case when p_partkey % 3 = 0 and p_partkey <> 0 then p_partkey::varchar when p_partkey % 3 = 1 then 'h-' || p_partkey else p_name[1:60] end as source_sku, p_name as title, p_size::double as price, (p_size + 1)::double as mrp,
   'https://shop.example/p/' || p_partkey as url, 'i' || p_partkey as image, (p_size % 2 = 0)::int as in_stock, p_brand as brand_hint from part""", "")(
     lambda s, d: payloads.suggested_offers(

@@ -316,6 +316,35 @@ def service_offers(pages: DataFrame, source: str, page_rows: int = PAGE_ROWS) ->
     )
 
 
+# How a landing page hides the numbers by which the paged service is asked.
+HIDDEN = r"""(?i)<input[^>]*?type=["']hidden["'][^>]*?id=["'](catid|brandid)["'][^>]*?value=["']([^"']*)["']"""
+
+
+def listing_ids(html: Column, pattern: str = HIDDEN) -> Column:
+    """struct(catid, brandid) of a landing page, or null where either is missing or empty; of several values the last counts."""
+    names, values = (F.regexp_extract_all(html, F.lit(pattern), F.lit(k)) for k in (1, 2))
+    pairs = F.zip_with(names, values, lambda n, v: F.struct(F.lower(n).alias("name"), v.alias("value")))
+    last = lambda name: F.nullif(F.try_element_at(F.filter(pairs, lambda x: x["name"] == name), F.lit(-1))["value"], F.lit(""))
+    catid, brandid = last("catid"), last("brandid")
+    return F.when(catid.isNotNull() & brandid.isNotNull(), F.struct(catid.alias("catid"), brandid.alias("brandid")))
+
+
+def searched_offers(landings: DataFrame, pages: DataFrame, source: str, mark: str, fields: dict[str, str]) -> DataFrame:
+    """Offers of searches by the paged service, or by the cards of the page where they landed.
+
+    landings(query, status, html): where each query landed. One whose page has the ids of a listing is answered by the pages(catid,
+    brandid, page, body) of these; another one by its page's cards, cut at `mark`. A query that failed gives nothing. Queries with equal
+    ids are each answered. Offers are first of their query by sku, as the service is read."""
+    landed = landings.filter("status = 200").withColumn("_ids", listing_ids(F.col("html")))
+    ids = landed.filter("_ids is not null").select("query", "_ids.catid", "_ids.brandid")
+    served = service_offers(pages.join(ids, ["catid", "brandid"]).select("query", "page", "body"), source)
+    shown = landed.filter("_ids is null").select("query", F.posexplode(F.split("html", mark)).alias("at", "c")).filter("at > 0")
+    shown = shown.select("query", *[F.nullif(F.regexp_extract("c", p, 1), F.lit("")).alias(f) for f, p in fields.items()])
+    price = text.parse_price(F.col("price"))
+    shown = shown.select("query", F.lit(source).alias("source"), F.col("sku").alias("source_sku"), "title", price.alias("price"), price.isNotNull().cast("int").alias("in_stock"))
+    return served.unionByName(shown, allowMissingColumns=True)
+
+
 def harvested_offers(bodies: DataFrame, source: str, headings: str = r"^(?i)(showing|search)\s+results|^results\s+for|^did you mean") -> DataFrame:
     """bodies(body): offers in JSON of any shape. Headings are none, nor is an object with neither a price nor a word on stock."""
     rows = bodies.select("body").lateralJoin(cards.HarvestJson(F.col("body").outer())).drop("body")

@@ -100,3 +100,14 @@ def test_polls_are_of_the_least_numbers(spark, tmp_path):
     assert seen == [[0, 1, 2, 3, 3, 3], [4, 5, 7, 8], [9]]
     empty = landed.UpdatesReader(folder, "update_id", ["update_id"], 100, 4)
     assert list(empty.read(empty.initialOffset())[0]) == []
+
+
+@pytest.mark.parametrize(
+    ("html", "ids"),
+    [("<input type='hidden' id=\"catid\" name=x value=\"7\"><INPUT type='HIDDEN' id='BrandId' value='9'>", ("7", "9")), ("<input type='hidden' id='catid' value='7'><input id='brandid' value='1'>", None), ("<input type='hidden' id='catid' value='7'><input type='hidden' id='brandid' value=''>", None), ("<input type='hidden' id='catid' value='1'><input type=\"hidden\" id='catid' value='2'><input type='hidden' id='brandid' value='b'>", ("2", "b")), ("", None), (None, None)],
+)
+def test_ids_of_a_landing_page(spark, html, ids):
+    from offerlens.sources import payloads
+
+    r = spark.createDataFrame([(html,)], "html string").select(payloads.listing_ids(F.col("html")).alias("i")).first()["i"]
+    assert (r and tuple(r)) == ids
