@@ -114,22 +114,23 @@ PER_DOUBLING, FINER = 64, 1024
 
 
 def sent(table: DataFrame) -> DataFrame:
-    """table, to be broadcast if it has SENT rows at most; else it is joined by a shuffle."""
-    return F.broadcast(table) if table.limit(SENT + 1).count() <= SENT else table
+    """table, written once, to be broadcast if it has SENT rows at most; else it is joined by a shuffle."""
+    table = shared.stored(table)
+    return F.broadcast(table) if table.count() <= SENT else table
 
 
 def _same_class(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
     """rows joined with table(CLASS, ...) on their class. Only a series may be null here."""
-    other = table.select(*[F.col(c).alias(f"_{c}") for c in CLASS], *[c for c in table.columns if c not in CLASS])
+    other = sent(table.select(*[F.col(c).alias(f"_{c}") for c in CLASS], *[c for c in table.columns if c not in CLASS]))
     same = [rows["brand"] == other["_brand"], rows["series"].eqNullSafe(other["_series"]), rows["pack_size"].eqNullSafe(other["_pack_size"])]
-    return rows.join(sent(other), same, how).drop(*[f"_{c}" for c in CLASS])
+    return rows.join(other, same, how).drop(*[f"_{c}" for c in CLASS])
 
 
-def _boundary(counted: DataFrame) -> DataFrame:
-    """(CLASS, n, rank, lo, hi, k) of counted(CLASS, n, rank, bucket, k, lo, hi): the bucket of each class in which its rank lies, and the rank within it.
+def _boundary(counted: DataFrame, n: Column, rank: Column) -> DataFrame:
+    """(CLASS, n, rank, lo, hi, k) of counted(CLASS, bucket, k, lo, hi): the bucket of each class in which its rank lies, and the rank within it.
 
     A class has as many buckets as a histogram at most, so they are gone through in its row."""
-    each = counted.groupBy(*CLASS).agg(F.max("n").alias("n"), F.max("rank").alias("rank"), F.array_sort(F.collect_list(F.struct("bucket", "k", "lo", "hi"))).alias("buckets"))
+    each = counted.groupBy(*CLASS).agg(n.alias("n"), rank.alias("rank"), F.array_sort(F.collect_list(F.struct("bucket", "k", "lo", "hi"))).alias("buckets"))
     start = F.struct(F.col("rank").alias("left"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(None).cast("long").alias("k"))
     step = lambda s, b: F.when(s["lo"].isNotNull(), s).when(s["left"] < b["k"], F.struct(s["left"].alias("left"), b["lo"].alias("lo"), b["hi"].alias("hi"), b["k"].alias("k"))).otherwise(F.struct((s["left"] - b["k"]).alias("left"), s["lo"].alias("lo"), s["hi"].alias("hi"), s["k"].alias("k")))
     return each.withColumn("at", F.aggregate("buckets", start, step)).select(*CLASS, "n", F.col("at.left").alias("rank"), "at.lo", "at.hi", "at.k")
@@ -142,9 +143,8 @@ def class_prices(offers: DataFrame, q: float = 0.1) -> DataFrame:
     read again, and sorted if they are few, or counted by finer buckets. So no task holds a class, whatever its share of all offers."""
     rows = shared.stored(offers.filter(buyable() & (F.col("price") > 0) & F.col("brand").isNotNull()).select(*CLASS, "price"))
     hist = rows.groupBy(*CLASS, F.floor(F.log2("price") * PER_DOUBLING).alias("bucket")).agg(F.count(F.lit(1)).alias("k"), F.min("price").alias("lo"), F.max("price").alias("hi"))
-    sizes = hist.groupBy(*CLASS).agg(F.sum("k").alias("n"))
-    sizes = sizes.withColumn("rank", F.least(F.floor(F.col("n") * F.lit(q)), F.col("n") - 1))
-    state, done = shared.stored(_boundary(_same_class(hist, sizes))), []
+    n = F.sum("k")
+    state, done = shared.stored(_boundary(hist, n, F.least(F.floor(n * F.lit(q)), n - 1))), []
     while True:
         done.append(state.filter("lo = hi").select(*CLASS, "n", F.col("lo").alias("low")))
         open_ = state.filter("lo < hi")
@@ -155,7 +155,7 @@ def class_prices(offers: DataFrame, q: float = 0.1) -> DataFrame:
             break
         finer = F.least(F.lit(FINER - 1), F.floor((F.col("price") - F.col("lo")) * FINER / (F.col("hi") - F.col("lo"))))
         many = inside.filter(F.col("_k") > FEW).groupBy(*CLASS, "n", "rank", finer.alias("bucket"))
-        state = shared.stored(_boundary(many.agg(F.count(F.lit(1)).alias("k"), F.min("price").alias("lo"), F.max("price").alias("hi"))))
+        state = shared.stored(_boundary(many.agg(F.count(F.lit(1)).alias("k"), F.min("price").alias("lo"), F.max("price").alias("hi")), F.max("n"), F.max("rank")))
     return reduce(DataFrame.union, done)
 
 
