@@ -528,6 +528,23 @@ def test_ann(spark, metric):
     assert hit / (20 * len(got)) >= 0.9
 
 
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_ann_on_rows_without_structure(spark, metric):
+    """Many dimensions, near copies, norms far apart and one large component: none of the nearest is missed."""
+    rng = np.random.default_rng(5)
+    plain, near = rng.normal(size=(3000, 96)), rng.normal(size=96) + 1e-3 * rng.normal(size=(1500, 96))
+    spread, offset = rng.normal(size=(1000, 96)) * 10 ** rng.uniform(-3, 0, (1000, 1)), 0.1 * rng.normal(size=(500, 96))
+    offset[:, 0] += 5
+    x = np.concatenate([plain, near, spread, offset])[rng.permutation(6000)]
+    got = defaultdict(set)
+    for r in additive_ann.search(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, metric=metric).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    for q in range(0, 6000, 20):
+        s = x @ x[q] if metric == "ip" else -((x - x[q]) ** 2).sum(axis=1)
+        s[q] = -np.inf
+        assert got[q] == set(np.lexsort((np.arange(6000), -s))[:20].tolist())
+
+
 def test_ann_deep_and_repeated(spark):
     """More neighbours than a block's least depth, and rows that repeat an id: only a query's own row is no candidate."""
     rng = np.random.default_rng(9)
