@@ -3,7 +3,8 @@
 A table of names is data: for each name its spellings, whether its whole catalogue is in the wanted scale, whether the name is a common
 word elsewhere, and whether it may stand within a longer word. Titles and spellings are squeezed, with white space left out, so that
 `two words`, `two  words` and `twowords` are one spelling; a match counts if the title has white space only where the spelling has. A title
-costs what its length and matches cost, however many names there are. The table goes to all tasks, so its size is checked."""
+costs what its length and matches cost, however many names there are. The table goes to all tasks, so its size is checked; a table of any
+size is a DataFrame, and `joined` matches by a join on what stands between the bounds of words."""
 
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text
@@ -108,23 +109,99 @@ def found(title: Column, names: Sequence[Name]) -> Column:
     return find(title)
 
 
+def _bounded(title: str, lo: int, hi: int) -> tuple[bool, bool]:
+    """Whether words end at both ends of title[lo:hi]."""
+    return not (lo > 0 and _word(title[lo - 1]) and _word(title[lo])), not (hi < len(title) and _word(title[hi]) and _word(title[hi - 1]))
+
+
+_PIECE = "array<struct<key:string,at:int,bounded:boolean,gaps:array<int>>>"
+
+
+def _pieces(sizes: list[int], anywhere: list[int]):
+    """A column function from titles to their squeezed pieces of such sizes; of sizes in `anywhere`, those within words as well."""
+
+    def of(title: str | None) -> list[dict]:
+        key, at = _squeezed(title or "")
+        out = []
+        for start, lo in enumerate(at):
+            begins = _bounded(title, lo, lo + 1)[0]
+            for size in sizes if begins else anywhere:
+                end = start + size
+                if end > len(key):
+                    break
+                bounded = begins and _bounded(title, lo, at[end - 1] + 1)[1]
+                if bounded or size in inside:
+                    out.append({"key": key[start:end], "at": lo, "bounded": bounded, "gaps": [k - start for k in range(start + 1, end) if at[k] > at[k - 1] + 1]})
+        return out
+
+    inside = frozenset(anywhere)
+    kind = pa.list_(pa.struct([("key", pa.string()), ("at", pa.int32()), ("bounded", pa.bool_()), ("gaps", pa.list_(pa.int32()))]))
+
+    @F.arrow_udf(_PIECE)
+    def cut(titles: pa.Array) -> pa.Array:
+        return pa.array([of(t) for t in titles.to_pylist()], kind)
+
+    return cut
+
+
+def _spelled(spelling: Column) -> Column:
+    """A spelling squeezed, and where it has white space."""
+
+    @F.arrow_udf("struct<key:string,gaps:array<int>>")
+    def squeeze(spellings: pa.Array) -> pa.Array:
+        out = []
+        for s in spellings.to_pylist():
+            key, at = _squeezed((s or "").strip())
+            out.append({"key": key, "gaps": [k for k in range(1, len(at)) if at[k] > at[k - 1] + 1]})
+        return pa.array(out, pa.struct([("key", pa.string()), ("gaps", pa.list_(pa.int32()))]))
+
+    return squeeze(spelling)
+
+
+def joined(rows: DataFrame, title: str, table: DataFrame) -> DataFrame:
+    """rows with a column `found`, as `found` gives it, for a table of names of any size.
+
+    table(place long, name, spelling, inside boolean): a row a spelling. Nothing of it but the lengths of its spellings goes through the
+    driver. Pieces of titles that have such a length meet the spellings by a shuffle; those of names that stand as words of their own
+    begin and end where words do, so they are few. A spelling without a letter matches nothing."""
+    own = rows.columns
+    spellings = table.withColumn("_s", _spelled(F.col("spelling"))).select("place", "name", F.coalesce("inside", F.lit(False)).alias("inside"), "_s.key", F.col("_s.gaps").alias("may")).filter("key <> ''")
+    lengths = [tuple(r) for r in spellings.select(F.length("key").alias("n"), "inside").distinct().collect()]  # as many as the longest name has letters, at most, twice
+    sizes, anywhere = sorted({n for n, _ in lengths}), sorted({n for n, inside in lengths if inside})
+    cut = rows.select(F.monotonically_increasing_id().alias("_id"), F.struct(*own).alias("_row"), _pieces(sizes, anywhere)(F.col(title)).alias("_pieces"))
+    pieces = cut.select("_id", F.explode("_pieces").alias("p")).select("_id", "p.*")
+    fits = (F.col("inside") | F.col("bounded")) & (F.size(F.array_except("gaps", "may")) == 0)
+    met = pieces.join(spellings, "key").filter(fits).groupBy("_id", "place").agg(F.min("at").alias("at"), F.min("name").alias("name"))
+    told = met.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("at", "place", "name"))).alias("found"))
+    out = cut.select("_id", "_row").join(told, "_id", "left")
+    return out.select("_row.*", F.coalesce("found", F.array().cast("array<struct<at:int,place:bigint,name:string>>")).alias("found"))
+
+
+def in_order(at: Column) -> Column:
+    """The names of what was found, by their order in the table."""
+    return F.transform(F.array_sort(F.transform(at, lambda x: F.struct(x["place"], x["name"]))), lambda x: x["name"])
+
+
 def listed(title: Column, names: Sequence[Name]) -> Column:
     """The names in a title, by their order in the table."""
-    return F.transform(F.array_sort(F.transform(found(title, names), lambda x: F.struct(x["place"], x["name"]))), lambda x: x["name"])
+    return in_order(found(title, names))
 
 
 def brand(title: Column, names: Sequence[Name], pack: text.RulePack = text.RulePack(), latest: int = 35, hint: Column | None = None) -> Column:
     """The brand named first, by the rules of `text.brand`; a seller's own field counts by the first of its names in the table's order."""
-    at = found(title, names)
+    return brand_of(title, found(title, names), [n.name for n in names if n.common], pack, latest, None if hint is None else listed(hint, names))
+
+
+def brand_of(title: Column, at: Column, common: Sequence[str] = (), pack: text.RulePack = text.RulePack(), latest: int = 35, hinted: Column | None = None) -> Column:
+    """The brand of a title with names found at `at`; hinted: the names in the seller's own field, in the table's order."""
     first = F.get(at, F.lit(0))
-    common = [n.name for n in names if n.common]
     proper = F.coalesce(~F.lower(title).rlike(pack.knockoffs) & ~F.lower(title).rlike(pack.accessories), F.lit(True))
     sure = (F.size(at) < 3) & (first["at"] <= latest)
     if common:
         sure = sure & (~first["name"].isin(*common) | F.lower(title).rlike(pack.vehicles))
     told = F.when((F.size(at) > 0) & sure, first["name"])
-    if hint is not None:
-        told = F.when(F.size(at) == 0, F.get(listed(hint, names), F.lit(0))).otherwise(told)
+    if hinted is not None:
+        told = F.when(F.size(at) == 0, F.get(hinted, F.lit(0))).otherwise(told)
     return F.when(proper, told)
 
 

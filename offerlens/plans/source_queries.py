@@ -166,14 +166,15 @@ def _link():
 
 def s_brand_table(s, d):
     """The seller that a part's title names, among all suppliers, each with two spellings; every fourth title names two."""
-    rows = views.table(s, d, "supplier").select("s_name", "s_suppkey").limit(names.MOST).orderBy("s_suppkey").collect()  # a larger table is refused
-    table = [names.Name(r["s_name"], (r["s_name"], r["s_name"].replace("#", " no "))) for r in rows]
+    spelling = F.explode(F.array("s_name", F.replace("s_name", F.lit("#"), F.lit(" no "))))
+    table = views.table(s, d, "supplier").select(F.col("s_suppkey").cast("long").alias("place"), F.col("s_name").alias("name"), spelling.alias("spelling"), F.lit(False).alias("inside"))
     n = views.table(s, d, "supplier").agg(F.count(F.lit(1)).alias("n"), F.min("s_suppkey").alias("lo"))
     key = lambda k: F.lpad(((F.col("p_partkey") * k) % F.col("n") + F.col("lo")).cast("string"), 9, "0")
     first = F.concat(F.when(F.col("p_partkey") % 2 == 0, "supplier  NO").otherwise("Supplier#"), key(1))
     title = F.concat("p_name", F.lit(" "), first, F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit(" and Supplier#"), key(7))).otherwise(""))
     titled = parts(s, d).join(F.broadcast(n)).select(F.col("p_partkey").alias("id"), title.alias("t"))  # one row
-    return titled.select("id", names.brand(F.col("t"), table, latest=200).alias("brand"), F.array_join(names.listed(F.col("t"), table), ",").alias("named"))
+    found = names.joined(titled, "t", table)
+    return found.select("id", names.brand_of(F.col("t"), F.col("found"), latest=200).alias("brand"), F.array_join(names.in_order(F.col("found")), ",").alias("named"))
 
 
 query("s_brand_table", """with n as (select count(*) as n, min(s_suppkey) as lo from supplier), k as (select p_partkey, p_partkey % n + lo as a, case when p_partkey % 4 = 0 then (p_partkey * 7) % n + lo end as b from part, n)

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerlens.functions import text
-from offerlens.functions.names import Matcher, Name, brand, found, listed, wanted
+from offerlens.functions import names as table_of_names
+from offerlens.functions.names import Matcher, Name, brand, found, joined, listed, wanted
 
 
 def pattern(n):
@@ -66,3 +67,28 @@ def test_tables_are_checked():
     with pytest.raises(ValueError, match="letter"):
         Matcher([Name("x", (" ",))])
     assert Matcher([]).find("x") == [] and text.RulePack().brands
+
+
+def test_a_join_finds_what_the_automaton_finds(spark):
+    rng = random.Random(6)
+    names = [*TABLE, Name("Two Words", ("two words", "two word")), Name("Ab", ("ab",)), Name("Abc", ("ab c", "abc")), Name("In", ("inn",), inside=True), Name("A b", ("a b a b",)), Name("again", ("ab",))]
+    parts = ["two", "words", "word", "ab", "c", "inn", "zed", "alfa", "a", "b", "-", "_", "é", "TWO", "Ab", "match", "#"]
+    titles = [(k, "".join(rng.choice(parts) + rng.choice(["", " ", "  ", "\t"]) for _ in range(rng.randrange(9)))) for k in range(400)] + [(400, None), (401, ""), (400, "ab ab")]
+    rows = spark.createDataFrame(titles, "k int, t string")
+    table = spark.createDataFrame([(k, n.name, s, n.inside) for k, n in enumerate(names) for s in n.all()], "place long, name string, spelling string, inside boolean")
+    told = lambda df: sorted((r["k"], r["t"] or "", [tuple(x) for x in r["found"]]) for r in df.collect())
+    assert told(joined(rows, "t", table)) == told(rows.withColumn("found", found(F.col("t"), names)))
+
+
+def test_more_suppliers_than_a_sent_table_holds(spark, tmp_path, monkeypatch):
+    """The query takes a table of suppliers of any size: the limit of tables that go to all tasks is none of its own."""
+    from offerlens.plans import source_queries
+
+    monkeypatch.setattr(table_of_names, "MOST", 10)
+    spark.createDataFrame([(k, f"Supplier#{k:09d}") for k in range(1, 41)], "s_suppkey long, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(k, f"thing {k}") for k in range(100)], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r["id"]: (r["brand"], r["named"]) for r in source_queries.s_brand_table(spark, str(tmp_path)).collect()}
+    first, second = lambda k: k % 40 + 1, lambda k: k * 7 % 40 + 1
+    for k in range(100):
+        both = sorted({first(k), second(k)} if k % 4 == 0 else {first(k)})
+        assert got[k] == (f"Supplier#{first(k):09d}", ",".join(f"Supplier#{x:09d}" for x in both))
