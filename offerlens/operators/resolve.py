@@ -241,7 +241,7 @@ def leads(signatures: DataFrame, threshold: float = 87.0) -> DataFrame:
     order = F.struct(-F.col("score"), ~F.col("known"), F.when(F.col("known"), 0).otherwise(-F.col("n")), F.col("other"))
     best = to_leaders.groupBy(*BLOCK, "sig").agg(F.min_by("other", order).alias("leader"))
     new = signatures.filter("not known").select(*BLOCK, "sig")
-    return new.join(best, [*BLOCK, "sig"], "left").withColumn("leader", F.coalesce("leader", "sig"))
+    return new.join(shared.large(best), [*BLOCK, "sig"], "left").withColumn("leader", F.coalesce("leader", "sig"))
 
 
 def keyed(offers: DataFrame, title: Column, pack: text.RulePack = text.RulePack(), hint: Column | None = None) -> DataFrame:
@@ -267,4 +267,4 @@ def clusters(
     if known is not None:
         sigs = sigs.unionByName(known.select(*BLOCK, F.col("leader").alias("sig")).distinct().select("*", F.lit(0).alias("n"), F.lit(True).alias("known")))
     led = leads(shared.stored(sigs), threshold)
-    return rows.join(led, [*BLOCK, "sig"]).withColumn("canonical_key", product_key(F.col("brand"), F.col("leader"), F.col("pack_size")))
+    return rows.join(shared.large(led), [*BLOCK, "sig"]).withColumn("canonical_key", product_key(F.col("brand"), F.col("leader"), F.col("pack_size")))

@@ -34,7 +34,7 @@ def _sightings(s, d):
 
 def _sunk(s, d) -> Store:
     """Sightings in two batches by time, the first of which comes twice, with a run that dies between them."""
-    store, rows = _store(s, "sightings"), _sightings(s, d)
+    store, rows = _store(s, "sightings"), shared.stored(_sightings(s, d))
     early = F.col("ts") < F.lit(MIDDLE).cast("timestamp_ntz")
     for batch, part in ((0, early), (0, early), (None, ~early), (1, ~early)):
         t = store.begin("sightings", batch if batch is not None else 1)
@@ -87,7 +87,7 @@ def items(s, d):
         "p_partkey as id", "concat('shop', p_partkey % 7) as source", "cast(p_partkey as string) as source_sku", "concat('R', p_partkey % 5) as region", f"{_SHOP} as brand_hint", "cast(p_retailprice as double) as price",
         "cast(p_size % 3 > 0 as int) as in_stock", "case when p_partkey % 4 > 0 then concat('i/', p_partkey) end as image_url", f"cast('{MIDDLE}' as timestamp_ntz) as ts", "cast(p_partkey as bigint) as seq",
     )
-    return said.join(p, "id")
+    return said.join(shared.large(p), "id")
 
 
 _HINTED = f"h as (select b.*, case when {q._PROPER} then case when len(f) = 0 then case when id % 3 = 0 then 'Echo' end else brand end end as told from b)"
@@ -109,7 +109,7 @@ _LISTED = """ select id::varchar as source_sku, 'shop' || id % 7 as source, told
 
 def _listed(store: Store):
     p = store.read("products").select(F.col("id").alias("product_id"), "brand", "pack_size")
-    return store.read("listings").join(p, "product_id").select("source_sku", "source", "brand", "pack_size", "price", "in_stock")
+    return store.read("listings").join(shared.large(p), "product_id").select("source_sku", "source", "brand", "pack_size", "price", "in_stock")
 
 
 QUERIES["st_group"] = lambda s, d: _grouped(s, d).read("products").select("id", "canonical_key", "title", "brand", "series", "realism", "pack_size", "is_set", "image_url")
@@ -120,12 +120,12 @@ def _regrouped(s, d, fantasy: bool = True) -> Store:
     """Items filed one by one under keys and classes of older rules, then grouped by the rules of today."""
     store = _store(s, "regrouped")
     t = tables.created(store.begin("items", 0))
-    rows = items(s, d).withColumn("canonical_key", F.when(F.col("id") % 10 == 0, text.canonical_key(F.col("raw_title"), hint=F.col("brand_hint"))).otherwise(F.concat(F.lit("old-"), "source_sku")))
+    rows = shared.stored(items(s, d)).withColumn("canonical_key", F.when(F.col("id") % 10 == 0, text.canonical_key(F.col("raw_title"), hint=F.col("brand_hint"))).otherwise(F.concat(F.lit("old-"), "source_sku")))
     ids = tables.sink_products(t, rows.select(
         "canonical_key", F.col("raw_title").alias("title"), F.lit("Old").alias("brand"), F.lit("Old").alias("series"), F.lit("Old").alias("realism"), F.lit(1).alias("pack_size"), F.lit(0).alias("is_set"), "image_url", "ts",
         F.lpad("source_sku", 20, "0").alias("place"),
     ))
-    tables.sink_listings(t, rows.join(ids.withColumnRenamed("id", "product_id"), "canonical_key"))
+    tables.sink_listings(t, shared.stored(rows.join(shared.large(ids.withColumnRenamed("id", "product_id")), "canonical_key")))
     t.commit()
     tables.regroup(store, F.lit(MIDDLE).cast("timestamp_ntz"), fantasy=fantasy)
     return store
@@ -143,7 +143,7 @@ def st_regroup_checks(s, d):
     linked = listings.select("product_id").distinct()
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     out = one(listings, "listings").crossJoin(one(store.read("history"), "history")).crossJoin(one(store.read("listings", version=1), "listings_before"))  # a row each
-    out = out.crossJoin(one(linked.join(products, F.col("product_id") == F.col("id"), "left_anti"), "orphans")).crossJoin(one(products.join(linked, F.col("product_id") == F.col("id"), "left_anti"), "empty_products"))
+    out = out.crossJoin(one(linked.join(shared.large(products), F.col("product_id") == F.col("id"), "left_anti"), "orphans")).crossJoin(one(products.join(shared.large(linked), F.col("product_id") == F.col("id"), "left_anti"), "empty_products"))
     classes = products.agg(F.count(F.when((F.col("brand") == "Old") | (F.col("series") == "Old") | (F.col("realism") == "Old"), 1)).alias("old_classes"), F.count_distinct("brand").alias("brands"))
     return out.crossJoin(classes).withColumn("version", F.lit(store.version()).cast("long"))
 

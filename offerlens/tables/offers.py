@@ -62,12 +62,13 @@ def merged_listings(old: DataFrame, items: DataFrame) -> DataFrame:
 def sink_listings(t: Transaction, items: DataFrame) -> None:
     """items(ITEM, product_id) into listings, and the prices among them that are new or moved into history.
 
-    An offer that is unpriced is kept without a price and makes no history. Items of one offer count in the order of (ts, seq)."""
+    An offer that is unpriced is kept without a price and makes no history. Items of one offer count in the order of (ts, seq). items are
+    read several times, so they are best a table that is written."""
     touched = t.upsert("listings", items, merged_listings)
     seen = t.read("listings", touched)
-    seen = (items.sparkSession.createDataFrame([], LISTINGS) if seen is None else seen).join(items.select(*OFFER).distinct(), list(OFFER), "left_semi")
+    seen = items.sparkSession.createDataFrame([], LISTINGS) if seen is None else seen
     fresh = _sightings(seen, items).filter((F.col("fresh") == 1) & _moved() & F.col("price").isNotNull())
-    t.append("history", fresh.select(*OFFER, F.col("scraped_at").alias("ts"), "seq", "price", "in_stock"))
+    t.append("history", fresh.select(*OFFER, F.col("scraped_at").alias("ts"), "seq", "price", "in_stock"), among=items)
 
 
 def merged_products(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -89,8 +90,8 @@ def numbered(t: Transaction, keys: DataFrame) -> DataFrame:
         old = keys.sparkSession.createDataFrame([], PRODUCTS)
     held = old.select("canonical_key", "id")
     top = held.agg(F.max("id")).first()[0] or 0
-    new = state.positions(keys.join(held, "canonical_key", "left_anti"), [F.col("canonical_key")], "id").withColumn("id", F.col("id") + top)
-    return keys.join(held, "canonical_key").unionByName(new.select("canonical_key", "id"))
+    new = state.positions(keys.join(shared.large(held), "canonical_key", "left_anti"), [F.col("canonical_key")], "id").withColumn("id", F.col("id") + top)
+    return keys.join(shared.large(held), "canonical_key").unionByName(new.select("canonical_key", "id"))
 
 
 def sink_products(t: Transaction, rows: DataFrame) -> DataFrame:
@@ -98,7 +99,7 @@ def sink_products(t: Transaction, rows: DataFrame) -> DataFrame:
 
     place is the order of rows within the batch, as what was known first stays."""
     ids = shared.stored(numbered(t, rows.select("canonical_key").distinct()))
-    t.upsert("products", rows.join(ids, "canonical_key"), merged_products)
+    t.upsert("products", shared.stored(rows.join(shared.large(ids), "canonical_key")), merged_products)
     return ids
 
 
@@ -136,7 +137,7 @@ def store_items(store: Store, items: DataFrame, writer: str, batch: int, pack: t
     rows = items.filter(text.wanted(F.col("raw_title"), pack, fantasy, F.col("brand_hint")))
     rows = shared.stored(classified(resolve.clusters(rows, "raw_title", pack, threshold, known, "brand_hint"), pack))
     ids = sink_products(t, _as_products(rows, F.col("ts"), _longest_first()))
-    sink_listings(t, rows.join(ids.withColumnRenamed("id", "product_id"), "canonical_key"))
+    sink_listings(t, shared.stored(rows.join(shared.large(ids.withColumnRenamed("id", "product_id")), "canonical_key")))
     return t.commit()
 
 
@@ -150,8 +151,8 @@ def regroup(store: Store, now: Column, pack: text.RulePack = text.RulePack(), fa
     listings = t.read("listings").filter(text.wanted(F.col("raw_title"), pack, fantasy, F.col("brand_hint")))
     rows = shared.stored(classified(resolve.clusters(listings, "raw_title", pack, threshold, None, "brand_hint"), pack))
     ids = shared.stored(numbered(t, rows.select("canonical_key").distinct()))
-    cleared = t.read("products").withColumns({c: F.lit(None).cast("string") for c in ("brand", "series", "realism")}).join(ids.select("canonical_key"), "canonical_key", "left_semi")
-    made = _as_products(rows, now, _longest_first()).join(ids, "canonical_key")
+    cleared = t.read("products").withColumns({c: F.lit(None).cast("string") for c in ("brand", "series", "realism")}).join(shared.large(ids.select("canonical_key")), "canonical_key", "left_semi")
+    made = _as_products(rows, now, _longest_first()).join(shared.large(ids), "canonical_key")
     t.replace("products", merged_products(cleared.select(*_names(PRODUCTS)), made))
-    t.replace("listings", rows.drop("product_id").join(ids.withColumnRenamed("id", "product_id"), "canonical_key").select(*_names(LISTINGS)))
+    t.replace("listings", shared.stored(rows.drop("product_id").join(shared.large(ids.withColumnRenamed("id", "product_id")), "canonical_key").select(*_names(LISTINGS))))
     return t.commit()

@@ -117,20 +117,23 @@ class Transaction:
             raise ValueError("partition columns are columns of the key")
         self.tables.setdefault(name, {"schema": schema.jsonValue(), "key": list(key), "by": list(by), "buckets": buckets, "values": [], "parts": {}})
 
-    def _placed(self, table: dict, rows: DataFrame) -> DataFrame:
-        """rows with the number of the part that each belongs to; new partition values are numbered in their order."""
+    def _placed(self, table: dict, rows: DataFrame, among: DataFrame | None = None) -> DataFrame:
+        """rows with the number of the part that each belongs to; new partition values are numbered in their order.
+
+        among: rows whose values these have, where that is known, so that rows that are dear to make are made once. An empty one: the
+        values are known to the table. Rows of other values get part -1."""
         bucket = F.pmod(F.xxhash64(*table["key"]), F.lit(table["buckets"])).cast("int")
         if not table["by"]:
             table["values"] = [[]]
             return rows.withColumn("_part", bucket)
-        found = [list(r) for r in rows.select(*table["by"]).distinct().limit(MOST + 1).collect()]
+        found = [list(r) for r in (rows if among is None else among).select(*table["by"]).distinct().limit(MOST + 1).collect()]
         known = table["values"]
         known += sorted((v for v in found if v not in known), key=lambda v: [(x is not None, str(x)) for x in v])
         if len(known) > MOST:
             raise ValueError(f"more than {MOST} partitions")
         numbers = self.store.spark.createDataFrame([(k, tuple(v)) for k, v in enumerate(known)], StructType().add("_number", IntegerType()).add("_values", rows.select(*table["by"]).schema))
         same = F.struct(*table["by"]).eqNullSafe(F.col("_values"))
-        return rows.join(F.broadcast(numbers), same).withColumn("_part", F.col("_number") * table["buckets"] + bucket).drop("_number", "_values")
+        return rows.join(F.broadcast(numbers), same, "left").withColumn("_part", F.coalesce(F.col("_number") * table["buckets"] + bucket, F.lit(-1))).drop("_number", "_values")
 
     def _write(self, name: str, placed: DataFrame) -> dict[int, str]:
         """Writes rows by part; the folder of each part that has any."""
@@ -146,7 +149,7 @@ class Transaction:
         placed = self._placed(table, rows)
         touched = {r[0] for r in placed.select("_part").distinct().collect()}
         merged = merge(_rows(self.store, table, parts=touched), rows)
-        written = self._write(name, self._placed(table, merged)) if touched else {}
+        written = self._write(name, self._placed(table, merged, among=rows.limit(0))) if touched else {}
         if not set(written) <= touched:
             raise ValueError("merged rows left the parts of the batch")
         for part in touched:
@@ -154,10 +157,13 @@ class Transaction:
         table["parts"] |= {str(p): [f] for p, f in written.items()}
         return touched
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        """rows beside those that are there."""
+    def append(self, name: str, rows: DataFrame, among: DataFrame | None = None) -> None:
+        """rows beside those that are there. among: rows whose partition values these have."""
         table = self.tables[name]
-        for part, folder in self._write(name, self._placed(table, rows)).items():
+        written = self._write(name, self._placed(table, rows, among))
+        if -1 in written:
+            raise ValueError("rows of other partitions")
+        for part, folder in written.items():
             table["parts"][str(part)] = [*table["parts"].get(str(part), []), folder]
 
     def replace(self, name: str, rows: DataFrame) -> None:

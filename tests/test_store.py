@@ -165,3 +165,22 @@ def test_batches_and_regroup_against_one_by_one(spark, tmp_path):
     keys = one_by_one([f for f in facts if f["wanted"]], model, clear=True)
     model = {k: p for k, p in model.items() if k in set(keys.values())}
     assert seen() == want() and linked() == keys and store.read("history").count() == len(keys)
+
+
+def _planned(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_product_numbers_are_not_sent_through_the_driver(spark, tmp_path):
+    from offerlens.tables import offers
+    from offerlens.tables.store import Store
+
+    store = Store(spark, str(tmp_path))
+    t = offers.created(store.begin("w", 0))
+    row = spark.createDataFrame([("k", "t", "0")], "canonical_key string, title string, place string").withColumn("ts", F.lit("2000-01-01").cast("timestamp_ntz"))
+    offers.sink_products(t, row)
+    t.commit()
+    keys = spark.createDataFrame([("k",), ("l",)], "canonical_key string")
+    told = offers.numbered(offers.created(store.begin("w", 1)), keys)
+    assert _planned(told).count("BroadcastHashJoin") <= 1  # the table of tasks' first numbers, a row a task
+    assert sorted(tuple(r) for r in told.collect()) == [("k", 1), ("l", 2)]
