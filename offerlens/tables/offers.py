@@ -37,11 +37,13 @@ def _names(ddl: str) -> list[str]:
 
 
 def _sightings(old: DataFrame, items: DataFrame) -> DataFrame:
-    """Old listings and new items of the same offers, each with its place in the offer's order and the price before it."""
-    was = old.select(*_names(LISTINGS), F.lit(0).alias("fresh"))
-    now = items.select(*OFFER, "product_id", "raw_title", "brand_hint", "price", "in_stock", "image_url", F.col("ts").alias("first_seen"), F.col("ts").alias("scraped_at"), "seq", F.lit(1).alias("fresh"))
-    w = Window.partitionBy(*OFFER).orderBy("fresh", "scraped_at", "seq")
-    rows = was.unionByName(now)
+    """Old listings and new items of the same offers, each with its place in the offer's order and the price before it.
+
+    Both have the number of their part, `_part`, and are gathered by it: one shuffle serves the order, the merge and the writing."""
+    was = old.select("_part", *_names(LISTINGS), F.lit(0).alias("fresh"))
+    now = items.select("_part", *OFFER, "product_id", "raw_title", "brand_hint", "price", "in_stock", "image_url", F.col("ts").alias("first_seen"), F.col("ts").alias("scraped_at"), "seq", F.lit(1).alias("fresh"))
+    w = Window.partitionBy("_part", *OFFER).orderBy("fresh", "scraped_at", "seq")
+    rows = was.unionByName(now).repartition("_part")
     return rows.withColumn("nth", F.row_number().over(w)).withColumn("before", F.lag("price").over(w))
 
 
@@ -55,8 +57,8 @@ def merged_listings(old: DataFrame, items: DataFrame) -> DataFrame:
     at = F.struct("nth")
     last = F.max_by(F.struct("product_id", "raw_title", "price", "in_stock", "image_url", "scraped_at", "seq"), at).alias("r")
     hint = F.max_by("brand_hint", F.when(F.col("brand_hint").isNotNull(), at)).alias("brand_hint")
-    out = rows.groupBy(*OFFER).agg(last, hint, F.min_by("first_seen", at).alias("first_seen"))
-    return out.select(*OFFER, "r.product_id", "r.raw_title", "brand_hint", "r.price", "r.in_stock", "r.image_url", "first_seen", "r.scraped_at", "r.seq")
+    out = rows.groupBy("_part", *OFFER).agg(last, hint, F.min_by("first_seen", at).alias("first_seen"))
+    return out.select("_part", *OFFER, "r.product_id", "r.raw_title", "brand_hint", "r.price", "r.in_stock", "r.image_url", "first_seen", "r.scraped_at", "r.seq")
 
 
 def sink_listings(t: Transaction, items: DataFrame) -> None:
@@ -64,11 +66,12 @@ def sink_listings(t: Transaction, items: DataFrame) -> None:
 
     An offer that is unpriced is kept without a price and makes no history. Items of one offer count in the order of (ts, seq). items are
     read several times, so they are best a table that is written."""
-    touched = t.upsert("listings", items, merged_listings)
+    touched = t.upsert("listings", items, merged_listings, gathered=True)
     seen = t.read("listings", touched)
     seen = items.sparkSession.createDataFrame([], LISTINGS) if seen is None else seen
-    fresh = _sightings(seen, items).filter((F.col("fresh") == 1) & _moved() & F.col("price").isNotNull())
-    t.append("history", fresh.select(*OFFER, F.col("scraped_at").alias("ts"), "seq", "price", "in_stock"), among=items)
+    placed = t.placed("history", items)
+    fresh = _sightings(t.placed("history", seen, items.limit(0)), placed).filter((F.col("fresh") == 1) & _moved() & F.col("price").isNotNull())
+    t.append("history", fresh.select("_part", *OFFER, F.col("scraped_at").alias("ts"), "seq", "price", "in_stock"))
 
 
 def merged_products(old: DataFrame, new: DataFrame) -> DataFrame:

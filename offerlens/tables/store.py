@@ -135,21 +135,29 @@ class Transaction:
         same = F.struct(*table["by"]).eqNullSafe(F.col("_values"))
         return rows.join(F.broadcast(numbers), same, "left").withColumn("_part", F.coalesce(F.col("_number") * table["buckets"] + bucket, F.lit(-1))).drop("_number", "_values")
 
-    def _write(self, name: str, placed: DataFrame) -> dict[int, str]:
-        """Writes rows by part; the folder of each part that has any."""
+    def placed(self, name: str, rows: DataFrame, among: DataFrame | None = None) -> DataFrame:
+        """rows of a table with the number of their part, `_part`."""
+        return self._placed(self.tables[name], rows, among)
+
+    def _write(self, name: str, placed: DataFrame, gathered: bool = False) -> dict[int, str]:
+        """Writes rows by part; the folder of each part that has any. gathered: the rows of a part are in one task already."""
         table, folder = self.tables[name], f"{self.staging}/{name}-{uuid.uuid4().hex[:8]}"
         columns = StructType.fromJson(table["schema"]).names
-        rows = placed.select(*columns, "_part").repartition("_part").sortWithinPartitions("_part", *table["key"])
+        rows = placed.select(*columns, "_part")
+        rows = (rows if gathered else rows.repartition("_part")).sortWithinPartitions("_part", *table["key"])
         rows.write.partitionBy("_part").parquet(f"{self.store.root}/{folder}")
         return {int(n.split("=")[1]): f"{folder}/{n}" for n in self.store.files.names(f"{self.store.root}/{folder}") if n.startswith("_part=")}
 
-    def upsert(self, name: str, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> set[int]:
-        """merge(old rows, rows) in place of the parts that rows fall into; the numbers of these parts. Merged rows keep their keys' parts."""
+    def upsert(self, name: str, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], gathered: bool = False) -> set[int]:
+        """merge(old rows, rows) in place of the parts that rows fall into; the numbers of these parts. Merged rows keep their keys' parts.
+
+        gathered: merge gets both with `_part`, and gives rows with it that are gathered by it, so that they are not shuffled again."""
         table = self.tables[name]
         placed = self._placed(table, rows)
         touched = {r[0] for r in placed.select("_part").distinct().collect()}
-        merged = merge(_rows(self.store, table, parts=touched), rows)
-        written = self._write(name, self._placed(table, merged, among=rows.limit(0))) if touched else {}
+        old, known = _rows(self.store, table, parts=touched), rows.limit(0)
+        merged = merge(self._placed(table, old, known), placed) if gathered else self._placed(table, merge(old, rows), known)
+        written = self._write(name, merged, gathered) if touched else {}
         if not set(written) <= touched:
             raise ValueError("merged rows left the parts of the batch")
         for part in touched:
@@ -157,10 +165,10 @@ class Transaction:
         table["parts"] |= {str(p): [f] for p, f in written.items()}
         return touched
 
-    def append(self, name: str, rows: DataFrame, among: DataFrame | None = None) -> None:
-        """rows beside those that are there. among: rows whose partition values these have."""
-        table = self.tables[name]
-        written = self._write(name, self._placed(table, rows, among))
+    def append(self, name: str, rows: DataFrame) -> None:
+        """rows beside those that are there. Rows with `_part` (of `placed`) are gathered by it."""
+        table, gathered = self.tables[name], "_part" in rows.columns
+        written = self._write(name, rows if gathered else self._placed(table, rows), gathered)
         if -1 in written:
             raise ValueError("rows of other partitions")
         for part, folder in written.items():

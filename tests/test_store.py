@@ -171,6 +171,20 @@ def _planned(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_merge_shuffles_its_rows_once(spark, tmp_path):
+    """The order of sightings, the merge and the writing go by one shuffle, by part; rows of a part that the table lacks are refused."""
+    from offerlens.tables import offers
+    from offerlens.tables.store import Store
+
+    t = offers.created(Store(spark, str(tmp_path)).begin("w", 0))
+    rows = spark.createDataFrame([("s", "1", "R", "t", None, 1.0, 1, None, None, 1, 5)], offers.ITEM + ", product_id long")
+    items = t.placed("listings", rows)
+    old = t.placed("listings", spark.createDataFrame([], offers.LISTINGS), rows.limit(0))
+    assert _planned(offers.merged_listings(old, items)).count("Exchange hashpartitioning") == 1
+    other = rows.withColumn("region", F.lit("elsewhere"))
+    assert [r["_part"] for r in t.placed("listings", other, rows.limit(0)).collect()] == [-1]
+
+
 def test_product_numbers_are_not_sent_through_the_driver(spark, tmp_path):
     from offerlens.tables import offers
     from offerlens.tables.store import Store
