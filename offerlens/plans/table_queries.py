@@ -193,31 +193,37 @@ query("stream_offset", "select event_id as update_id, user_id as chat, event_typ
 DELAY_HOURS = 48
 
 
-#: Events of one file of arrivals, about.
-PER_FILE = 1_000_000
+#: Events of one file of arrivals, about; and the parts of the time in which they arrive, each of which is taken at once.
+PER_FILE, SLICES = 1_000_000, 4
 
 
-def arrivals(s, d) -> str:
-    """Events in files of the order in which they arrive, each up to DELAY_HOURS late; and one row that ends all waiting."""
+def arrivals(s, d) -> tuple[str, int]:
+    """Events in files of the order in which they arrive, each up to DELAY_HOURS late; and one row that ends all waiting. The folder, and the files of a slice.
+
+    A slice has as many files as its share of the events needs, and all slices have as many, so a stream that takes that many files at
+    once takes slice by slice: the passes over the events, and how often a key is called, do not grow with the events."""
     e = views.table(s, d, "events").select(
         F.col("user_id").cast("long").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("seq"), F.col("value").cast("double").alias("price"), (F.col("event_type") != "error").cast("int").alias("in_stock")
     )
     late = F.unix_timestamp("ts") + F.pmod(F.xxhash64("seq"), F.lit(DELAY_HOURS * 3600 - 1))
     lo, hi, n = e.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts")), F.count(F.lit(1))).first()
-    files = max(4, n // PER_FILE)
-    width = ((hi or 0) - (lo or 0) + DELAY_HOURS * 3600) // files + 1
+    files = -(-n // (SLICES * PER_FILE)) or 1
+    width = ((hi or 0) - (lo or 0) + DELAY_HOURS * 3600) // SLICES + 1
     folder = shared.folder(s, "arrivals")
-    for k in range(files):
-        e.filter(F.floor((late - F.lit(lo or 0)) / width) == k).coalesce(1).write.parquet(f"{folder}/{k}")
+    for k in range(SLICES):
+        at = f"{folder}/{k}"
+        e.filter(F.floor((late - F.lit(lo or 0)) / width) == k).repartition(files).write.parquet(at)
+        for _ in range(files - len(s.read.schema(e.schema).parquet(at).inputFiles())):
+            e.limit(0).coalesce(1).write.mode("append").parquet(at)  # a slice of few events: the next one must not be taken with it
     end = e.limit(0).unionByName(s.range(1).select(F.lit(-1).cast("long").alias("key"), F.timestamp_seconds(F.lit((hi or 0) + 10**7)).alias("ts"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("double").alias("price"), F.lit(0).alias("in_stock")))
-    end.coalesce(1).write.parquet(f"{folder}/{files}")
-    return folder
+    end.coalesce(1).write.parquet(f"{folder}/{SLICES}")
+    return folder, files
 
 
 def _held(s, d, operator, gives: str):
-    folder = arrivals(s, d)
+    folder, files = arrivals(s, d)
     schema = s.read.parquet(f"{folder}/0").schema
-    return held.run_available(s, f"{folder}/*", schema, lambda x: x, shared.folder(s, "held"), operator, gives)[0]
+    return held.run_available(s, f"{folder}/*", schema, lambda x: x, shared.folder(s, "held"), operator, gives, files)[0]
 
 
 query("stream_change_held", q.ORACLES["stream_change"], "")(lambda s, d: _held(s, d, lambda x: held.price_changes(x.drop("in_stock"), f"{DELAY_HOURS} hours"), changes.CHANGED))

@@ -3,22 +3,29 @@
 Rows of a key are held until the watermark has passed them: then no earlier one can come, and they are told in the order of (ts, seq), so
 the answer is that of the batch form however rows were shuffled within the delay. A row later than the delay is not told; Spark counts
 it (numRowsDroppedByWatermark, see `late`). What a key was last is kept for `forget` after its last row, and with it the state of keys
-that are seen no more goes; without `forget` it stays. Held are the rows of one delay at most."""
+that are seen no more goes; without `forget` it stays. Held are the rows of one delay at most. Keys are dealt to BUCKETS buckets, and a
+task takes one bucket's held rows and last prices at a time."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.state import EPSILON
 from .changes import CHANGED, TOLD
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_HELD = "us long, seq long, price double, in_stock int"
-_LAST = "us long, price double, in_stock int"
+#: Keys share the state of a bucket, as a call for each key and micro-batch takes much longer than its few rows.
+BUCKETS = 256
+#: A row as state holds it, many to a binary value. price and stock are NaN where they are null.
+_ROW = np.dtype([("key", "i8"), ("keyless", "?"), ("us", "i8"), ("seq", "i8"), ("price", "f8"), ("stock", "f8")])
+CHUNK = 1 << 16
+_GIVES = "key long, us long, seq long, price double, kind string"
 
 
 def moved(last: tuple | None, price: float | None, in_stock: int | None) -> str | None:
@@ -42,28 +49,34 @@ def transition(target: float | None, stock_only: bool):
     return kind
 
 
-def _plain(x):
-    return None if pd.isna(x) else x
+def _chunks(rows: np.ndarray) -> list[tuple[bytes]]:
+    return [(rows[k : k + CHUNK].tobytes(),) for k in range(0, len(rows), CHUNK)]
+
+
+def _rows(chunks) -> np.ndarray:
+    return np.concatenate([np.zeros(0, _ROW), *(np.frombuffer(c[0], _ROW) for c in chunks)])
 
 
 class Held(StatefulProcessor):
-    """One key's rows. tell: what (last row, price, in_stock) are worth telling, or None; forget: microseconds after which a key is forgotten."""
+    """The rows of the keys of one bucket. tell: what (last row, price, in_stock) are worth telling, or None; forget: microseconds after which a key is forgotten."""
 
-    def __init__(self, tell, named: bool, forget: int | None):
-        self.tell, self.named, self.forget = tell, named, forget
+    def __init__(self, tell, forget: int | None):
+        self.tell, self.forget = tell, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows, self.last = handle.getListState("rows", _HELD), handle.getValueState("last", _LAST)
+        self.rows, self.last = handle.getListState("rows", "chunk binary"), handle.getListState("last", "chunk binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = []
         for pdf in rows:
-            us = pdf["ts"].astype("datetime64[us]").astype("int64")
-            stock = pdf["in_stock"] if "in_stock" in pdf else pd.Series(1, index=pdf.index)
-            new += [(int(t), int(s), _plain(p), None if pd.isna(i) else int(i)) for t, s, p, i in zip(us, pdf["seq"], pdf["price"], stock, strict=True)]
-        self.rows.appendList(new)
-        self._remind(min(r[0] for r in new))
+            held = np.zeros(len(pdf), _ROW)
+            for c in _ROW.names:
+                held[c] = pdf[c].to_numpy()
+            new += [held]
+        new = np.concatenate(new)
+        self.rows.appendList(_chunks(new))
+        self._remind(int(new["us"].min()))
         yield from ()
 
     def _remind(self, us: int) -> None:
@@ -72,56 +85,76 @@ class Held(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted((tuple(r) for r in self.rows.get()), key=lambda r: r[:2])
-        due = [r for r in held if r[0] < now]
-        last, out = (tuple(self.last.get()) if self.last.exists() else None), []
-        for us, seq, price, stock in due:
-            if last is not None and self.forget is not None and us - last[0] > self.forget:
-                last = None  # whether or not its timer came between
-            kind = self.tell(last, price, stock)
+        held = _rows(self.rows.get())
+        due, rest = held[held["us"] < now], held[held["us"] >= now]
+        if not len(due) and self.forget is None:
+            return
+        before = _rows(self.last.get())
+        told = self._told(due, before, now)
+        if len(due):
+            self.rows.put(_chunks(rest)) if len(rest) else self.rows.clear()
+        if len(rest):
+            self._remind(int(rest["us"].min()))
+        if told:
+            pdf = pd.DataFrame(told, columns=["key", "us", "seq", "price", "kind"])
+            yield pdf.astype({"key": "Int64"})
+
+    def _told(self, due: np.ndarray, before: np.ndarray, now: int) -> list[tuple]:
+        """What is told of rows that are due, key by key in the order of (us, seq); what each key was last is kept, or forgotten."""
+        plain = lambda x: None if x != x else x
+        last = {r[:2]: (r[2], plain(r[4]), None if r[5] != r[5] else int(r[5])) for r in before.tolist()}
+        out = []
+        for key, keyless, us, seq, price, stock in due[np.lexsort((due["seq"], due["us"]))].tolist():
+            price, stock, of = plain(price), None if stock != stock else int(stock), (key, keyless)
+            was = last.get(of)
+            if was is not None and self.forget is not None and us - was[0] > self.forget:
+                was = None  # whether or not its timer came between
+            kind = self.tell(was, price, stock)
             if kind is not None:
-                out.append((key[0], pd.Timestamp(us, unit="us"), seq, price, kind))
-            last = (us, price, stock)
-        if due:
-            self.last.update(last)
-            rest = held[len(due) :]
-            self.rows.put(rest) if rest else self.rows.clear()
-            if rest:
-                self._remind(rest[0][0])
-            elif self.forget is not None:
-                self._remind(last[0] + self.forget)
-        elif not held and last is not None and self.forget is not None and last[0] + self.forget < now:
+                out.append((None if keyless else key, us, seq, price, kind))
+            last[of] = (us, price, stock)
+        nan = float("nan")
+        kept = [(*k, us, 0, nan if p is None else p, nan if s is None else s) for k, (us, p, s) in last.items() if self.forget is None or us + self.forget >= now]
+        if kept:
+            self.last.put(_chunks(np.array(kept, _ROW)))
+            if self.forget is not None:
+                self._remind(min(r[2] for r in kept) + self.forget)
+        elif len(before):
             self.last.clear()
-        if out:
-            pdf = pd.DataFrame(out, columns=["key", "ts", "seq", "price", "kind"])
-            yield pdf if self.named else pdf.drop(columns="kind")
+        return out
 
     def close(self) -> None:
         pass
 
 
 def _through(stream: DataFrame, processor: Held, gives: str, delay: str) -> DataFrame:
-    timed = stream.withWatermark("ts", delay).groupBy("key")
-    return timed.transformWithStateInPandas(processor, gives, "Append", "EventTime")
+    c = F.col
+    stock = c("in_stock") if "in_stock" in stream.columns else F.lit(1)
+    timed = stream.withWatermark("ts", delay).select(
+        F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).alias("bucket"), "ts", F.coalesce("key", F.lit(0)).cast("long").alias("key"), c("key").isNull().alias("keyless"), F.unix_micros("ts").alias("us"), c("seq").cast("long").alias("seq"),
+        c("price").cast("double").alias("price"), stock.cast("double").alias("stock"),
+    )
+    told = timed.groupBy("bucket").transformWithStateInPandas(processor, _GIVES, "Append", "EventTime")
+    return told.withColumn("ts", F.timestamp_micros("us")).select(*[f.split()[0] for f in gives.split(", ")])
 
 
 def price_changes(stream: DataFrame, delay: str, forget_days: float | None = None) -> DataFrame:
     """stream(key, ts, seq, price) as its changes, told once the watermark, `delay` behind the newest row, has passed them."""
-    return _through(stream, Held(moved, False, None if forget_days is None else int(forget_days * 86_400_000_000)), CHANGED, delay)
+    return _through(stream, Held(moved, None if forget_days is None else int(forget_days * 86_400_000_000)), CHANGED, delay)
 
 
 def transitions(stream: DataFrame, delay: str, target: float | None = None, stock_only: bool = True, forget_days: float | None = None) -> DataFrame:
     """stream(key, ts, seq, price, in_stock) as what is worth telling: new, back or drop. A key that was forgotten is new again."""
-    return _through(stream, Held(transition(target, stock_only), True, None if forget_days is None else int(forget_days * 86_400_000_000)), TOLD, delay)
+    return _through(stream, Held(transition(target, stock_only), None if forget_days is None else int(forget_days * 86_400_000_000)), TOLD, delay)
 
 
-def run_available(spark: SparkSession, path: str, schema, shape, out: str, operator, gives: str) -> tuple[DataFrame, int]:
-    """All that is there now of a folder of Parquet files, a file at a time in the order of arrival, into out; and how many rows came too late."""
+def run_available(spark: SparkSession, path: str, schema, shape, out: str, operator, gives: str, files: int = 1) -> tuple[DataFrame, int]:
+    """All that is there now of a folder of Parquet files, some files at a time in the order of arrival, into out; and how many rows came too late."""
     conf = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(conf)
     spark.conf.set(conf, ROCKSDB)  # timers and lists of state need it
     try:
-        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
         query = operator(shape(rows)).writeStream.format("parquet").option("checkpointLocation", f"{out}-state").option("path", out).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:

@@ -69,3 +69,25 @@ def test_transitions_late_rows_and_forgotten_keys(spark, tmp_path):
 @pytest.mark.parametrize(("last", "row", "kind"), [(None, (5.0, 1), "new"), (None, (None, 1), None), ((0, 5.0, 0), (5.0, 1), "back"), ((0, 9.0, 1), (4.0, 1), "drop"), ((0, None, 1), (4.0, 1), "drop"), ((0, 5.0, 1), (4.0, 1), None), ((0, 9.0, 1), (None, 0), None), ((0, 9.0, None), (9.0, 1), "back")])
 def test_kinds(last, row, kind):
     assert held.transition(5.0, True)(last, *row) == kind
+
+
+def test_slices_of_arrivals_do_not_grow_in_number(spark, monkeypatch):
+    """Each slice of the time is taken at once, in as many files as the others, also one of few events."""
+    from offerlens.plans import table_queries as tq
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(tq, "PER_FILE", 40)
+    folder, files = tq.arrivals(spark, sf)
+    events = tq.views.table(spark, sf, "events")
+    assert files == -(-events.count() // (tq.SLICES * 40)) > 1
+    assert [len(spark.read.parquet(f"{folder}/{k}").inputFiles()) for k in range(tq.SLICES + 1)] == [files] * tq.SLICES + [1]
+    told = tq.QUERIES["stream_change_held"](spark, sf)
+    rows = events.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"))
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, state.price_changes(rows, ["key"], ["ts", "seq"]).select("key", "ts", "seq", "price").collect()))
+
+
+def test_a_null_key_and_a_large_one_share_a_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(held, "BUCKETS", 1)
+    rows = [(None, 10**6, 1, 5.0, 1), (0, 10**6, 2, 6.0, 1), (2**62 + 1, 10**6, 3, None, 1), (None, 10**6 + 1, 4, 5.0, 1), (0, 10**6 + 1, 5, 7.0, None)]
+    told, lost = run(spark, tmp_path, [rows, [(-1, 10**9, 0, None, 0)]], lambda s: held.price_changes(s, "7 hours"), changes.CHANGED)
+    assert lost == 0 and sorted((r["seq"], r["key"], r["price"]) for r in told.collect()) == [(1, None, 5.0), (2, 0, 6.0), (5, 0, 7.0)]
