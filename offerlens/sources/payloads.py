@@ -60,8 +60,7 @@ def store_offers(payloads: DataFrame, source: str) -> DataFrame:
 
 def as_price(v: Column, most: float = 100_000) -> Column:
     """A number, in hundredths where it is too large for a price."""
-    n = v.try_cast("double")
-    return F.when(n > most, n / 100).otherwise(n)
+    return text.once(v.try_cast("double"), lambda n: F.when(n > most, n / 100).otherwise(n))
 
 
 # What services say of offers that are not in stock.
@@ -347,10 +346,10 @@ def searched_offers(landings: DataFrame, pages: DataFrame, source: str, mark: st
 
 def harvested_offers(bodies: DataFrame, source: str, headings: str = r"^(?i)(showing|search)\s+results|^results\s+for|^did you mean") -> DataFrame:
     """bodies(body): offers in JSON of any shape. Headings are none, nor is an object with neither a price nor a word on stock."""
-    rows = bodies.select("body").lateralJoin(cards.HarvestJson(F.col("body").outer())).drop("body")
+    rows = cards.harvested(bodies)
     rows = rows.withColumn("title", text.clean(F.col("title"))).filter((F.col("title") != "") & ~F.col("title").rlike(headings))
     price = as_price(cards.amount(F.col("price")))
-    return rows.withColumn("price", price).filter(F.col("price").isNotNull() | F.col("stock").isNotNull()).select(
+    return rows.withColumn("price", price).filter(F.col("stock").isNotNull() | F.col("price").isNotNull()).select(
         F.lit(source).alias("source"), F.col("sku").alias("source_sku"), "title", "price", as_price(cards.amount(F.col("mrp"))).alias("mrp"),
         as_stock(F.col("stock")).cast("int").alias("in_stock"), cards.picture(F.col("image")).alias("image"),
     )
