@@ -262,7 +262,7 @@ def clusters(
     known(brand, pack_size, numbers, leader): products of earlier runs, which offers join before they become products of their own.
     hint: the column with the seller's own brand field, for titles that name no brand."""
     t = F.col(title)
-    rows = keyed(offers, t, pack, F.col(hint) if hint else None)
+    rows = shared.stored(keyed(offers, t, pack, F.col(hint) if hint else None))  # read twice, and dear to make
     sigs = rows.groupBy(*BLOCK, "sig").agg(F.coalesce(F.max(F.length(t)), F.lit(0)).alias("n"), F.lit(False).alias("known"))
     if known is not None:
         sigs = sigs.unionByName(known.select(*BLOCK, F.col("leader").alias("sig")).distinct().select("*", F.lit(0).alias("n"), F.lit(True).alias("known")))
