@@ -175,11 +175,11 @@ query("src_contract", f"""with p as (select (page_id // {PER_QUERY})::int as que
 
 
 def stream_offset(s, d):
-    """All events after a cursor, in polls of at most 20,000, into a table; the stream is stopped after its first polls and started again."""
+    """All events after a cursor, in polls of at most 20,000, as many a batch as shuffles have tasks, into a table; the stream is stopped after its first polls and started again."""
     e = views.table(s, d, "events").select(F.col("event_id").alias("update_id"), F.col("user_id").alias("chat"), "event_type")
     path, out = landed.land_updates(e, shared.folder(s, "updates")), shared.folder(s, "stream")
     for _ in range(2):
-        stream = landed.registered(s).readStream.format("updates").option("path", path).option("start", "100").option("most", "20000").load()
+        stream = landed.registered(s).readStream.format("updates").option("path", path).option("start", "100").option("most", "20000").option("polls", shared.partitions(s)).load()
         told = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").option("path", out).start()
         told.processAllAvailable()
         told.stop()

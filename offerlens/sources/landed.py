@@ -6,25 +6,29 @@ by it. Conditions on query reach the list of partitions, and a price ceiling the
 
 `updates` streams the rows of a folder of Parquet files by a growing number. Its offset is the cursor, the last number read; a poll
 admits a bounded number of updates, those with the least numbers after the cursor, and Spark logs where each poll ended before it goes
-on, so a stream that is started again goes on at cursor + 1, or repeats the poll that it had not finished."""
+on, so a stream that is started again goes on at cursor + 1, or repeats the poll that it had not finished. A batch is one poll, through
+the driver, or as many as an option says: then the driver reads numbers alone, and each poll is a task that reads its own updates."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as pads
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, LessThanOrEqual, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition, LessThanOrEqual, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 #: What a query gives: an item's place in the answer and its fields, or an error.
 ANSWER = "query int, position int, sku string, title string, url string, price double, error string"
 FIELDS = ("sku", "title", "url", "price")
+#: About how many bytes a row group of updates has.
+GROUP = 1 << 20
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -165,8 +169,82 @@ class UpdatesReader(SimpleDataSourceStreamReader):
         pass  # the cursor is Spark's to keep, in the checkpoint
 
 
+class Poll(InputPartition):
+    """The updates after a number, up to another, and the row groups (file, place) that may hold some."""
+
+    def __init__(self, after: int, upto: int, groups: list[tuple[str, int]]):
+        self.after, self.upto, self.groups = after, upto, groups
+
+
+class PollsReader(DataSourceStreamReader):
+    """Batches of up to `polls` polls, the same ones that `one` makes one by one. The offset has the cursor and where each poll of its batch ended.
+
+    What the driver keeps are the bounds of row groups, from footers that it reads once, and what it reads are the numbers of a batch."""
+
+    def __init__(self, one: UpdatesReader, polls: int):
+        self.one, self.polls, self.at, self.footers = one, polls, None, {}
+
+    def _groups(self) -> list[tuple]:
+        """(least, greatest, file, place) of all row groups, by least number; without bounds where a footer has none."""
+        files, base = _opened(self.one.path)
+        known, self.footers = self.footers, {}
+        for info in files.get_file_info(fs.FileSelector(base)):
+            if not info.base_name.endswith(".parquet"):
+                continue
+            key = info.path, info.size, info.mtime_ns
+            self.footers[key] = known[key] if key in known else list(self._bounds(files, info.path))
+        return sorted((g for groups in self.footers.values() for g in groups), key=lambda g: (g[0] is not None, g[0]))
+
+    def _bounds(self, files: fs.FileSystem, path: str) -> Iterator[tuple]:
+        with pq.ParquetFile(files.open_input_file(path)) as file:
+            at = file.schema_arrow.get_field_index(self.one.column)
+            for k in range(file.num_row_groups):
+                stats = file.metadata.row_group(k).column(at).statistics
+                yield (stats.min, stats.max, path, k) if stats is not None and stats.has_min_max else (None, None, path, k)
+
+    def _read(self, groups: Sequence[tuple[str, int]], columns: Sequence[str], after: int, upto: int | None = None) -> Iterator[pa.Table]:
+        files, _ = _opened(self.one.path)
+        number = pc.field(self.one.column)
+        for path, k in groups:
+            with pq.ParquetFile(files.open_input_file(path)) as file:
+                yield file.read_row_group(k, columns=list(columns)).filter(number > after if upto is None else (number > after) & (number <= upto))
+
+    def initialOffset(self) -> dict:
+        return self.one.initialOffset()
+
+    def latestOffset(self) -> dict:
+        self.at = self.initialOffset() if self.at is None else self.at
+        after, wanted = self.at["cursor"], self.polls * self.one.most
+        found = np.empty(0, np.int64)
+        for least, greatest, path, k in self._groups():
+            if least is not None and (greatest <= after or (len(found) >= wanted and least > found[wanted - 1])):
+                continue
+            (t,) = self._read([(path, k)], [self.one.column], after)
+            found = np.sort(np.concatenate([found, t.column(0).to_numpy()]))
+            if len(found) > wanted:
+                found = found[: np.searchsorted(found, found[wanted - 1], "right")]
+        ends, begin = [], 0
+        while begin < len(found) and len(ends) < self.polls:
+            ends.append(int(found[min(begin + self.one.most, len(found)) - 1]))
+            begin = int(np.searchsorted(found, ends[-1], "right"))  # of one number all or none
+        if ends:
+            self.at = {"cursor": ends[-1], "ends": ends}
+        return self.at
+
+    def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
+        self.at = end if self.at is None else self.at  # a stream that is started again names its last offset first
+        ends = [e for e in end.get("ends", [end["cursor"]]) if e > start["cursor"]]
+        groups = self._groups() if ends else []
+        inside = lambda a, b: [(path, k) for least, greatest, path, k in groups if least is None or (greatest > a and least <= b)]
+        return [Poll(a, b, inside(a, b)) for a, b in zip([start["cursor"], *ends], ends)]
+
+    def read(self, partition: Poll) -> Iterator[tuple]:
+        for t in self._read(partition.groups, self.one.columns, partition.after, partition.upto):
+            yield from zip(*(t.column(c).to_pylist() for c in self.one.columns), strict=True)
+
+
 class Updates(DataSource):
-    """Options: path; column, the growing number; start, the cursor of a first run; most, the updates of a poll. The schema is the reader's to name."""
+    """Options: path; column, the growing number; start, the cursor of a first run; most, the updates of a poll; polls, those of a batch. The schema is the reader's to name."""
 
     @classmethod
     def name(cls) -> str:
@@ -182,6 +260,10 @@ class Updates(DataSource):
         o = self.options
         return UpdatesReader(o["path"].rstrip("/"), o.get("column", "update_id"), schema.names, int(o.get("start", -1)), int(o.get("most", 40)))
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        polls = int(self.options.get("polls", 1))
+        return PollsReader(self.simpleStreamReader(schema), polls) if polls > 1 else super().streamReader(schema)  # which has none, so the simple one is taken
+
 
 def registered(spark: SparkSession) -> SparkSession:
     """The session, which knows both sources from here on and hands conditions to sources in Python."""
@@ -198,6 +280,6 @@ def land_answers(rows: DataFrame, folder: str) -> str:
 
 
 def land_updates(rows: DataFrame, folder: str, column: str = "update_id") -> str:
-    """rows as Parquet files of ascending numbers."""
-    rows.repartitionByRange(column).sortWithinPartitions(column).write.parquet(folder)
+    """rows as Parquet files of ascending numbers, in small row groups, as a poll reads whole ones."""
+    rows.repartitionByRange(column).sortWithinPartitions(column).write.option("parquet.block.size", GROUP).parquet(folder)
     return folder

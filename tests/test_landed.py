@@ -111,3 +111,47 @@ def test_ids_of_a_landing_page(spark, html, ids):
 
     r = spark.createDataFrame([(html,)], "html string").select(payloads.listing_ids(F.col("html")).alias("i")).first()["i"]
     assert (r and tuple(r)) == ids
+
+
+def test_a_batch_of_polls(spark, tmp_path):
+    folder, out = f"file://{tmp_path}/updates", f"{tmp_path}/out"
+    updates(spark, folder, [n for n in range(100, 1000, 3)] + [250, 250, 5])
+    spark.createDataFrame([(251, "x"), (None, "none"), (1, "y")], "update_id long, text string").write.mode("append").parquet(folder)
+    one = landed.UpdatesReader(folder, "update_id", ["update_id", "text"], 100, 7)
+    many = landed.PollsReader(one, 5)
+    at, polls, cursor = many.initialOffset(), [], one.initialOffset()
+    while (end := many.latestOffset()) != at:
+        parts = many.partitions(at, end)
+        assert len(parts) <= 5 and landed.PollsReader(one, 5).partitions(at, end)[-1].upto == parts[-1].upto
+        polls.extend(sorted(many.read(p)) for p in parts)
+        at = end
+    for poll in polls:
+        rows, cursor = one.read(cursor)
+        assert poll == sorted(rows)
+    assert one.read(cursor)[1] == cursor and sum(map(len, polls)) == 299 + 3
+
+    batches = []
+
+    def tell(rows, batch):
+        batches.append((rows.rdd.getNumPartitions(), sorted(r["update_id"] for r in rows.collect())))
+        if len(batches) == 2:
+            raise RuntimeError("a crash before the batch is done")
+
+    with pytest.raises(Exception, match="crash"):
+        polled(spark, folder, out, start=100, most=7, polls=5).foreachBatch(tell).start().processAllAvailable()
+    for more in ([], [(2000, "late"), (7, "old")]):
+        if more:
+            spark.createDataFrame(more, "update_id long, text string").write.mode("append").parquet(folder)
+        query = polled(spark, folder, out, start=100, most=7, polls=5).foreachBatch(tell).start()
+        query.processAllAvailable()
+        query.stop()
+    assert batches.pop(1) == batches[1] and batches[0][0] == 5 and len(batches) == 10
+    assert [n for _, b in batches for n in b] == [n for p in polls for n, _ in p] + [2000]
+
+
+def test_updates_are_landed_in_small_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    landed.land_updates(spark.range(1_600_000).selectExpr("id as update_id", "hash(id) as chat"), f"file://{tmp_path}/updates")
+    groups = [g for f in (tmp_path / "updates").glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for g in (m.row_group(k).num_rows for k in range(m.num_row_groups))]
+    assert sum(groups) == 1_600_000 and max(groups) < 200_000
