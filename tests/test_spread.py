@@ -1,9 +1,10 @@
 """Steps that are dear for a row: dealt over tasks, and made once."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from offerlens.operators import resolve
-from offerlens.plans import queries, source_queries
+from offerlens.plans import queries, source_queries, views
 from offerlens.sources import cards
 from offerlens.tables import shared
 
@@ -28,3 +29,21 @@ def test_harvest_by_batches_against_one_by_one(spark, monkeypatch):
     assert got.rdd.getNumPartitions() == shared.partitions(spark) > 1
     want = bodies.lateralJoin(cards.HarvestJson(F.col("body").outer())).drop("body")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > made.count()
+
+
+@pytest.mark.parametrize("name", ["w_latest", "w_change", "up_listing", "j_state", "a_facets_all", "a_facet_brand", "a_facet_price", "a_stats_global", "a_deals"])
+def test_many_sightings_are_dealt_by_their_number(spark, monkeypatch, name):
+    few = queries.QUERIES[name](spark, SF)
+    monkeypatch.setattr(views, "MANY", 0)
+    monkeypatch.setattr(views, "SIGHTINGS", 500)
+    n = -(-views.table(spark, SF, "lineitem").count() // 500)
+    assert views.offers(spark, SF).rdd.getNumPartitions() == views.history(spark, SF).rdd.getNumPartitions() == n > shared.partitions(spark)
+    many = queries.QUERIES[name](spark, SF)
+    assert many.exceptAll(few).count() == few.exceptAll(many).count() == 0 < few.count()
+
+
+def test_distinct_products_are_counted_where_they_were_dealt(spark, monkeypatch):
+    monkeypatch.setattr(views, "MANY", 0)
+    monkeypatch.setattr(views, "SIGHTINGS", 500)
+    plan = queries.QUERIES["a_facets_all"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(product_id" in plan and not any("hashpartitioning(facet" in line and "product_id" in line for line in plan.splitlines())
