@@ -39,7 +39,8 @@ def _merge_runs(largest: bool):
             keep = t.column("keep").to_numpy()
             kept = (np.maximum if largest else np.minimum).reduceat(keep, first)
             rows = np.add.reduceat(t.column("rows").to_numpy(), first)
-            out = t.take(pa.array(first)).set_column(3, "keep", pa.array(kept, pa.int64())).set_column(4, "rows", pa.array(rows, pa.int64()))
+            # with the fields as Spark sends them: counts are not null, and the next batch joins only a table of the same schema
+            out = t.take(pa.array(first)).set_column(3, t.schema.field("keep"), pa.array(kept, pa.int64())).set_column(4, t.schema.field("rows"), pa.array(rows, pa.int64()))
             held = out.slice(len(first) - 1)
             yield from out.slice(0, len(first) - 1).combine_chunks().to_batches()
         if held is not None:

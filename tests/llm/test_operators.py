@@ -665,6 +665,26 @@ def test_exact_dedup(docs, keep):
     assert result(exact_dedup.exact_groups(docs, F.col("text"), keep=keep)) == want
 
 
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_exact_dedup_of_tasks_of_many_batches(spark, monkeypatch, keep):
+    """A task gets its runs in batches of 10,000 rows or fewer; texts of one group meet across them, whatever their number."""
+    monkeypatch.setattr(common, "shuffle_partitions", lambda spark: 2)
+    ids = [d * 37 % 1000 for d in range(1000)]
+    df = spark.createDataFrame([(d, f"t{d % 7}" if d % 3 else f"lone {d}") for d in ids], "doc_id long, text string").repartition(3)
+    groups = defaultdict(list)
+    for d in ids:
+        groups[f"t{d % 7}" if d % 3 else f"lone {d}"].append(d)
+    best = max if keep == "largest" else min
+    want = {d: (best(ds), len(ds), d == best(ds), hashlib.sha256(t.encode()).hexdigest()) for t, ds in groups.items() for d in ds}
+    for rows in ("1", "4", "150"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            got = result(exact_dedup.exact_groups(df, F.col("text"), keep=keep, fan_in=2))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == want
+
+
 def test_exact_dedup_spreads_rows_of_one_id(spark, monkeypatch):
     """Leaves are chosen by id and place: rows without an id lie in all of them."""
     seen = []
