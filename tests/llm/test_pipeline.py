@@ -24,6 +24,23 @@ def test_stages(spark, tmp_path):
     assert packed.filter("piece = 0").count() == docs.count()
 
 
+def test_stages_over_tasks_of_many_batches(spark, tmp_path):
+    """Larger tables have tasks of more than one Arrow batch: what the stages keep does not depend on where batches end."""
+    kept = {}
+    for rows in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            docs = spark.read.parquet(f"{SF}/documents.parquet")
+            for name, stage in corpus_pipeline.STAGES:
+                stage(spark, docs, SF).write.parquet(str(tmp_path / rows / name))
+                docs = spark.read.parquet(str(tmp_path / rows / name))
+                columns = ["doc_id", "piece", "start", "length", "ids_crc32"] if name == "packing" else docs.columns
+                kept.setdefault(name, []).append(sorted(map(str, docs.select(columns).collect())))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(usual == small and usual for usual, small in kept.values())
+
+
 def test_language_stage_keeps_texts_with_letters(spark):
     rows = [(1, "some plain words", "en", "s", 16), (2, "1234", None, "s", 4), (3, None, None, "s", 0), (4, "", "en", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
